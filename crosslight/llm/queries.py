@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, langid, sharding, tiff
 
 QUERIES = {
+    "op4_tiff": tiff.op4_tiff,
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
+    "op10_langid": langid.op10_langid,
 }
 
 #: Equal byte targets along doc_id. The order of repeated ids depends on a Spark hash, which the
