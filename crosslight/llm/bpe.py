@@ -94,7 +94,7 @@ def encode_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
         plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         known: dict[str, list[int]] = {}
         for batch in batches:
-            fresh = list(set(batch["word"]) - known.keys())
+            fresh = [w for w in set(batch["word"]) if w not in known]
             for word, coded in zip(fresh, plain.encode_batch(fresh, add_special_tokens=False)):
                 known[word] = coded.ids
             for word in fresh:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, sharding, tiff
+from . import bpe, langid, quality, sharding, tiff, toxicity
 
 QUERIES = {
     "op4_tiff": tiff.op4_tiff,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_langid": langid.op10_langid,
