@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, quality, sharding, tiff, toxicity
+from . import bpe, langid, neighbours, quality, sharding, tiff, toxicity
 
 QUERIES = {
+    "op2_nn_descent": neighbours.op2_nn_descent,
     "op4_tiff": tiff.op4_tiff,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
