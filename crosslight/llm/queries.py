@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neighbours, quality, sharding, tiff, toxicity
+from . import bpe, langid, neighbours, quality, sharding, substrings, tiff, toxicity
 
 QUERIES = {
     "op2_nn_descent": neighbours.op2_nn_descent,
     "op4_tiff": tiff.op4_tiff,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_substrings": substrings.op7_substrings,
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_langid": langid.op10_langid,
