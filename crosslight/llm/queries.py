@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neighbours, quality, sharding, substrings, tiff, toxicity
+from . import bpe, langid, minhash, neighbours, quality, sharding, substrings, tiff, toxicity
 
 QUERIES = {
     "op2_nn_descent": neighbours.op2_nn_descent,
+    "op3_minhash": minhash.op3_minhash,
     "op4_tiff": tiff.op4_tiff,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
