@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, neighbours, quality, sharding, substrings, tiff, toxicity
+from . import bpe, langid, minhash, mixing, neighbours, quality, sharding, substrings, tiff, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_nn_descent": neighbours.op2_nn_descent,
     "op3_minhash": minhash.op3_minhash,
     "op4_tiff": tiff.op4_tiff,

@@ -168,6 +168,23 @@ def learn(rows: DataFrame) -> Model:
     return Model(scores.astype(np.float32), rate, log_k, tuple(map(float, weights)))
 
 
+def _assess(texts: pd.Series, model: Model, known: dict[str, int]) -> tuple[np.ndarray, list[int], list[list[dict]]]:
+    """Scores, tokens and significant passages of whole texts."""
+    floor = model.log_k - np.log(LEVEL)
+    strengths, sizes, passages = [], [], []
+    for text in texts:
+        at = buckets_of(words(text or ""), known)
+        scores = model.scores[at].astype(float)
+        strength, kept = 0.0, []
+        if model.rate * highest(scores) > floor + np.log(max(len(at), 1)):
+            strength, kept = evidence(segments(scores), len(at), model.rate, model.log_k)
+        strengths.append(strength)
+        sizes.append(len(at))
+        passages.append([{"start": a, "end": b, "score": s} for a, b, s in kept])
+    z = model.weights[0] * np.log1p(np.array(strengths, float)) + model.weights[1]
+    return 1 / (1 + np.exp(-z)), sizes, passages
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole text: the id, score, n_tokens, passages.
 
@@ -180,29 +197,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, known = sent.value, {}
-        floor = own.log_k - np.log(LEVEL)
+        known: dict[str, int] = {}
         for batch in batches:
             if len(known) > 300_000:
                 known.clear()
-            strengths, sizes, passages = [], [], []
-            for text in batch["_text"]:
-                at = buckets_of(words(text or ""), known)
-                scores = own.scores[at].astype(float)
-                strength, kept = 0.0, []
-                if own.rate * highest(scores) > floor + np.log(max(len(at), 1)):
-                    strength, kept = evidence(segments(scores), len(at), own.rate, own.log_k)
-                strengths.append(strength)
-                sizes.append(len(at))
-                passages.append([{"start": a, "end": b, "score": s} for a, b, s in kept])
-            z = own.weights[0] * np.log1p(np.array(strengths)) + own.weights[1]
-            yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "score": 1 / (1 + np.exp(-z)), "n_tokens": sizes, "passages": passages})
+            scores, sizes, passages = _assess(batch["_text"], sent.value, known)
+            yield pd.DataFrame({"_id": batch["_id"].array, "score": scores, "n_tokens": sizes, "passages": passages})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = rows.mapInPandas(run, f"_id {id_type}, score double, n_tokens long, passages array<struct<start:int,end:int,score:double>>")
     return found.withColumnRenamed("_id", id_col)
 
 
+def score_column(spark, model: Model, text_col: str) -> F.Column:
+    """The score of `score` as a column beside the text."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(_assess(texts, sent.value, {})[0])
+
+    return scored(F.col(text_col))
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = labelled_tables(spark, sf_dir)
     held_out = remainder("doc_id", 5) == 0
