@@ -12,7 +12,6 @@ import hashlib
 import json
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 # The white space, the special tokens and the word pattern of the tokenizer's file.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
+#: Input bytes of a block, which bounds the words that a task keeps.
+BLOCK_BYTES = 1 << 24
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 ANY_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -46,41 +47,54 @@ def split_words(text: str | None) -> list[str]:
     return out
 
 
-def _pack(block: int, words: list[str], ids: list[list[int]]) -> tuple:
-    """Words and ids of one block as one compressed row."""
-    counts = np.fromiter(map(len, ids), dtype="<u4", count=len(ids))
+def _pack(block: int, ids_of: dict[str, list[int]], words: list[str]) -> tuple:
+    """Words and ids of one block as one compressed row; in sorted order neighbours share their beginnings."""
+    import zstandard
+
+    words = sorted(words)
+    ids = [ids_of[w] for w in words]
+    counts = np.fromiter(map(len, ids), dtype="<u2", count=len(ids))
     flat = np.fromiter((i for x in ids for i in x), dtype="<u4")
-    return block, zlib.compress(" ".join(words).encode(), 1), zlib.compress(counts.tobytes() + flat.tobytes(), 1), len(ids)
+    shrink = zstandard.ZstdCompressor(level=6).compress
+    return block, shrink(" ".join(words).encode()), shrink(counts.tobytes() + flat.tobytes()), len(ids)
+
 
+def _unpack(words: bytes, ids: bytes, n: int) -> Iterator[tuple[str, str]]:
+    """Each word with its ids as text, joined by spaces."""
+    import zstandard
 
-def _unpack(words: bytes, ids: bytes, n: int) -> Iterator[tuple[str, list[int]]]:
-    numbers = np.frombuffer(zlib.decompress(ids), dtype="<u4").tolist()
-    at = n
-    for word, count in zip(zlib.decompress(words).decode().split(" "), numbers[:n]):
-        yield word, numbers[at : at + count]
+    grow = zstandard.ZstdDecompressor().decompress
+    data = grow(ids)
+    numbers = list(map(str, np.frombuffer(data, "<u4", offset=2 * n).tolist()))
+    at = 0
+    for word, count in zip(grow(words).decode().split(" "), np.frombuffer(data, "<u2", n).tolist()):
+        yield word, " ".join(numbers[at : at + count])
         at += count
 
 
+def block_of(docs: DataFrame, text_col: str) -> F.Column:
+    """Blocks of about BLOCK_BYTES of input: the input partition, and a hash of the text where partitions are larger."""
+    size = docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    parts = max(1, size // BLOCK_BYTES)
+    return (F.spark_partition_id() * parts + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(parts))).cast("int")
+
+
 def word_blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct words of each block: word, block. A block is an input partition of `docs`."""
+    """Distinct words of each block: word, block."""
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        block = None
+        seen: dict[int, set[str]] = {}
         for batch in batches:
-            new: set[str] = set()
-            for text in batch["text"]:
-                new.update(split_words(text))
-            new -= seen
-            seen |= new
-            if len(batch):
-                block = batch["block"].iloc[0]
-            if new:
-                yield pd.DataFrame({"word": list(new), "block": np.int32(block)})
-
-    return docs.select(F.col(text_col).alias("text"), F.spark_partition_id().alias("block")).mapInPandas(
-        distinct, "word string, block int"
-    )
+            for block, texts in batch.groupby("block")["text"]:
+                own, new = seen.setdefault(block, set()), set()
+                for text in texts:
+                    new.update(split_words(text))
+                new -= own
+                own |= new
+                if new:
+                    yield pd.DataFrame({"word": list(new), "block": np.int32(block)})
+
+    return docs.select(F.col(text_col).alias("text"), block_of(docs, text_col).alias("block")).mapInPandas(distinct, "word string, block int")
 
 
 def encode_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -100,7 +114,7 @@ def encode_words(pairs: DataFrame, tokenizer_path: str) -> DataFrame:
             for word in fresh:
                 if SPECIAL.fullmatch(word):
                     known[word] = [whole.token_to_id(word)]
-            rows = [_pack(block, own := group["word"].tolist(), [known[w] for w in own]) for block, group in batch.groupby("block")]
+            rows = [_pack(block, known, group.tolist()) for block, group in batch.groupby("block")["word"]]
             if rows:
                 yield pd.DataFrame(rows, columns=["block", "words", "ids", "n"])
 
@@ -118,49 +132,55 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     Columns: the id, n_tokens, and ids (list of int) and decoded (string), or with `digests` instead
     ids_sha256 and decoded_sha256, the digests of the decimal ids joined by a space and of the text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     coded = encode_words(word_blocks(docs, text_col), tokenizer_path)
-    rows = docs.select(
-        F.spark_partition_id().alias("block"),
-        F.lit(1).alias("kind"),
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(None).cast("binary").alias("words"),
-        F.lit(None).cast("binary").alias("ids"),
-        F.lit(0).alias("n"),
+
+    def pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            rows = []
+            for block, group in batch.groupby("block"):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in group["text"]]
+                sizes = np.fromiter(map(len, texts), dtype="<u4", count=len(texts))
+                keys = [None if pd.isna(k) else k for k in group["id"].tolist()]
+                rows.append((block, 1, [int(k) if isinstance(k, float) else k for k in keys], shrink(b"".join(texts)), sizes.tobytes(), len(texts)))
+            yield pd.DataFrame(rows, columns=["block", "kind", "keys", "a", "b", "n"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), block_of(docs, text_col).alias("block")).mapInPandas(
+        pack_texts, f"block int, kind int, keys array<{id_type}>, a binary, b binary, n int"
     )
-    both = coded.select(
-        "block", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("string").alias("text"), "words", "ids", "n"
-    ).unionByName(rows)
+    both = coded.select("block", F.lit(0).alias("kind"), F.lit(None).cast(f"array<{id_type}>").alias("keys"), F.col("words").alias("a"), F.col("ids").alias("b"), "n").unionByName(texts)
 
     def join_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
         model = json.load(open(tokenizer_path, encoding="utf-8"))
-        pieces = {i: piece for piece, i in model["model"]["vocab"].items()} | {x["id"]: x["content"] for x in model["added_tokens"]}
-        block, table = None, {}
+        pieces = {str(i): piece for piece, i in model["model"]["vocab"].items()} | {str(x["id"]): x["content"] for x in model["added_tokens"]}
+        block, ids_of = None, {}
         for batch in batches:
-            out = []
-            for at, kind, key, text, packed, ids, n in zip(
-                batch["block"], batch["kind"], batch["id"], batch["text"], batch["words"], batch["ids"], batch["n"]
-            ):
+            for at, kind, keys, a, b, n in zip(*(batch[c] for c in ("block", "kind", "keys", "a", "b", "n"))):
                 if at != block:
-                    block, table = at, {}
+                    block, ids_of = at, {}
                 if kind == 0:
-                    for word, own in _unpack(packed, ids, n):
-                        table[word] = (len(own), " ".join(map(str, own)), " ".join([pieces[i] for i in own]))
+                    ids_of.update(_unpack(a, b, n))
                     continue
-                found = [table[w] for w in split_words(text)]
-                joined, decoded = " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
-                if digests:
-                    out.append((key, sum([x[0] for x in found]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                else:
-                    out.append((key, sum([x[0] for x in found]), [int(x) for x in joined.split()], decoded))
-            names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            frame = pd.DataFrame(out, columns=[id_col, "n_tokens", *names])
-            if id_type in ("bigint", "int"):
-                frame[id_col] = frame[id_col].astype("Int64")
-            yield frame
+                data, out, end = zstandard.ZstdDecompressor().decompress(a), [], 0
+                for key, size in zip(keys, np.frombuffer(b, "<u4").tolist()):
+                    text, end = data[end : end + size].decode("utf-8", "surrogatepass"), end + size
+                    joined = " ".join([ids_of[w] for w in split_words(text)])
+                    ids = joined.split()
+                    decoded = " ".join([pieces[i] for i in ids])
+                    if digests:
+                        out.append((key, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    else:
+                        out.append((key, len(ids), list(map(int, ids)), decoded))
+                frame = pd.DataFrame(out, columns=[id_col, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+                if id_type in ("bigint", "int"):
+                    frame[id_col] = frame[id_col].astype("Int64")
+                yield frame
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return (
