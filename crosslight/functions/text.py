@@ -123,7 +123,7 @@ def routable_ip(ip: Column, documentation: bool = False) -> Column:
 def last_untrusted_hop(forwarded: Column, peer: Column, documentation: bool = False) -> Column:
     """From right to left the first routable address of a forwarded-for list that isn't the peer."""
     hops = F.transform(F.reverse(F.split(forwarded, ",")), lambda x: parse_ip(x, v6=False))
-    return F.try_element_at(F.filter(hops, lambda x: x.isNotNull() & routable_ip(x, documentation) & (F.coalesce(x != peer, F.lit(True)))), F.lit(1))
+    return F.try_element_at(F.array_except(F.filter(hops, lambda x: x.isNotNull() & routable_ip(x, documentation)), F.array(peer)), F.lit(1))
 
 
 def split_uri(uri: Column) -> tuple[Column, Column]:
