@@ -77,52 +77,47 @@ def _canonical_v6(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def parse_ip(value: Column, v6: bool = True) -> Column:
-    """Canonical address of `ip` or `ip:port`; null if there is none. IPv6 goes through a vectorised function."""
+def plain_ip(value: Column) -> Column:
+    """Address of `ip` or `ip:port` with IPv6 as it was written; null if there is none."""
     text = F.trim(value)
     v4 = F.regexp_extract(text, r"^(\d{1,3}(?:\.\d{1,3}){3})(?::\d+)?$", 1)
-    found = F.when(v4.rlike(V4), F.regexp_replace(v4, r"\b0+(\d)", "$1"))
-    if not v6:
-        return found
-    inner = F.regexp_replace(F.regexp_replace(text, r"^\[(.*)\]:\d+$", "$1"), r"^\[(.*)\]$", "$1")
-    return F.when(found.isNotNull(), found).when(inner.contains(":"), _canonical_v6(inner))
+    inner = F.regexp_replace(text, r"^\[([^\]]*)\](:\d+)?$", "$1")
+    return F.when(v4.rlike(V4), F.regexp_replace(v4, r"\b0+(\d)", "$1")).when((v4 == "") & inner.contains(":"), inner)
 
 
-def _v4_number(ip: Column) -> Column:
-    part = lambda k: F.try_element_at(F.split(ip, r"\."), F.lit(k)).try_cast("long")
-    return ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
+def canonical_ip(ip: Column) -> Column:
+    """IPv6 in its one short form; null if it is none. A vectorised function, to be applied once to a column."""
+    return F.when(ip.contains(":"), _canonical_v6(ip)).otherwise(ip)
 
 
-# Shared address space (private, carrier-grade, loopback, link-local), then what else is not routable.
-SHARED_V4 = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16")
-UNROUTABLE_V4 = (*SHARED_V4, "0.0.0.0/8", "192.0.2.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
-SHARED_V6 = r"^(::1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+def parse_ip(value: Column) -> Column:
+    """Canonical address of `ip` or `ip:port`; null if there is none."""
+    return canonical_ip(plain_ip(value))
 
 
-def _in_v4(ip: Column, networks: tuple[str, ...]) -> Column:
-    number = _v4_number(ip)
-    tests = [number.between(int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, networks)]
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return F.coalesce(out, F.lit(False))
+# Shared address space (private, carrier-grade, loopback, link-local), what else is not
+# routable (this network, benchmarks, multicast, reserved), and the ranges for examples.
+SHARED_V4 = r"10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
+BARRED_V4 = r"0\.|198\.1[89]\.|22[4-9]\.|2[3-5]\d\."
+EXAMPLES_V4 = r"192\.0\.2\.|198\.51\.100\.|203\.0\.113\."
+SHARED_V6 = r"::1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:"
+BARRED_V6 = r"::$|ff[0-9a-f]{2}:|2001:db8:"
 
 
 def is_shared_ip(ip: Column) -> Column:
     """Whether many clients may stand behind a canonical address."""
-    return F.coalesce(F.when(ip.contains(":"), ip.rlike(SHARED_V6)).otherwise(_in_v4(ip, SHARED_V4)), F.lit(False))
+    return F.coalesce(ip.rlike(f"^({SHARED_V4}|{SHARED_V6})"), F.lit(False))
 
 
 def routable_ip(ip: Column, documentation: bool = False) -> Column:
     """A global unicast address; `documentation` lets the ranges for examples pass."""
-    barred = tuple(n for n in UNROUTABLE_V4 if not (documentation and n.split("/")[1] == "24"))
-    v6 = ~ip.rlike(r"^(::$|::1$|f[cdf][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:db8:)")
-    return F.coalesce(F.when(ip.contains(":"), v6).otherwise(ip.rlike(V4) & ~_in_v4(ip, barred)), F.lit(False))
+    barred = "|".join([SHARED_V4, BARRED_V4, SHARED_V6, BARRED_V6] + ([] if documentation else [EXAMPLES_V4]))
+    return F.coalesce((ip.contains(":") | ip.rlike(V4)) & ~ip.rlike(f"^({barred})"), F.lit(False))
 
 
 def last_untrusted_hop(forwarded: Column, peer: Column, documentation: bool = False) -> Column:
     """From right to left the first routable address of a forwarded-for list that isn't the peer."""
-    hops = F.transform(F.reverse(F.split(forwarded, ",")), lambda x: parse_ip(x, v6=False))
+    hops = F.transform(F.reverse(F.split(forwarded, ",")), lambda x: plain_ip(x))
     return F.try_element_at(F.array_except(F.filter(hops, lambda x: x.isNotNull() & routable_ip(x, documentation)), F.array(peer)), F.lit(1))
 
 

@@ -24,7 +24,7 @@ EDGE = {
 
 
 def taken(spark, *batches):
-    rows = spark.createDataFrame([("t", "feed", vendor, "b", NOW, payload) for vendor, payload in batches], ENVELOPE)
+    rows = spark.createDataFrame([("t", "feed", vendor, "b", NOW, payload) for vendor, payload in batches], ENVELOPE).coalesce(1)
     accepted, rejected = payloads.normalise(rows, 2024)
     return accepted.collect(), rejected.collect()
 
