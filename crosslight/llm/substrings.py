@@ -56,58 +56,58 @@ def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
     return joined, owner, starts, stops, counts
 
 
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each chunk: hi, lo (digest), row, doc, at, size, words, again (stands earlier in its own text)."""
+def chunk_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """A row for each chunk: hi, lo (digest), row, at. A chunk that stands earlier in its own text has -1 - at."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            joined, owner, starts, stops, counts = chunks_of(texts)
+            joined, owner, starts, stops, _ = chunks_of(texts)
             view = memoryview(joined)
             digests = [xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
             pair = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            rows = batch["row"].to_numpy()[owner] if len(owner) else np.zeros(0, np.int64)
             first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
-            begin = np.maximum.accumulate(np.where(first, starts, 0)) if len(owner) else starts
-            out = pd.DataFrame({"hi": pair[:, 0], "lo": pair[:, 1], "row": rows, "at": (starts - begin).astype(np.int32), "size": (stops - starts).astype(np.int32), "words": counts.astype(np.int32)})
-            out["doc"] = batch["doc"].array[owner] if len(owner) else pd.array([], dtype=batch["doc"].dtype)
-            out["again"] = out.duplicated(["row", "hi", "lo"])
-            yield out[["hi", "lo", "row", "doc", "at", "size", "words", "again"]]
+            at = starts - np.maximum.accumulate(np.where(first, starts, 0)) if len(owner) else starts
+            rows = batch["row"].to_numpy()[owner] if len(owner) else np.zeros(0, np.int64)
+            out = pd.DataFrame({"hi": pair[:, 0], "lo": pair[:, 1], "row": rows, "at": at})
+            out["at"] = np.where(out.duplicated(["row", "hi", "lo"]), -1 - at, at)
+            yield out
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(cut_up, f"hi long, lo long, row long, doc {id_type}, at int, size int, words int, again boolean")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(cut_up, "hi long, lo long, row long, at long")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks that stand earlier in the table: row, at, size, words, of (the document of the first)."""
-    chunks = chunk_rows(docs, id_col, text_col)
-    firsts = (
-        chunks.groupBy("hi", "lo")
-        .agg(F.count("*").alias("n"), F.min("row").alias("first"), F.min_by("doc", "row").alias("of"))
-        .where("n > 1")
-        .select("hi", "lo", "first", "of")
-    )
-    return chunks.select("hi", "lo", "row", "at", "size", "words", "again").join(firsts, ["hi", "lo"]).where("row <> first OR again").select("row", "at", "size", "words", "of")
+    """Chunks that stand earlier in the table: row, at, of (the document of the first)."""
+    chunks = chunk_rows(docs, text_col)
+    firsts = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("hi", "lo", "first")
+    again = chunks.join(firsts, ["hi", "lo"]).where("row <> first OR at < 0").select("row", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "first")
+    owners = docs.select(F.monotonically_increasing_id().alias("first"), F.col(id_col).alias("of"))
+    return again.join(owners, "first").select("row", "at", "of")
 
 
-def kept_text(text: str, found: list, least_words: int) -> tuple[str, int, list[tuple[int, int]], list]:
-    """A text without its runs of repeated chunks of at least `least_words` words; bytes taken out, their spans, whose they repeat."""
+def kept_text(text: str, found: dict[int, object], least_words: int) -> tuple[str, int, list[tuple[int, int]], list]:
+    """A text without its runs of repeated chunks of at least `least_words` words; bytes taken out, their spans, whose they repeat.
+
+    `found` has the starts of repeated chunks and whose they repeat; where they end follows from the text.
+    """
     data = text.encode("utf-8", "surrogatepass")
+    _, _, starts, stops, counts = chunks_of([data])
     spans, owners, run = [], set(), []
 
     def close() -> None:
-        if run and sum(x["words"] for x in run) >= least_words:
-            spans.append((run[0]["at"], run[-1]["at"] + run[-1]["size"]))
-            owners.update(x["of"] for x in run if x["of"] is not None)
-
-    for x in sorted(found, key=lambda x: x["at"]):
-        if run and x["at"] != run[-1]["at"] + run[-1]["size"]:
+        if sum(x[2] for x in run) >= least_words:
+            spans.append((run[0][0], run[-1][1]))
+            owners.update(found[x[0]] for x in run if found[x[0]] is not None)
+        run.clear()
+
+    for chunk in zip(starts.tolist(), stops.tolist(), counts.tolist()):
+        if chunk[0] in found:
+            run.append(chunk)
+        else:
             close()
-            run = []
-        run.append(x)
     close()
     out, end = [], 0
     for a, b in spans:
@@ -129,14 +129,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    per_row = repeated_chunks(docs, id_col, text_col).groupBy("row").agg(F.collect_list(F.struct("at", "size", "words", "of")).alias("found"))
+    per_row = repeated_chunks(docs, id_col, text_col).groupBy("row").agg(F.collect_list(F.struct("at", "of")).alias("found"))
     own = [c for c in docs.columns if c not in ("removed_bytes", "removed_spans", "repeats_of")]
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*own).alias("doc"))
     joined = numbered.join(per_row, "row", "left")
 
     @F.pandas_udf(f"text string, removed_bytes long, removed_spans array<struct<start:int,end:int>>, repeats_of array<{id_type}>")
     def rewrite(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [(text, 0, [], []) if text is None or x is None else kept_text(text, list(x), least_words) for text, x in zip(texts, found)]
+        rows = [(text, 0, [], []) if text is None or x is None else kept_text(text, {y["at"]: y["of"] for y in x}, least_words) for text, x in zip(texts, found)]
         rows = [(a, b, [{"start": s, "end": e} for s, e in c], d) for a, b, c, d in rows]
         return pd.DataFrame(rows, columns=["text", "removed_bytes", "removed_spans", "repeats_of"])
 
