@@ -17,7 +17,11 @@ def words(text: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't fill a Python worker."""
+    """Bound what one Arrow batch holds, so that very long texts don't fill a Python worker.
+
+    Bounded tables that the driver fetches come as Arrow too, not as a Python object for each row.
+    """
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
