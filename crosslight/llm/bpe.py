@@ -27,6 +27,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Input bytes of a block, which bounds the words that a task keeps.
 BLOCK_BYTES = 1 << 24
+#: Documents that a task hands on at once.
+ROWS_OUT = 256
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 ANY_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
@@ -154,6 +156,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     )
     both = coded.select("block", F.lit(0).alias("kind"), F.lit(None).cast(f"array<{id_type}>").alias("keys"), F.col("words").alias("a"), F.col("ids").alias("b"), "n").unionByName(texts)
 
+    def frame_of(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[id_col, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+        if id_type in ("bigint", "int"):
+            frame[id_col] = frame[id_col].astype("Int64")
+        return frame
+
     def join_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
@@ -176,11 +184,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     if digests:
                         out.append((key, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                     else:
-                        out.append((key, len(ids), list(map(int, ids)), decoded))
-                frame = pd.DataFrame(out, columns=[id_col, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
-                if id_type in ("bigint", "int"):
-                    frame[id_col] = frame[id_col].astype("Int64")
-                yield frame
+                        out.append((key, len(ids), np.fromiter(map(int, ids), np.int32, len(ids)), decoded))
+                    if len(out) == ROWS_OUT:
+                        yield frame_of(out)
+                        out = []
+                yield frame_of(out)
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return (
