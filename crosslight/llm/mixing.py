@@ -25,10 +25,10 @@ from .toxicity import buckets_of
 DOMAINS = ("high", "low", "toxic")
 #: Word buckets of the classifier (of the 2^20 of `buckets_of`): the bound of the model.
 BUCKETS = 1 << 18
-#: Smoothing of word counts, and the most words' worth of evidence that a posterior takes from one document.
-SMOOTHING, EVIDENCE = 0.5, 30.0
+#: Smoothing in documents, and the most words' worth of evidence that a posterior takes from one document.
+SMOOTHING, EVIDENCE = 5.0, 30.0
 #: Most steps of the descent, and the relative residual at which it ends.
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 30, 1e-3
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,9 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     found = found[found["bucket"] >= 0]
     counts[found["label"], found["bucket"]] = found["n"]
     seen = counts.sum(axis=0) >= 3  # rarer words say nothing that holds elsewhere
-    odds = np.log((counts + SMOOTHING) / (docs[:, None] + 2 * SMOOTHING))
+    # Every domain is smoothed towards the rate over all, so that small ones don't win by rare words.
+    rate = (counts.sum(axis=0) + 0.01) / (docs.sum() + 1)
+    odds = np.log((counts + SMOOTHING * rate) / (docs[:, None] + SMOOTHING))
     odds[:, ~seen] = 0
     return Classifier((odds - odds.mean(axis=0)).astype(np.float32), np.log((docs + 1) / (docs.sum() + n_domains)))
 
@@ -89,43 +91,55 @@ def fit(features: DataFrame, targets: np.ndarray, least: float = 0.0) -> list[np
     """Steps of the descent over `features` (n_tokens, posterior: array). `targets` are shares that sum to 1.
 
     With least 0 the expected total stays what it is; otherwise the total is the smallest at which no
-    domain's target lies below what the least rates give it already. An empty table, or one without
+    domain's target lies below what the least rates give it already, and a domain without a target
+    stays at that. An empty table, or one without
     tokens, needs no step.
     """
     n = len(targets)
 
-    def totals(history: list[np.ndarray]) -> np.ndarray:
+    def totals(history: list[np.ndarray], tries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain after the history and each of the steps to try (tries x n), and the Gram matrix; in one pass."""
+
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, gram = np.zeros(n), np.zeros((n, n))
+            sums, gram = np.zeros((len(tries), n)), np.zeros((n, n))
             for batch in batches:
                 if len(batch):
                     p, size = np.stack(batch["posterior"].to_numpy()), batch["n_tokens"].to_numpy(float)
-                    sums += (rates_of(p, history, least) * size) @ p
+                    so_far = rates_of(p, history, least)
+                    for k, step in enumerate(tries):
+                        sums[k] += (np.maximum(least, so_far - p @ step) * size) @ p
                     gram += (p * size[:, None]).T @ p
-            yield pd.DataFrame({"at": np.arange(n + n * n), "x": np.r_[sums, gram.ravel()]})
+            yield pd.DataFrame({"at": np.arange(sums.size + gram.size), "x": np.r_[sums.ravel(), gram.ravel()]})
 
         rows = features.mapInPandas(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(n + n * n)
+        out = np.zeros(len(tries) * n + n * n)
         for at, x in rows:
             out[at] = x
-        return out
+        return out[: len(tries) * n].reshape(-1, n), out[len(tries) * n :].reshape(n, n)
 
     history: list[np.ndarray] = []
-    first = totals(history)
-    now, gram = first[:n], first[n:].reshape(n, n)
+    (now,), gram = totals(history, [np.zeros(n)])
     if now.sum() <= 0:
         return history
     total = now.sum() if least == 0 else max(now[k] / targets[k] for k in range(n) if targets[k] > 0)
-    goal = targets * total
-    # The Gram matrix scales the steps, so rare domains move as fast as common ones. It is that of all
-    # documents, those at the bound too, so no step goes too far.
-    scaled = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(n))
+    goal = targets * total if least == 0 else np.maximum(targets * total, now)
+    # The plain step never leads away from the goal, but is short; longer ones, and steps scaled by the
+    # inverse Gram matrix, by which rare domains move as fast as common ones, are tried in the same pass,
+    # as are steps of one domain alone.
+    plain = np.eye(n) / max(np.linalg.eigvalsh(gram).max(), 1e-12)
+    scaled = np.linalg.pinv(gram + 1e-6 * np.trace(gram) * np.eye(n))
     for _ in range(STEPS):
         residual = now - goal
         if np.abs(residual).max() <= TOLERANCE * total:
             break
-        history.append(scaled @ residual)
-        now = totals(history)[:n]
+        tries = [f * (m @ residual) for m, factors in ((scaled, (1, 0.5, 0.2)), (plain, (1, 3, 9, 27))) for f in factors]
+        tries += [f * residual * (np.arange(n) == k) / max(gram[k, k], 1e-12) for k in range(n) for f in (0.5, 1, 2)]
+        sums, _ = totals(history, tries)
+        off = np.linalg.norm(sums - goal, axis=1)
+        if off.min() > 0.999 * np.linalg.norm(residual):
+            break  # this is as near as the bounds allow
+        history.append(tries[int(off.argmin())])
+        now = sums[int(off.argmin())]
     return history
 
 
