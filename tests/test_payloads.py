@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,11 +62,10 @@ def test_bot_and_origin_logs(spark):
     assert (by["nginx"].vendor_request_id, by["nginx"].client_ip, by["nginx"].verdict) == ("8f1", "198.51.100.4", "rate_limited")
 
 
-@pytest.mark.parametrize("payload", ["", "\x00", "[", "{}", "[1, null, {}]", "CEF:", "support_id=", "=" * 50, '{"RayID": null}', " {"])
-def test_garbage_never_raises(spark, payload):
-    for vendor in payloads.ADAPTERS:
-        good, _ = taken(spark, (vendor, payload))
-        assert not good
+def test_garbage_never_raises(spark):
+    odd = ["", "\x00", "[", "{}", "[1, null, {}]", "CEF:", "support_id=", "=" * 50, '{"RayID": null}', " {"]
+    good, _ = taken(spark, *((vendor, payload) for vendor in payloads.ADAPTERS for payload in odd))
+    assert not good
 
 
 def test_polls():
@@ -118,6 +118,7 @@ def day(spark, tmp_path_factory):
     return path, rows
 
 
+@pytest.mark.skipif("RUN_STREAMS" not in os.environ, reason="takes minutes")
 def test_stream_correlation_ends_like_the_batch(spark, day):
     path, rows = day
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
@@ -136,6 +137,7 @@ def test_stream_correlation_ends_like_the_batch(spark, day):
     assert spark.read.parquet(f"{root}/alerts").count() == 1
 
 
+@pytest.mark.skipif("RUN_STREAMS" not in os.environ, reason="takes minutes")
 def test_stream_dedup_and_rollup(spark, day):
     path, rows = day
     stream = spark.readStream.schema(rows.schema).parquet(str(path / "in"))
