@@ -30,7 +30,7 @@ BLOCK, SEED_BLOCK = 2_048, 256
 #: Random projections by which the graph is begun.
 PROJECTIONS = 4
 #: Candidates that a query keeps, nodes it opens in a round, entry nodes, queries of a block, most rounds.
-BEAM, OPENED, ENTRIES, QUERY_BLOCK, STEPS = 320, 64, 512, 256, 40
+BEAM, OPENED, ENTRIES, QUERY_BLOCK, STEPS = 320, 320, 512, 256, 20
 
 
 def unit_nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
