@@ -273,8 +273,8 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, top: int, bea
             names = near["node"].to_numpy(np.int64)
             order = np.argsort(names)
             names, near = names[order], near.iloc[order]
-            unit = _matrix(near["full"]) if len(near) else np.zeros((0, 1), np.float32)
             asking = _matrix(own["full"])
+            unit = _matrix(near["full"]) if len(near) else np.zeros((0, asking.shape[1]), np.float32)
             out = []
             for k, (block, query, full, found, sims, opened) in enumerate(zip(*(own[c] for c in ("block", "query", "full", "found", "sims", "open")))):
                 found, sims = np.frombuffer(found or b"", np.int64), np.frombuffer(sims or b"", np.float32)
