@@ -21,16 +21,16 @@ from pyspark.sql import types as T
 
 from .common import cut, small_batches, table
 
-#: Neighbours of a node in the graph, and the most rounds of descent.
-NEIGHBOURS, ROUNDS = 24, 5
-#: Descent ends once a round improves less than this share of the edges.
-LEAST_CHANGE = 0.02
+#: Neighbours of a node in the graph.
+NEIGHBOURS = 24
+#: Descent has converged once a round improves less than this share of the edges.
+LEAST_CHANGE = 0.001
 #: Nodes of a block, and of a random projection's block when the graph is begun.
 BLOCK, SEED_BLOCK = 2_048, 256
 #: Random projections by which the graph is begun.
 PROJECTIONS = 4
-#: Candidates that a query keeps, nodes it opens in a round, entry nodes, queries of a block, most rounds.
-BEAM, OPENED, ENTRIES, QUERY_BLOCK, STEPS = 320, 320, 512, 256, 20
+#: Candidates that a query keeps, nodes it opens in a round, least entry nodes, queries of a block.
+BEAM, OPENED, ENTRIES, QUERY_BLOCK = 320, 320, 512, 256
 
 
 def unit_nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
@@ -218,8 +218,11 @@ def _last_sim(sims: pd.Series) -> pd.Series:
     return pd.Series([float(np.frombuffer(x[-4:], np.float32)[0]) if x else -2.0 for x in sims])
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """The k most similar nodes found for each node: node, others, sims (packed, most similar first)."""
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """The k most similar nodes found for each node: node, others, sims (packed, most similar first).
+
+    Rounds go on until they hardly improve an edge; as edges only ever get better, that comes.
+    """
     n = nodes.count()
     n_blocks = max(1, math.ceil(n / BLOCK))
     candidates = None
@@ -227,21 +230,22 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) ->
         begun = _begin(nodes, k, seed)
         candidates = begun if candidates is None else candidates.unionByName(begun)
     graph = cut(_merged(candidates.withColumn("old", F.lit(False)), n_blocks, k))
-    for _ in range(rounds):
+    while True:
         new = _round(graph, nodes, n_blocks, k).withColumn("old", F.lit(False))
         graph = cut(_merged(graph.select("node", "others", "sims", F.lit(True).alias("old")).unionByName(new), n_blocks, k))
         fresh, edges = graph.agg(F.sum("fresh"), F.sum("edges")).first()
         if not edges or fresh <= LEAST_CHANGE * edges:
-            break
-    return graph.select("node", "others", "sims")
+            return graph.select("node", "others", "sims")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, top: int, beam: int = BEAM) -> DataFrame:
-    """Greedy graph search: for each query (query, full) the `top` best nodes found (query, node, sim).
+    """Greedy graph search: for each query (query, node, full) the `top` best nodes found (query, node, sim).
 
-    Every query starts from the same ENTRIES nodes, a fixed sample by a hash of the node; a round
-    opens the OPENED best nodes that it hasn't opened yet and compares all their neighbours in either
-    direction; it ends when the `beam` best are all open, or after STEPS rounds.
+    A query is a row of the graph and starts from its own node, so a group of nodes whose edges all
+    stay inside it is searched from within. It also starts from the nodes of the other queries of its
+    block and from entries, a sample by a hash of the node that grows with the root of the nodes. A
+    round opens the OPENED best nodes that aren't open yet and compares all their neighbours in either
+    direction; the search ends when the `beam` best of every query are all open.
     """
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,16 +257,17 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, top: int, bea
         owner, other, sim = _best(batch["node"].to_numpy(np.int64), batch["other"].to_numpy(np.int64), batch["sim"].to_numpy(np.float32), 3 * NEIGHBOURS)
         return _frame(owner, other, sim)[["node", "others"]]
 
-    n_blocks = max(1, math.ceil(nodes.count() / BLOCK))
+    n = nodes.count()
+    n_blocks = max(1, math.ceil(n / BLOCK))
     both = graph.mapInPandas(rows_of, "node long, other long, sim float").withColumn("block", _block("node", n_blocks))
     links = both.groupBy("block").applyInPandas(joined, "node long, others binary")
     linked = cut(nodes.select("node", "full").join(links, "node", "left"))
 
     n_queries = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    asked = cut(queries.select("query", "full", _block("query", n_queries).alias("block")))
-    entries = [r.node for r in nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node").collect()]
-    # The same ENTRIES nodes for each block of queries.
-    wanted = asked.select(F.col("block").alias("at")).distinct().select("at", F.explode(F.array(*map(F.lit, entries)) if entries else F.array().cast("array<bigint>")).alias("node"))
+    asked = cut(queries.select("query", "node", "full", _block("query", n_queries).alias("block")))
+    entries = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // max(ENTRIES, 4 * math.isqrt(n))))) == 0).select("node")
+    blocks = asked.select(F.col("block").alias("at")).distinct()
+    wanted = blocks.crossJoin(F.broadcast(entries)).unionByName(asked.select(F.col("block").alias("at"), "node")).distinct()
     state = asked.select("block", "query", "full", F.lit(None).cast("binary").alias("found"), F.lit(None).cast("binary").alias("sims"), F.lit(None).cast("binary").alias("open"))
     schema = "block int, query long, full binary, found binary, sims binary, open binary, more binary"
 
@@ -320,7 +325,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, top: int, bea
     near = wanted.join(linked.select("node", "full"), "node")
     state = state.withColumn("more", F.lit(None).cast("binary"))
     state = cut(state.groupBy("block").cogroup(near.groupBy("at")).applyInPandas(step(True), schema))
-    for _ in range(STEPS):
+    while True:
         opening = state.mapInPandas(open_next, "block int, query long, node long").select("block", "node").distinct()
         rows = opening.join(linked.select("node", "others"), "node")
         gathered = cut(state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(gather, schema))
@@ -359,12 +364,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, top: int = 5, id_col: str =
     nodes, members = unit_nodes(vectors, id_col, vector_col)
     nodes, members = cut(nodes), cut(members.distinct())
     asking = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
-    asking = members.join(asking, "id").join(nodes, "node").select(F.col("id").alias("query"), "full")
+    asking = members.join(asking, "id").join(nodes, "node").select(F.col("id").alias("query"), "node", "full")
     graph = build_graph(nodes)
     found = search(asking, nodes, graph, top=4 * (top + 1))
     # Of a node's copies the smallest ids are enough: they come first among equals.
     few = members.select("node", "id", F.row_number().over(Window.partitionBy("node").orderBy("id")).alias("n")).where(F.col("n") <= top + 1)
-    pairs = found.select("query", "node").join(asking, "query").join(nodes.select("node", F.col("full").alias("other")), "node")
+    pairs = found.select("query", "node").join(asking.drop("node"), "query").join(nodes.select("node", F.col("full").alias("other")), "node")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

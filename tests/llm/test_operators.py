@@ -256,6 +256,20 @@ def test_neighbours_against_brute_force(spark):
     assert sorted(tuple(r)[:3] for r in neighbours.nearest(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 50), (50, 1, 0)]
 
 
+def test_neighbours_in_more_clusters_than_entries(spark):
+    rng = np.random.default_rng(8)
+    vectors = np.repeat(rng.normal(size=(600, 16)), 30, axis=0) + 0.02 * rng.normal(size=(18_000, 16))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(frame, F.col("vec_id") % 50 == 0).toPandas().groupby("query_id")["vec_id"].apply(set)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 18_000, 50):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hit += len(found[q] & set(np.argsort(-sims)[:5].tolist()))
+    assert hit / (5 * 360) >= 0.98
+
+
 def near_copies():
     rng = random.Random(9)
     fresh = lambda n: [f"w{rng.randrange(4_000)}" for _ in range(n)]
