@@ -27,8 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Words are counted in this many buckets by their hash: the bound of the broadcast table.
 BUCKETS = 1 << 20
-#: Buckets of more members than this are divided by a second band before pairs are made.
-LARGE = 64
+#: Members, and their weight, of a block of a bucket; larger buckets meet as pairs of blocks.
+MEMBERS, WEIGHT = 256, 1 << 24
 #: Shingles of a document that are sampled at once.
 SLICE = 4_096
 
@@ -203,23 +203,106 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(hubs, ["band", "key"]).where("a <> row").select("a", F.col("row").alias("b")).distinct()
 
 
-def cross_pairs(bands: DataFrame, roots: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket whose members are not linked yet, of weights that allow the similarity.
+def possible(row: np.ndarray, weight: np.ndarray, root: np.ndarray, keys: np.ndarray, side: np.ndarray, band: int, similarity: float) -> np.ndarray:
+    """Pairs that a bucket of this band has to compare, as a matrix of its members.
 
-    Members of one component need no further link. In large buckets only pairs that share a second
-    band are made: at similarity 0.8 a pair with one band in common has another with probability 0.9996.
+    They are not linked yet, their weights allow the similarity, and no earlier band has them together
+    (they are compared there). Of two different blocks only pairs across are asked for.
+    """
+    out = (root[:, None] != root) & (row[:, None] < row)
+    out &= np.minimum(weight[:, None], weight) >= np.maximum(weight[:, None], weight) * (similarity - 1e-9)
+    if side.any() and not side.all():
+        out &= side[:, None] != side
+    for k in range(band):
+        out &= keys[:, k][:, None] != keys[:, k]
+    return out
+
+
+def linked(possibly: np.ndarray, root: np.ndarray, bags: list, similarity: float) -> Iterator[tuple[int, int]]:
+    """Of the possible pairs of members those that are similar; a pair that others link meanwhile isn't needed."""
+    names, local = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+    cuts = np.r_[0, np.cumsum([len(b[0]) for b in bags])]
+    weights, sums = np.concatenate([b[1] for b in bags]), np.array([b[1].sum() for b in bags])
+    own, root = np.zeros(len(names)), root.copy()
+    for i in range(len(bags)):
+        others = np.flatnonzero(possibly[i] & (root != root[i]))
+        if not len(others):
+            continue
+        own[local[cuts[i] : cuts[i + 1]]] = weights[cuts[i] : cuts[i + 1]]
+        for j in others.tolist():
+            if root[j] == root[i]:
+                continue
+            at = slice(cuts[j], cuts[j + 1])
+            shared = np.minimum(own[local[at]], weights[at]).sum()
+            if shared >= (similarity - 1e-9) * (sums[i] + sums[j] - shared) and weighted_jaccard(bags[i], bags[j]) >= similarity:
+                root[root == root[j]] = root[i]
+                yield i, j
+        own[local[cuts[i] : cuts[i + 1]]] = 0
+
+
+def bucket_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, idf, text_col: str, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that the pairs with its first row left apart.
+
+    All of a bucket's pairs are looked at, whatever its size: a block of members, or two blocks of a
+    larger bucket, meet in one task, which makes the shingles of each once and no row for a pair.
+    Members of one component need no further link; the bucket's first row has met all others already.
     """
     rows = bands.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_ = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = rows.join(open_.select("band", "key", "n"), ["band", "key"]).withColumn("second", F.lit(-1)).withColumn("key2", F.lit(0).cast("long"))
-    large = rows.where(F.col("n") > LARGE).select("row", "weight", "root", "keys", "n", "band", "key", F.posexplode("keys").alias("second", "key2")).where("second <> band")
-    names = ["band", "key", "second", "key2", "row", "weight", "root"]
-    rows = cut(rows.where(F.col("n") <= LARGE).select(*names).unionByName(large.select(*names)))
-    fields = ["band", "key", "second", "key2"]
-    left, right = (rows.select(*fields, *(F.col(c).alias(f"{c}_{side}") for c in ("row", "weight", "root"))) for side in "ab")
-    met = left.join(right, fields).where("row_a < row_b AND root_a <> root_b")
-    met = met.where(F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similarity - 1e-9))
-    return met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    hubs = bands.groupBy("band", "key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 2").drop("n")
+    rows = cut(rows.join(hubs, ["band", "key"]).where("row <> hub").drop("hub"))
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("weight") / WEIGHT)).cast("int")
+    open_ = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts")).where("low <> high")
+    rows = rows.join(open_.select("band", "key", "parts"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = ["band", "key", "low", "high"]
+    fields = [*group, "side", "row", "weight", "root", "keys"]
+    met = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block") > F.col("other")}).select(*fields)
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of a group at a time; they follow each other."""
+        held, before = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.r_[True, (batch[group].to_numpy()[1:] != batch[group].to_numpy()[:-1]).any(axis=1)]
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts, np.r_[starts[1:], len(batch)]):
+                part, name = batch.iloc[a:b], tuple(batch[group].iloc[a])
+                if held and name != before:
+                    yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                    held = []
+                held.append(part)
+                before = name
+        if held:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+    def pairs_of(rows: pd.DataFrame) -> np.ndarray:
+        return possible(*(rows[c].to_numpy() for c in ("row", "weight", "root")), np.stack(rows["keys"]), rows["side"].to_numpy(bool), int(rows["band"].iloc[0]), similarity)
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups(batches):
+            pairs = pairs_of(rows)
+            keep = pairs.any(axis=0) | pairs.any(axis=1)
+            if keep.any():
+                yield rows[keep]
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, rarity = Hashes(), idf.value
+        for rows in groups(batches):
+            if len(known) > 300_000:
+                known.clear()
+            bags = [shingles(words(t or ""), rarity, known) for t in rows["text"]]
+            names = rows["row"].to_numpy()
+            found = [(names[i], names[j]) for i, j in linked(pairs_of(rows), rows["root"].to_numpy(), bags, similarity)]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in met.dtypes)
+    # Dealt out anew by the whole group, so that the block pairs of one bucket lie in many tasks.
+    wanted = cut(met.repartition(*group).sortWithinPartitions(*group, "row").mapInPandas(needed, schema))
+    asked = wanted.select("row").distinct()
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(asked, "row")
+    return wanted.join(texts, "row").repartition(*group).sortWithinPartitions(*group, "row").mapInPandas(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -244,8 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = cut(star_pairs(bands))
     links = cut(verified(stars, docs, idf, text_col, similarity))
     roots = components(links)
-    rest = cut(cross_pairs(bands, roots, stars, similarity))
-    more = verified(rest, docs, idf, text_col, similarity)
+    more = bucket_links(bands, roots, docs, idf, text_col, similarity)
     joined = more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(joined)
 

@@ -307,6 +307,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert len({(g, found[k].class_id) for k, g in enumerate(group)}) >= len(set(group))
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    """Two similar texts that share one band only, in a bucket of several hundred others that resemble neither enough."""
+    even = (np.zeros(minhash.BUCKETS, np.int64), 1)  # all words weigh the same
+    monkeypatch.setattr(minhash, "document_frequencies", lambda docs, text_col: even)
+    rng, sampler, known, idf = random.Random(5), minhash.Sampler(), minhash.Hashes(), minhash.inverse_frequencies(*even)
+    base = [f"w{k}" for k in range(104)]
+
+    def edited(places):
+        return " ".join(f"e{rng.randrange(10**9)}" if k in places else w for k, w in enumerate(base))
+
+    def signed(text):
+        bag = minhash.shingles(words(text), idf, known)
+        return bag, sampler.bands(*bag)
+
+    for _ in range(40_000):
+        one, two = edited({20}), edited({0, rng.randrange(30, 99)})
+        (bag_a, keys_a), (bag_b, keys_b) = signed(one), signed(two)
+        if (keys_a == keys_b).sum() == 1 and minhash.weighted_jaccard(bag_a, bag_b) >= 0.8:
+            break
+    band = int(np.flatnonzero(keys_a == keys_b)[0])
+    others = []
+    while len(others) < 300:
+        text = edited(set(rng.sample(range(104), 5)))
+        bag, keys = signed(text)
+        if keys[band] == keys_a[band] and max(minhash.weighted_jaccard(bag, x) for x in (bag_a, bag_b)) < 0.8:
+            others.append(text)
+    texts = [*others, one, two]
+    bags = [signed(t)[0] for t in texts]
+    assert (keys_a == keys_b).sum() == 1 and not any(minhash.weighted_jaccard(a, b) >= 0.8 for a, b in itertools.combinations(bags[:-1], 2))
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert found == {k: k for k in range(301)} | {301: 300}
+
+
 def test_samples_agree_as_often_as_similar():
     rng, sampler = np.random.default_rng(1), minhash.Sampler()
     agree = []
