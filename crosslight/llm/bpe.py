@@ -55,7 +55,7 @@ def _pack(block: int, ids_of: dict[str, list[int]], words: list[str]) -> tuple:
 
     words = sorted(words)
     ids = [ids_of[w] for w in words]
-    counts = np.fromiter(map(len, ids), dtype="<u2", count=len(ids))
+    counts = np.fromiter(map(len, ids), dtype="<u4", count=len(ids))
     flat = np.fromiter((i for x in ids for i in x), dtype="<u4")
     shrink = zstandard.ZstdCompressor(level=6).compress
     return block, shrink(" ".join(words).encode()), shrink(counts.tobytes() + flat.tobytes()), len(ids)
@@ -67,9 +67,9 @@ def _unpack(words: bytes, ids: bytes, n: int) -> Iterator[tuple[str, str]]:
 
     grow = zstandard.ZstdDecompressor().decompress
     data = grow(ids)
-    numbers = list(map(str, np.frombuffer(data, "<u4", offset=2 * n).tolist()))
+    numbers = list(map(str, np.frombuffer(data, "<u4", offset=4 * n).tolist()))
     at = 0
-    for word, count in zip(grow(words).decode().split(" "), np.frombuffer(data, "<u2", n).tolist()):
+    for word, count in zip(grow(words).decode().split(" "), np.frombuffer(data, "<u4", n).tolist()):
         yield word, " ".join(numbers[at : at + count])
         at += count
 

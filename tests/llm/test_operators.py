@@ -89,6 +89,14 @@ def test_bpe_is_the_library_s(spark):
     assert bpe.encode(docs_of(spark, []), path).count() == 0
 
 
+def test_bpe_of_a_word_of_very_many_ids(spark):
+    path, library = tokenizer()
+    texts = ["한" * 70_000, "short"]
+    found = {r.doc_id: r.ids for r in bpe.encode(docs_of(spark, texts), path).collect()}
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(want[0]) > 65_535 and [found[0], found[1]] == want
+
+
 @pytest.mark.parametrize("size", [0, 1, 2, 254, 257, 511, 576, 3_838, 3_839, 9_216, 40_000])
 def test_codecs_round_trip(size):
     random.seed(size)
