@@ -1,6 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; where it is small at the start of a word, a chunk ends.
+Where no blank follows for long, as in scripts without them, any character may start a chunk.
 As the hash sees only the last few bytes, an insertion moves no boundary beyond itself, and a passage
 that stands in many documents is cut alike in all of them. Chunks are counted by digest; of equal
 chunks the first in the table's order is kept, and runs of later ones are taken out of their texts.
@@ -21,11 +22,34 @@ from .common import small_batches, table
 WORDS_A_CHUNK, WINDOW = 5, 16
 #: Runs of repeated chunks of fewer words stay: common phrases are no copied passages.
 LEAST_WORDS = 16
+#: Where no blank is among the next so many bytes, a chunk may end before any character: one of so many on average.
+FAR, CHARS_A_CHUNK = 64, 10
+#: There so many bytes count as a word, on top of those that blanks part.
+BYTES_A_WORD = 6
+#: `at` of the rows that stand for a whole text of few words.
+WHOLE = 1 << 40
 GEAR = np.random.default_rng(20).integers(1, 1 << 32, 256, dtype=np.uint32)
 GEAR[0] = 0  # the bytes between two texts of a batch add nothing
 GAP = b"\0" * WINDOW
 
 
+def blanks_of(data: np.ndarray) -> np.ndarray:
+    """Bytes of blanks: ASCII's with the control characters, and Unicode's white space."""
+    out = data <= 32
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if not len(lead):
+        return out
+    padded = np.r_[data, np.zeros(2, np.uint8)]
+    a, b, c = padded[lead], padded[lead + 1], padded[lead + 2]
+    two = lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+    three = (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    three |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three |= ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    three = lead[three]
+    out[np.concatenate([two, two + 1, three, three + 1, three + 2])] = True
+    return out
+
+
 def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All chunks of some texts: the texts joined, each chunk's text, start in it, end and words."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -38,11 +62,20 @@ def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
         wider = gear.copy()
         wider[width:] += gear[:-width] << np.uint32(2 * width)
         gear, width = wider, 2 * width
-    space = data <= 32
+    space = blanks_of(data)
     word = ~space
     word[1:] &= space[:-1]
     ends = np.zeros(len(data), bool)
     ends[1:] = word[1:] & (gear[:-1] < np.uint32((1 << 32) // WORDS_A_CHUNK))
+    at = np.flatnonzero(space)
+    # Bytes with no blank among the next FAR; the gap after a text counts as blanks.
+    gaps = np.diff(np.r_[-1, at, len(data)])
+    wide = np.flatnonzero(gaps > FAR)
+    dense = np.zeros(len(data), bool)
+    for a, b in zip(np.r_[-1, at][wide] + 1, np.r_[at, len(data)][wide] - FAR):
+        dense[a:b] = True
+    if len(wide):
+        ends[1:] |= dense[1:] & ((data[1:] & 0xC0) != 0x80) & (gear[:-1] < np.uint32((1 << 32) // CHARS_A_CHUNK))
     ends[begins[sizes > 0]] = True
     starts = np.flatnonzero(ends)
     owner = np.searchsorted(begins, starts, side="right") - 1
@@ -53,18 +86,23 @@ def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
     else:
         stops = starts
     counts = np.add.reduceat(word.astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
+    if len(wide):
+        counts = counts + np.add.reduceat(dense.astype(np.int32), starts) // BYTES_A_WORD
     return joined, owner, starts, stops, counts
 
 
-def chunk_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each chunk: hi, lo (digest), row, at. A chunk that stands earlier in its own text has -1 - at."""
+def chunk_rows(docs: DataFrame, text_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each chunk: hi, lo (digest), row, at. A chunk that stands earlier in its own text has -1 - at.
+
+    A text of fewer than `least_words` words has a row as a whole too, under a digest of its own kind and with at = WHOLE.
+    """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            joined, owner, starts, stops, _ = chunks_of(texts)
+            joined, owner, starts, stops, counts = chunks_of(texts)
             view = memoryview(joined)
             digests = [xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
             pair = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
@@ -74,14 +112,19 @@ def chunk_rows(docs: DataFrame, text_col: str) -> DataFrame:
             out = pd.DataFrame({"hi": pair[:, 0], "lo": pair[:, 1], "row": rows, "at": at})
             out["at"] = np.where(out.duplicated(["row", "hi", "lo"]), -1 - at, at)
             yield out
+            total = np.bincount(owner, counts, len(texts)) if len(owner) else np.zeros(len(texts))
+            short = [k for k, text in enumerate(texts) if text and total[k] < least_words]
+            if short:
+                pair = np.frombuffer(b"".join(xxh3_128_digest(texts[k], seed=1) for k in short), ">i8").reshape(-1, 2).astype(np.int64)
+                yield pd.DataFrame({"hi": pair[:, 0], "lo": pair[:, 1], "row": batch["row"].to_numpy()[short], "at": WHOLE})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     return rows.mapInPandas(cut_up, "hi long, lo long, row long, at long")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Chunks that stand earlier in the table: row, at, of (the document of the first)."""
-    chunks = chunk_rows(docs, text_col)
+    chunks = chunk_rows(docs, text_col, least_words)
     firsts = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("hi", "lo", "first")
     again = chunks.join(firsts, ["hi", "lo"]).where("row <> first OR at < 0").select("row", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "first")
     owners = docs.select(F.monotonically_increasing_id().alias("first"), F.col(id_col).alias("of"))
@@ -92,8 +135,11 @@ def kept_text(text: str, found: dict[int, object], least_words: int) -> tuple[st
     """A text without its runs of repeated chunks of at least `least_words` words; bytes taken out, their spans, whose they repeat.
 
     `found` has the starts of repeated chunks and whose they repeat; where they end follows from the text.
+    A short text that an earlier one equals goes as a whole.
     """
     data = text.encode("utf-8", "surrogatepass")
+    if WHOLE in found:
+        return "", len(data), [(0, len(data))], [] if found[WHOLE] is None else [found[WHOLE]]
     _, _, starts, stops, counts = chunks_of([data])
     spans, owners, run = [], set(), []
 
@@ -129,7 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    per_row = repeated_chunks(docs, id_col, text_col).groupBy("row").agg(F.collect_list(F.struct("at", "of")).alias("found"))
+    per_row = repeated_chunks(docs, id_col, text_col, least_words).groupBy("row").agg(F.collect_list(F.struct("at", "of")).alias("found"))
     own = [c for c in docs.columns if c not in ("removed_bytes", "removed_spans", "repeats_of")]
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*own).alias("doc"))
     joined = numbered.join(per_row, "row", "left")

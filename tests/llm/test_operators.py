@@ -395,6 +395,20 @@ def test_repeated_passages_go(spark):
         assert (cut + data[end:]).decode() == r.text
 
 
+def test_repeats_without_ascii_blanks_go(spark):
+    rng = random.Random(7)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    spaced = lambda n, blank: blank.join(f"w{rng.randrange(50_000)}" for _ in range(n))
+    passage, wide = han(300), spaced(60, "\u3000")
+    texts = [han(200) + passage + han(200), han(150) + passage + han(250), spaced(20, "\xa0") + "\u3000" + wide + "\u3000" + spaced(20, "\xa0")]
+    texts += [spaced(30, "\u2003") + "\u3000" + wide + "\u3000" + spaced(20, "\xa0"), texts[0], "three short words", "three short words", "three short", " "]
+    found = {r.doc_id: r for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [found[k].text == texts[k] for k in (0, 2, 5, 7, 8)] == [True] * 5 and found[4].text == found[6].text == ""
+    assert found[1].removed_bytes > 0.75 * len(passage.encode()) and found[1].repeats_of == [0]
+    assert found[3].removed_bytes > 0.6 * len(wide.encode()) and found[3].repeats_of == [2] and found[6].repeats_of == [5]
+    assert all(len(r.text.encode()) + r.removed_bytes == len(texts[k].encode()) for k, r in found.items())
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(1)
     text = " ".join(f"w{rng.randrange(9_999)}" for _ in range(500)).encode()
