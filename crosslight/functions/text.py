@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -96,23 +97,38 @@ def parse_ip(value: Column) -> Column:
 
 
 # Shared address space (private, carrier-grade, loopback, link-local), what else is not
-# routable (this network, benchmarks, multicast, reserved), and the ranges for examples.
-SHARED_V4 = r"10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
-BARRED_V4 = r"0\.|198\.1[89]\.|22[4-9]\.|2[3-5]\d\."
-EXAMPLES_V4 = r"192\.0\.2\.|198\.51\.100\.|203\.0\.113\."
-SHARED_V6 = r"::1$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:"
-BARRED_V6 = r"::$|ff[0-9a-f]{2}:|2001:db8:"
+# routable (this network and the unspecified address, benchmarks, multicast, reserved), and the ranges for examples.
+SHARED = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10")
+BARRED = ("0.0.0.0/8", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "::/128", "ff00::/8", "2001:db8::/32")
+EXAMPLES = ("192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24")
+
+
+def _leading(ip: Column) -> Column:
+    """The first 32 bits of an address: all of an IPv4 one, the first two groups of an IPv6 one."""
+    four = [F.try_element_at(F.split(ip, r"\."), F.lit(k)).try_cast("long") for k in (1, 2, 3, 4)]
+    two = [F.coalesce(F.conv(F.nullif(F.try_element_at(F.split(ip, ":"), F.lit(k)), F.lit("")), 16, 10).try_cast("long"), F.lit(0)) for k in (1, 2)]
+    return F.when(ip.contains(":"), two[0] * 65_536 + two[1]).otherwise(((four[0] * 256 + four[1]) * 256 + four[2]) * 256 + four[3])
+
+
+def within(ip: Column, networks: tuple[str, ...]) -> Column:
+    """Whether an address lies in one of some networks, which have prefixes of at most 32 bits or are single addresses."""
+    nets = [ipaddress.ip_network(n) for n in networks]
+    alone = [str(n.network_address) for n in nets if n.prefixlen == 128]
+    spans = [(n.version == 6, int(n.network_address), int(n.broadcast_address)) for n in nets if n.prefixlen <= 32]
+    tests = lambda x: [(ip.contains(":") == F.lit(v6)) & x.between(low >> 96 * v6, high >> 96 * v6) for v6, low, high in spans]
+    # The number is bound by a one-element list, so that it is made once for all tests.
+    found = F.exists(F.array(_leading(ip)), lambda x: reduce(lambda a, b: a | b, tests(x)))
+    return F.coalesce(found, F.lit(False)) | F.coalesce(ip.isin(alone), F.lit(False))
 
 
 def is_shared_ip(ip: Column) -> Column:
     """Whether many clients may stand behind a canonical address."""
-    return F.coalesce(ip.rlike(f"^({SHARED_V4}|{SHARED_V6})"), F.lit(False))
+    return within(ip, SHARED)
 
 
 def routable_ip(ip: Column, documentation: bool = False) -> Column:
     """A global unicast address; `documentation` lets the ranges for examples pass."""
-    barred = "|".join([SHARED_V4, BARRED_V4, SHARED_V6, BARRED_V6] + ([] if documentation else [EXAMPLES_V4]))
-    return F.coalesce((ip.contains(":") | ip.rlike(V4)) & ~ip.rlike(f"^({barred})"), F.lit(False))
+    return F.coalesce((ip.contains(":") | ip.rlike(V4)) & ~within(ip, SHARED + BARRED + (() if documentation else EXAMPLES)), F.lit(False))
 
 
 def last_untrusted_hop(forwarded: Column, peer: Column, documentation: bool = False) -> Column:
