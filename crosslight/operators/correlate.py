@@ -12,35 +12,37 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_path, uuid_of
 from ..functions.verdicts import RANK, rank
-from .components import components
+from .components import components, cut
 
 #: Width of a window in seconds, and the least bot score that contradicts an all-allowed request.
 WINDOW, SCORE = 5, 0.8
+# Request ids that stand for none.
+NO_ID = ("", "-", "0", "null", "none", "undefined")
 # Whom to trust for network and country, and the edge's own network.
 TRUST = {"cloudflare": 0, "datadome": 1, "f5": 2, "nginx": 3}
 EDGE_ASN = 13335
 
 
-def request_ids(events: DataFrame) -> DataFrame:
-    """The distinct request ids of an event, trimmed, under its tenant: tenant_id, event_id, vendor, rid."""
-    ids = F.array_distinct(F.filter(F.transform(F.array("vendor_request_id", "linked_request_id"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
-    return events.select("tenant_id", "event_id", "vendor", F.explode(F.transform(ids, lambda x: F.concat(F.lit("t1|"), "tenant_id", F.lit("|"), x))).alias("rid"))
+def request_key(column: str) -> Column:
+    """A request id, trimmed, under its tenant; null for those that stand for none, which would tie millions of requests together."""
+    own = F.trim(column)
+    return F.when(own.isNotNull() & ~F.lower(own).isin(*NO_ID), F.concat(F.lit("t1|"), "tenant_id", F.lit("|"), own))
 
 
 def exact_groups(events: DataFrame, bridges: bool = True) -> DataFrame:
     """Tier 1: event_id, tenant_id, exact_key, for events whose ids more than one vendor reports.
 
     With `bridges` an event that carries two ids makes one group of both; the key is the component's
-    smallest id. Without, events must share the vendor's own request id.
+    smallest id. Only such events are links; an id that no event ties to another is its own component.
+    Without, events must share the vendor's own request id.
     """
     if bridges:
-        ids = request_ids(events)
-        pairs = ids.groupBy("tenant_id", "event_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b"))
-        roots = components(pairs.select("a", "b").distinct())
-        keyed = ids.groupBy("tenant_id", "event_id", "vendor").agg(F.min("rid").alias("node")).join(roots, "node").select("tenant_id", "event_id", "vendor", F.col("root").alias("exact_key"))
+        ids = [request_key(c) for c in ("vendor_request_id", "linked_request_id")]
+        keyed = events.select("tenant_id", "event_id", "vendor", F.least(*ids).alias("node"), F.greatest(*ids).alias("other")).where("node IS NOT NULL")
+        roots = components(keyed.where("node <> other").select("node", "other").distinct(), "node", "other")
+        keyed = keyed.join(roots, "node", "left").select("tenant_id", "event_id", "vendor", F.coalesce("root", "node").alias("exact_key"))
     else:
-        own = F.trim("vendor_request_id")
-        keyed = events.where(own != "").select("tenant_id", "event_id", "vendor", F.concat(F.lit("t1|"), "tenant_id", F.lit("|"), own).alias("exact_key"))
+        keyed = events.select("tenant_id", "event_id", "vendor", request_key("vendor_request_id").alias("exact_key")).where("exact_key IS NOT NULL")
     # Distinct vendors of a key are few, so the count is made from partial sets before the shuffle.
     confirmed = keyed.groupBy("exact_key").agg(F.count_distinct("vendor").alias("n")).where("n > 1").select("exact_key")
     return keyed.join(confirmed, "exact_key").select("tenant_id", "event_id", "exact_key")
@@ -76,17 +78,25 @@ def heuristic_groups(events: DataFrame, window: int = WINDOW, adjacent: bool = T
 
 def grouped(events: DataFrame, window: int = WINDOW) -> DataFrame:
     """Events with their group: group_key, join_tier (1, 2, or 0 for one that stands alone)."""
-    exact = exact_groups(events)
-    with_exact = events.join(exact, ["tenant_id", "event_id"], "left")
-    rest = with_exact.where("exact_key IS NULL").drop("exact_key")
-    tier2 = heuristic_groups(rest, window).select("tenant_id", "event_id", "heuristic_key")
-    rest = rest.join(tier2, ["tenant_id", "event_id"]).select(
-        *events.columns,
+    return events.join(group_keys(events, window), ["tenant_id", "event_id"])
+
+
+#: What grouping reads of an event; the other columns meet the group once it is known.
+NARROW = ("tenant_id", "event_id", "vendor", "vendor_request_id", "linked_request_id", "event_time", "client_ip", "request_host", "request_path", "request_method")
+
+
+def group_keys(events: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Group of every event: tenant_id, event_id, group_key, join_tier."""
+    narrow = cut(events.select(*NARROW))
+    exact = cut(exact_groups(narrow))
+    rest = narrow.join(exact, ["tenant_id", "event_id"], "left_anti")
+    tier2 = heuristic_groups(rest, window).select(
+        "tenant_id",
+        "event_id",
         F.coalesce("heuristic_key", F.concat(F.lit("solo|"), "event_id")).alias("group_key"),
         F.when(F.col("heuristic_key").isNull(), 0).otherwise(2).alias("join_tier"),
     )
-    first = with_exact.where("exact_key IS NOT NULL").select(*events.columns, F.col("exact_key").alias("group_key"), F.lit(1).alias("join_tier"))
-    return first.unionByName(rest)
+    return exact.select("tenant_id", "event_id", F.col("exact_key").alias("group_key"), F.lit(1).alias("join_tier")).unionByName(tier2)
 
 
 def disagreement(flags: dict[str, Column], bot_score: Column, all_allowed: Column, vendors: Column, threshold: float = SCORE) -> Column:
@@ -165,7 +175,7 @@ def records(events: DataFrame, window: int = WINDOW, threshold: float = SCORE) -
         .withColumn("has_disagreement", F.col("disagreement_kind") != "none")
         .withColumn("candidate_count", candidates.cast("long"))
         .withColumn("confidence", confidence(n, F.col("join_tier"), F.col("client_ip_shared"), F.col("candidate_count")))
-        .withColumn("window_start", F.coalesce(start, F.floor(F.col("first_event_time") / WINDOW) * WINDOW).cast("long"))
+        .withColumn("window_start", F.coalesce(start, F.floor(F.col("first_event_time") / window) * window).cast("long"))
         .withColumn("correlation_id", uuid_of(F.concat(F.octet_length("group_key").cast("string"), F.lit(":"), "group_key")))
         .withColumn("f5_verdict", F.coalesce(F.try_element_at("verdicts", F.lit("f5")), F.lit("")))
         .withColumn("cf_verdict", F.coalesce(F.try_element_at("verdicts", F.lit("cloudflare")), F.lit("")))

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, keys: list[str], version: str = "ingest_version", ties: list[str] | None = None) -> DataFrame:
+def latest(rows: DataFrame, keys: list[str], version: str = "ingest_version", ties: list[str] | None = None, fixed: Column | None = None) -> DataFrame:
     """The newest version of each key; ties between equal versions go by `ties`, descending.
 
-    Filters on columns that a later version may change belong after this, not before it.
+    Filters on columns that a later version may change belong after this, not before it. `fixed` is a
+    filter on columns that all versions of a key share; it is applied before, where it reaches the scan.
     """
+    if fixed is not None:
+        rows = rows.where(fixed)
     order = [F.desc(c) for c in (version, *(ties or []))]
     return pick_first(rows, keys, order)
 

@@ -19,9 +19,9 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest version of each observation."""
-    return latest(observations(spark, sf_dir), ["tenant_id", "event_id"])
+def events(spark: SparkSession, sf_dir: str, fixed: Column | None = None) -> DataFrame:
+    """Newest version of each observation; `fixed` is a filter on what its versions share."""
+    return latest(observations(spark, sf_dir), ["tenant_id", "event_id"], fixed=fixed)
 
 
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
