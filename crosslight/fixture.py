@@ -41,7 +41,7 @@ COLUMNS = {
     "waf_attack_score": "CAST(CASE WHEN vendor = 'cloudflare' THEN (id * 13) % 101 ELSE 0 END AS INT)",
     "waf_action": "CASE WHEN vendor <> 'cloudflare' THEN '' WHEN id % 6 = 0 THEN 'block' WHEN id % 6 = 1 THEN 'log' WHEN id % 6 = 2 THEN 'skip' WHEN id % 6 = 3 THEN 'challenge' WHEN id % 6 = 4 THEN 'simulate' ELSE '' END",
     "waf_source": "CASE WHEN vendor <> 'cloudflare' THEN '' WHEN id % 4 = 0 THEN 'firewallManaged' ELSE 'firewallCustom' END",
-    "matched_rule": "CASE WHEN vendor = 'cloudflare' AND id % 3 = 0 THEN 'm' || CAST(id % 8 AS STRING) ELSE '' END",
+    "matched_rule": "CASE WHEN vendor = 'cloudflare' AND id % 4 = 0 THEN 'm' || CAST(id % 9 AS STRING) ELSE '' END",
     "violation": "CASE WHEN vendor = 'f5' THEN 'VIOL-' || CAST(id % 5 AS STRING) ELSE '' END",
     "ingest_version": "CAST(ver AS BIGINT)",
 }

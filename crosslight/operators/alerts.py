@@ -23,6 +23,8 @@ GROUPS = {
 }
 AGGREGATES, COMPARATORS = ("count", "distinct_ips", "rate"), ("gt", "gte", "lt", "lte")
 WINDOWS, COOLDOWNS, EVIDENCE, MAX_GROUPS = (30, 86_400), (60, 7 * 86_400), 20, 3
+#: Deliveries of an alert that are tried.
+ATTEMPTS = 5
 
 
 @dataclass(frozen=True)
@@ -92,15 +94,40 @@ def measure(records: DataFrame, condition: Condition, end: int, rate_compat: boo
 
 
 def preview(records: DataFrame, condition: Condition, start: int, end: int, step: int = 30) -> DataFrame:
-    """What a rule would have measured at each tick of a range; a count in trailing windows, in one pass."""
-    hits = filtered(records.where((F.col("window_start") >= start - condition.window) & (F.col("window_start") < end)), condition.filters, RECORD_FILTERS)
-    keys = [F.col(GROUPS[g]).alias(g) for g in condition.group_by]
-    # A record counts at every tick within `window` seconds after it.
-    low = F.greatest(F.lit(start), (F.floor(F.col("window_start") / step) + 1) * step)
-    high = F.least(F.lit(end), F.col("window_start") + condition.window)
-    ticks = hits.where(low <= high).select(*keys, "client_ip", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(step).cast("long"))).alias("tick"))
-    value = F.count_distinct("client_ip") if condition.aggregate == "distinct_ips" else F.count("*")
-    return ticks.groupBy("tick", *condition.group_by).agg(value.cast("double").alias("value")).withColumn("fires", compare(F.col("value"), condition.comparator, condition.threshold))
+    """What a rule would have measured at each tick start, start + step, ... up to `end`: tick, the groups, value, fires.
+
+    A record counts at every tick within `window` seconds after it. It is added up where it enters and
+    where it leaves, and values are running sums, so there is no row for each record and tick. Without
+    groups every tick is listed; with groups those of a group that has hits, as `measure` does.
+    """
+    n = max(0, (end - start) // step + 1)
+    rows = records.where((F.col("window_start") >= start - condition.window) & (F.col("window_start") < end))
+    groups = list(condition.group_by)
+    first = F.greatest(F.lit(0), F.floor((F.col("window_start") - start) / step) + 1).cast("long")
+    last = F.least(F.lit(n - 1), F.floor((F.col("window_start") + condition.window - start) / step)).cast("long")
+
+    def moves(frame: DataFrame, hit: int) -> DataFrame:
+        keyed = frame.select(*(F.col(GROUPS[g]).alias(g) for g in groups), "client_ip", first.alias("a"), last.alias("b")).where("a <= b")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("k"), F.lit(-1).alias("d"))))
+        return keyed.select(*groups, "client_ip", ends.alias("m")).select(*groups, "client_ip", "m.k", (F.col("m.d") * hit).alias("hits"), (F.col("m.d") * (1 - hit)).alias("every"))
+
+    met = moves(filtered(rows, condition.filters, RECORD_FILTERS), 1)
+    if condition.aggregate == "rate":
+        met = met.unionByName(moves(rows, 0))
+    if condition.aggregate == "distinct_ips":
+        # An address counts from where it is first seen until all of its records have left.
+        along = Window.partitionBy(*groups, "client_ip").orderBy("k")
+        met = met.where("client_ip IS NOT NULL").groupBy(*groups, "client_ip", "k").agg(F.sum("hits").alias("d")).withColumn("there", (F.sum("d").over(along) > 0).cast("int"))
+        met = met.select(*groups, "k", (F.col("there") - F.coalesce(F.lag("there").over(along), F.lit(0))).alias("hits"), F.lit(0).alias("every"))
+    summed = met.groupBy(*groups, "k").agg(F.sum("hits").alias("hits"), F.sum("every").alias("every"))
+    along = Window.partitionBy(*(groups or [F.lit(1)])).orderBy("k")  # a row for each tick of a group at most
+    until = F.least(F.lit(n), F.coalesce(F.lead("k").over(along), F.lit(n)))
+    held = summed.select(*groups, "k", F.sum("hits").over(along).alias("hits"), F.sum("every").over(along).alias("every"), until.alias("until")).where("k < until AND hits > 0")
+    value = F.coalesce(F.try_divide("hits", "every"), F.lit(0.0)) if condition.aggregate == "rate" else F.col("hits").cast("double")
+    out = held.select(F.explode(F.sequence("k", F.col("until") - 1)).alias("k"), *groups, value.alias("value"))
+    if not groups:
+        out = records.sparkSession.range(n).withColumnRenamed("id", "k").join(out, "k", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return out.select((F.lit(start) + F.col("k") * step).cast("long").alias("tick"), *groups, "value").withColumn("fires", compare(F.col("value"), condition.comparator, condition.threshold))
 
 
 def with_cooldown(firings: DataFrame, fired: DataFrame, rule_id: str, group_by: tuple[str, ...], now: int) -> DataFrame:
@@ -118,9 +145,27 @@ def list_alerts(alerts: DataFrame, start: int, end: int, state: str | None = Non
     return rows.orderBy(F.desc("fired_at"), F.desc("alert_id")).limit(min(limit, 500))
 
 
-def pending_deliveries(alerts: DataFrame, limit: int = 50) -> DataFrame:
-    """Undelivered alerts, oldest first."""
-    return latest(alerts, ["alert_id"], "version").where("notify_status = 'pending'").orderBy("fired_at", "alert_id").limit(limit)
+def pending_deliveries(alerts: DataFrame, now: int | None = None, limit: int = 50) -> DataFrame:
+    """Undelivered alerts whose next attempt is due at `now` (any, without it), oldest first."""
+    rows = latest(alerts, ["alert_id"], "version").where("notify_status = 'pending'")
+    if now is not None:
+        rows = rows.where(F.coalesce("next_attempt_at", F.lit(0)) <= now)
+    return rows.orderBy("fired_at", "alert_id").limit(limit)
+
+
+def after_attempts(alerts: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
+    """New versions of pending alerts after a delivery (outcomes: alert_id, delivered): sent, tried again later, or given up."""
+    met = latest(alerts, ["alert_id"], "version").where("notify_status = 'pending'").join(outcomes.select("alert_id", "delivered"), "alert_id")
+    attempt = F.coalesce("attempts", F.lit(0)) + 1
+    delays = [retry_delay(k) for k in range(1, ATTEMPTS + 1)]
+    delay = F.try_element_at(F.array(*(F.lit(x).cast("long") for x in delays)), attempt.cast("int"))
+    changed = (
+        met.withColumn("notify_status", F.when(F.col("delivered"), "sent").when(delay.isNull(), "failed").otherwise("pending"))
+        .withColumn("next_attempt_at", F.when(~F.col("delivered"), F.lit(now) + delay).cast("long"))
+        .withColumn("attempts", attempt.cast("int"))
+        .drop("delivered")
+    )
+    return append_version(alerts, changed, ["alert_id"])
 
 
 def transition(alerts: DataFrame, alert_ids: list[str], state: str, at: int) -> DataFrame:
@@ -136,4 +181,4 @@ def transition(alerts: DataFrame, alert_ids: list[str], state: str, at: int) ->
 
 def retry_delay(attempt: int) -> int | None:
     """Seconds before a delivery is tried again; none after five attempts."""
-    return min(300, 2 * 2 ** (attempt - 1)) if attempt < 5 else None
+    return min(300, 2 * 2 ** (attempt - 1)) if attempt < ATTEMPTS else None

@@ -197,10 +197,10 @@ def page_total(rows_on_page: int, size: int, first_page: bool) -> tuple[int, boo
     return min(rows_on_page, size), first_page and rows_on_page <= size
 
 
-def export(rows: DataFrame, limit: int = EXPORT) -> tuple[DataFrame, DataFrame]:
-    """Rows to write and a one-row frame that tells whether there were more."""
-    few = rows.limit(limit + 1)
-    return rows.limit(limit), few.agg((F.count("*") > limit).alias("truncated"))
+def export(rows: DataFrame, limit: int = EXPORT, sort: str = "event_time", key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """The newest rows to write, by time and id, and a one-row frame that tells whether there were more."""
+    newest = rows.orderBy(F.desc(sort), F.desc(key))
+    return newest.limit(limit), newest.limit(limit + 1).agg((F.count("*") > limit).alias("truncated"))
 
 
 def write_ndjson(rows: DataFrame, path: str) -> None:

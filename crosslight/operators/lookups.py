@@ -156,6 +156,26 @@ def rule_samples(events: DataFrame, rule: str, limit: int = 20) -> DataFrame:
     return latest(events.where(F.col("rule_id") == rule), ["tenant_id", "event_id"]).orderBy(F.desc("event_time"), F.desc("event_id")).limit(limit)
 
 
+def list_rules(rules: DataFrame, tenant: str) -> DataFrame:
+    """A tenant's alert rules in their newest version, by name."""
+    return latest(rules, ["tenant_id", "rule_id"], "version").where(F.col("tenant_id") == tenant).orderBy("name", "rule_id")
+
+
+def enabled_rules(rules: DataFrame) -> DataFrame:
+    """Rules of all tenants whose newest version is enabled."""
+    return latest(rules, ["tenant_id", "rule_id"], "version").where("enabled")
+
+
+def list_feeds(feeds: DataFrame, tenant: str) -> DataFrame:
+    """A tenant's feeds in their newest version, by id."""
+    return latest(feeds, ["tenant_id", "feed_id"], "version").where(F.col("tenant_id") == tenant).orderBy("feed_id")
+
+
+def pull_feeds(feeds: DataFrame) -> DataFrame:
+    """Feeds of all tenants that are to be pulled and whose newest version is enabled."""
+    return latest(feeds, ["tenant_id", "feed_id"], "version").where("enabled AND mode = 'pull'")
+
+
 def chain_links(entries: DataFrame) -> DataFrame:
     """Audit entries with `linked`: whether an entry names the digest of the one before it. A tenant's first has none to name."""
     along = Window.partitionBy("tenant_id").orderBy("occurred_at", "entry_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_chain
+from ..functions.text import framed, hash_chain
 from .lookups import chain_links
 
 DAY = 86_400
@@ -53,23 +57,34 @@ def days_to_full(daily: DataFrame, capacity: int, today: str) -> DataFrame:
 AUDIT_FIELDS = ("tenant_id", "entry_id", "occurred_at", "actor", "action", "target", "detail")
 
 
-def sealed(entries: DataFrame) -> DataFrame:
-    """Entries with the digest of their fields; the digest before it is chained by `chained`."""
-    return entries.withColumn("content_hash", hash_chain(*(F.col(c) for c in AUDIT_FIELDS)))
-
-
 def chained(entries: DataFrame) -> DataFrame:
-    """Entries with entry_hash (of their content and place) and prev_hash, the one before it of the tenant."""
-    along = Window.partitionBy("tenant_id").orderBy("occurred_at", "entry_id")
-    own = sealed(entries).withColumn("entry_hash", hash_chain(F.col("content_hash"), F.row_number().over(along)))
-    return own.withColumn("prev_hash", F.coalesce(F.lag("entry_hash").over(along), F.lit("")))
+    """Entries with prev_hash, the digest of the tenant's entry before ("" for the first), and entry_hash, the digest of prev_hash and the fields.
+
+    Whoever changes an entry has to change all later ones. Each digest needs the one before, so a
+    tenant's entries are sealed in order, by one task that keeps no more than the last digest.
+    """
+    keys = ["tenant_id", "entry_id"]
+
+    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, last = None, ""
+        for batch in batches:
+            before, own = [], []
+            for name, content in zip(batch["tenant_id"], batch["content"]):
+                if name != tenant:
+                    tenant, last = name, ""
+                before.append(last)
+                last = hashlib.sha256(f"{len(last)}:{last}|{content}".encode()).hexdigest()
+                own.append(last)
+            yield batch[keys].assign(prev_hash=before, entry_hash=own)
+
+    content = entries.select(*keys, "occurred_at", framed(*(F.col(c).cast("string") for c in AUDIT_FIELDS)).alias("content"))
+    ordered = content.repartition("tenant_id").sortWithinPartitions("tenant_id", "occurred_at", "entry_id").select(*keys, "content")
+    return entries.join(ordered.mapInPandas(seal, "tenant_id string, entry_id string, prev_hash string, entry_hash string"), keys)
 
 
 def verify_chain(entries: DataFrame) -> DataFrame:
-    """Entries with `linked` and `intact`: whether the fields still give the digest."""
-    along = Window.partitionBy("tenant_id").orderBy("occurred_at", "entry_id")
-    checked = entries.withColumn("intact", F.col("entry_hash") == hash_chain(hash_chain(*(F.col(c) for c in AUDIT_FIELDS)), F.row_number().over(along)))
-    return chain_links(checked)
+    """Entries with `intact`, whether prev_hash and the fields still give the digest, and `linked`, whether prev_hash is that of the entry before."""
+    return chain_links(entries.withColumn("intact", F.col("entry_hash") == hash_chain(F.col("prev_hash"), *(F.col(c) for c in AUDIT_FIELDS))))
 
 
 def list_audit(entries: DataFrame, start: int, end: int, action: str | None = None, actor: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import verdicts as v
-from ..operators import correlate, filters, health, latest, lookups, panels, tuning, upkeep
+from ..operators import alerts, correlate, filters, health, latest, lookups, panels, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from .base import events, joined, map_text, over_events, over_obs, over_records, raw, stored_records
 
@@ -45,9 +45,15 @@ SPAN = "(SELECT min(event_time) AS lo, max(event_time) + 1 AS hi FROM obs)"
 
 @query("scan_events", over_events(f"SELECT {EVENT_COLUMNS} FROM ev, {SPAN} WHERE tenant_id = 'tenant-1' AND event_time >= lo + 100000 AND event_time < least(lo + 900000, hi)"))
 def scan_events(spark, d):
-    rows = events(spark, d)
     low, high = _span(raw(spark, d))
-    return _some(filters.time_range(rows.where("tenant_id = 'tenant-1'"), low + 100_000, low + 900_000, high))
+    # Tenant and time are the same in all versions of an event, so they may be asked for first.
+    within = (F.col("tenant_id") == "tenant-1") & (F.col("event_time") >= low + 100_000) & (F.col("event_time") < low + 900_000)
+    return _some(filters.time_range(events(spark, d, within), low + 100_000, low + 900_000, high))
+
+
+def _keyset(spark, d, after):
+    """A page by (time, id), which all versions of an event share: filtered before versions are told apart."""
+    return _some(filters.page(events(spark, d, F.col("event_time") <= after.at), size=50, after=after))
 
 
 FILTERS = {
@@ -95,9 +101,9 @@ query("scan_partition_bound", over_records(f"SELECT {RECORD_COLUMNS} FROM rec, (
     lambda spark, d: _some(filters.near_partition(r := stored_records(spark, d), (lo := r.agg(F.min("window_start")).first()[0] or 0) + 200_000, lo + 300_000), RECORD_COLUMNS)
 )
 query("pg_keyset", over_events(f"SELECT {EVENT_COLUMNS} FROM ev, {SPAN} WHERE event_time < lo + 500000 OR (event_time = lo + 500000 AND event_id < 'f') ORDER BY event_time DESC, event_id DESC LIMIT 51"))(
-    lambda spark, d: _some(filters.page(events(spark, d), size=50, after=filters.Cursor.decode(filters.Cursor(_span(raw(spark, d))[0] + 500_000, "f").encode())))
+    lambda spark, d: _keyset(spark, d, filters.Cursor.decode(filters.Cursor(_span(raw(spark, d))[0] + 500_000, "f").encode()))
 )
-query("export_csv", over_events("SELECT regexp_replace('=' || event_id, '^([=+\\-@\\t\\r])', '''\\1') AS safe, event_id FROM ev"))(
+query("export_csv", over_events("SELECT regexp_replace('=' || event_id, '^([=+\\-@\\t\\r])', '''\\1') AS safe, event_id FROM ev ORDER BY event_time DESC, event_id DESC LIMIT 100000"))(
     lambda spark, d: filters.export(events(spark, d))[0].select(t.csv_safe(F.concat(F.lit("="), "event_id")).alias("safe"), "event_id")
 )
 query("export_ndjson", over_events("SELECT count(*) > 5000 AS truncated FROM ev"))(lambda spark, d: filters.export(events(spark, d), 5_000)[1])
@@ -155,7 +161,7 @@ query("jn_event_to_corr", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE
 )
 ASN = "SELECT 64500 + n_nationkey AS asn, n_name AS owner_name, r_name AS owner_country FROM nation JOIN region ON n_regionkey = r_regionkey"
 query("jn_asn_owner", over_events(f"SELECT e.event_id, e.client_asn, o.owner_name, o.owner_country FROM ev e LEFT JOIN ({ASN}) o ON e.client_asn = o.asn"))(lambda spark, d: lookups.with_asn_owner(events(spark, d), _owners(spark, d)).select("event_id", "client_asn", "owner_name", "owner_country"))
-RULES = "SELECT 'tenant-' || (p_partkey % 3) AS tenant_id, 'r' || (p_partkey % 9) AS rule_id, p_name AS description, CASE WHEN p_size % 3 = 0 THEN 'log' WHEN p_size % 3 = 1 THEN 'simulate' ELSE 'block' END AS action FROM part"
+RULES = "SELECT 'tenant-' || (p_partkey % 3) AS tenant_id, 'r' || (p_partkey % 9) AS rule_id, p_name AS description, CASE WHEN p_partkey % 9 IN (1, 4) THEN 'log' WHEN p_partkey % 9 = 7 THEN 'simulate' WHEN p_size % 2 = 0 THEN 'log' ELSE 'block' END AS action FROM part"
 query("jn_rule_names", over_events(f"SELECT e.event_id, e.rule_id, n.rule_name FROM ev e LEFT JOIN (SELECT tenant_id, rule_id, min(description) AS rule_name FROM ({RULES}) WHERE description <> '' GROUP BY ALL) n USING (tenant_id, rule_id)"))(
     lambda spark, d: lookups.with_rule_names(events(spark, d), _rules(spark, d)).select("event_id", "rule_id", "rule_name")
 )
@@ -190,7 +196,7 @@ def _rules(spark, d):
         F.concat(F.lit("tenant-"), (F.col("p_partkey") % 3).cast("string")).alias("tenant_id"),
         F.concat(F.lit("r"), (F.col("p_partkey") % 9).cast("string")).alias("rule_id"),
         F.col("p_name").alias("description"),
-        F.when(F.col("p_size") % 3 == 0, "log").when(F.col("p_size") % 3 == 1, "simulate").otherwise("block").alias("action"),
+        F.expr("CASE WHEN p_partkey % 9 IN (1, 4) THEN 'log' WHEN p_partkey % 9 = 7 THEN 'simulate' WHEN p_size % 2 = 0 THEN 'log' ELSE 'block' END").alias("action"),
     )
 
 
@@ -258,7 +264,7 @@ query("backfill_rollup", over_events("SELECT tenant_id, vendor, count(DISTINCT e
 )
 SCORED = "count(*) AS events, count(*) FILTER (WHERE waf_attack_score BETWEEN 1 AND 20) AS attack, count(*) FILTER (WHERE waf_attack_score BETWEEN 21 AND 50) AS suspicious, count(*) FILTER (WHERE waf_attack_score > 50) AS clean, round(coalesce(avg(waf_attack_score) FILTER (WHERE waf_attack_score > 0), 0.0), 6) AS mean_score"
 query("agg_waf_rule_profile", over_events(f"SELECT *, CASE WHEN waf_action = 'skip' THEN 'exempting' WHEN attack + suspicious + clean = 0 THEN 'unscored' WHEN (attack + suspicious) / (attack + suspicious + clean) >= 0.8 THEN 'attacks' WHEN (attack + suspicious) / (attack + suspicious + clean) <= 0.2 THEN 'clean' ELSE 'mixed' END AS reading FROM (SELECT rule_id, request_host, waf_action, waf_source, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id <> '' GROUP BY ALL)"))(
-    lambda spark, d: tuning.rule_profile(events(spark, d))
+    lambda spark, d: tuning.rule_profile(events(spark, d, F.col("vendor") == "cloudflare"))
 )
 query("agg_waf_paths", over_events(f"SELECT request_host, request_path, events, mean_score FROM (SELECT request_host, request_path, {SCORED} FROM ev WHERE rule_id = 'r3' GROUP BY ALL)"))(lambda spark, d: tuning.rule_paths(events(spark, d), "r3"))
 query("agg_waf_gaps", over_events(f"SELECT request_host, events, attack, suspicious, mean_score FROM (SELECT request_host, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id = '' AND waf_attack_score BETWEEN 1 AND 50 GROUP BY ALL)"))(lambda spark, d: tuning.gaps(events(spark, d)))
@@ -302,9 +308,16 @@ query("agg_alert_measure", over_records(f"SELECT request_host, count(*)::DOUBLE
 query("alert_rate", over_records(f"SELECT country, n / every AS value, n / every > 0.1 AS fires FROM (SELECT client_country AS country, count(*) FILTER (WHERE disagreement_kind = 'allow_vs_block')::DOUBLE AS n, count(*) AS every FROM rec, {LAST} WHERE window_start >= hi - 86400 AND window_start < hi GROUP BY 1) WHERE n > 0"))(
     lambda spark, d: measure(r := stored_records(spark, d), Condition("rate", "gt", 0.1, 86_400, 86_400, {"kind": "allow_vs_block"}, ("country",)), _last(r)).select("country", "value", "fires")
 )
-query("alert_preview", over_records(f"SELECT tick, count(*)::DOUBLE AS value, count(*) >= 3 AS fires FROM (SELECT window_start AS w, hi, unnest(generate_series(greatest(hi - 36000, (window_start // 600 + 1) * 600 + (hi - 36000) * 0), least(hi, window_start + 3600), 600)) AS tick FROM rec, (SELECT ((max(window_start) + 5) // 600) * 600 AS hi FROM rec) WHERE window_start >= hi - 36000 - 3600 AND window_start < hi AND disagreement_kind = 'allow_vs_block') GROUP BY tick"))(
+TICKS = "(SELECT unnest(generate_series(hi - 36000 + {0}, hi, 600)) AS tick FROM (SELECT ((max(window_start) + 5) // 600) * 600 AS hi FROM rec)) t LEFT JOIN rec ON window_start >= tick - 3600 AND window_start < tick"
+query("alert_preview", over_records(f"SELECT tick, n::DOUBLE AS value, n >= 3 AS fires FROM (SELECT tick, count(*) FILTER (WHERE disagreement_kind = 'allow_vs_block') AS n FROM {TICKS.format(0)} GROUP BY tick)"))(
     lambda spark, d: preview(r := stored_records(spark, d), Condition("count", "gte", 3, 3_600, 86_400, {"kind": "allow_vs_block"}), (hi := _last(r) // 600 * 600) - 36_000, hi, 600)
 )
+query("alert_preview_rate", over_records(f"SELECT tick, value, value > 0.1 AS fires FROM (SELECT tick, coalesce(count(*) FILTER (WHERE disagreement_kind = 'allow_vs_block') / nullif(count(correlation_id), 0), 0.0)::DOUBLE AS value FROM {TICKS.format(7)} GROUP BY tick)"))(
+    lambda spark, d: preview(r := stored_records(spark, d), Condition("rate", "gt", 0.1, 3_600, 86_400, {"kind": "allow_vs_block"}), (hi := _last(r) // 600 * 600) - 36_000 + 7, hi, 600)
+)
+query("alert_preview_ips", over_records(f"SELECT tick, request_host, n::DOUBLE AS value, n >= 2 AS fires FROM (SELECT tick, request_host, count(DISTINCT client_ip) FILTER (WHERE disagreement_kind = 'allow_vs_block') AS n FROM {TICKS.format(7)} GROUP BY ALL) WHERE n > 0"))(
+    lambda spark, d: preview(r := stored_records(spark, d), Condition("distinct_ips", "gte", 2, 3_600, 86_400, {"kind": "allow_vs_block"}, ("request_host",)), (hi := _last(r) // 600 * 600) - 36_000 + 7, hi, 600)
+)
 query("alert_compare", over_records("SELECT correlation_id, vendor_count > 2 AS gt, vendor_count >= 2 AS gte, vendor_count < 2 AS lt, vendor_count <= 2 AS lte, false AS other FROM rec"))(
     lambda spark, d: stored_records(spark, d).select("correlation_id", *(_compare(F.col("vendor_count"), c, n).alias(c) for c, n in (("gt", 2), ("gte", 2), ("lt", 2), ("lte", 2), ("other", 2))))
 )
@@ -400,6 +413,41 @@ query("backfill_column", over_events("SELECT event_id, 'ua-' || regexp_extract(u
     lambda spark, d: lookups.backfill_column(r := raw(spark, d), r.select("tenant_id", "event_id", "received_at", F.concat(F.lit("ja4=ua-"), F.regexp_extract("user_agent", "probe([0-9])", 1), F.lit(";")).alias("payload")), "ja4", "ja4=([^;]+)").select("event_id", "ja4", "ingest_version")
 )
 
+# Alerts, rules and feeds in versions, made of orders and suppliers.
+ALERTS = (
+    "SELECT CAST(o_orderkey AS {s}) AS alert_id, 'rule-' || CAST(o_custkey % 5 AS {s}) AS rule_id, CASE WHEN o_totalprice > 200000 THEN 'critical' ELSE 'warning' END AS severity, "
+    "CASE WHEN o_orderstatus = 'F' THEN 'new' WHEN o_orderstatus = 'O' THEN 'acknowledged' ELSE 'resolved' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 'sent' ELSE 'pending' END AS notify_status, "
+    "CAST(o_orderkey * 10 AS BIGINT) AS fired_at, CAST(o_orderkey % 6 AS INT) AS attempts, CAST(o_orderkey * 10 + o_custkey % 100 AS BIGINT) AS next_attempt_at, CAST(NULL AS BIGINT) AS acknowledged_at, CAST(NULL AS BIGINT) AS resolved_at, CAST(1 AS BIGINT) AS version FROM orders"
+)
+ALERTS_SQL = ALERTS.format(s="VARCHAR")
+RULE_ROWS = "SELECT 'tenant-' || CAST(s_suppkey % 3 AS {s}) AS tenant_id, 'a' || CAST(s_suppkey % 40 AS {s}) AS rule_id, s_name AS name, s_suppkey % 4 <> 0 AS enabled, CAST(s_suppkey AS BIGINT) AS version FROM supplier"
+FEED_ROWS = "SELECT 'tenant-' || CAST(s_suppkey % 3 AS {s}) AS tenant_id, 'feed-' || CAST(s_suppkey % 40 AS {s}) AS feed_id, CASE WHEN s_nationkey % 2 = 0 THEN 'pull' ELSE 'push' END AS mode, s_suppkey % 5 <> 0 AS enabled, CAST(s_suppkey AS BIGINT) AS version FROM supplier"
+
+
+def _from(table: str, select: str):
+    sql = select.format(s="STRING").replace(f" FROM {table}", " FROM {rows}")
+    return lambda spark, d: spark.sql(sql, rows=spark.read.parquet(f"{d}/{table}.parquet"))
+
+
+_alerts, _alert_rules, _feeds = _from("orders", ALERTS), _from("supplier", RULE_ROWS), _from("supplier", FEED_ROWS)
+NEWEST = "(SELECT * FROM ({0}) QUALIFY row_number() OVER (PARTITION BY tenant_id, {1} ORDER BY version DESC) = 1)"
+query("list_alerts", f"SELECT alert_id, fired_at FROM ({ALERTS_SQL}) WHERE state = 'acknowledged' AND severity = 'critical' AND fired_at < 4000000 ORDER BY fired_at DESC, alert_id DESC LIMIT 500")(
+    lambda spark, d: alerts.list_alerts(_alerts(spark, d), 0, 4_000_000, state="acknowledged", severity="critical", limit=1_000).select("alert_id", "fired_at")
+)
+query("list_pending_deliveries", f"SELECT alert_id, fired_at FROM ({ALERTS_SQL}) WHERE notify_status = 'pending' AND next_attempt_at <= 20000 ORDER BY fired_at, alert_id LIMIT 50")(
+    lambda spark, d: alerts.pending_deliveries(_alerts(spark, d), 20_000).select("alert_id", "fired_at")
+)
+query("alert_transition", f"SELECT alert_id, 'resolved' AS state, 77 AS acknowledged_at, 77 AS resolved_at, 2 AS version FROM ({ALERTS_SQL}) WHERE alert_id IN ('1', '2', '3', '4', '5', '6', '7') AND state <> 'resolved'")(
+    lambda spark, d: alerts.transition(_alerts(spark, d), [str(k) for k in range(1, 8)], "resolved", 77).select("alert_id", "state", "acknowledged_at", "resolved_at", "version")
+)
+query("st_alert_retry", f"SELECT alert_id, CASE WHEN ok THEN 'sent' WHEN attempts >= 4 THEN 'failed' ELSE 'pending' END AS notify_status, attempts + 1 AS attempts, CASE WHEN NOT ok AND attempts < 4 THEN 1000 + 2 * pow(2, attempts)::BIGINT END AS next_attempt_at, 2 AS version FROM (SELECT *, fired_at % 40 = 0 AS ok FROM ({ALERTS_SQL}) WHERE notify_status = 'pending')")(
+    lambda spark, d: alerts.after_attempts(a := _alerts(spark, d), a.select("alert_id", (F.col("fired_at") % 40 == 0).alias("delivered")), 1_000).select("alert_id", "notify_status", "attempts", "next_attempt_at", "version")
+)
+query("list_rules", f"SELECT rule_id, name, enabled, version FROM {NEWEST.format(RULE_ROWS.format(s='VARCHAR'), 'rule_id')} WHERE tenant_id = 'tenant-1'")(lambda spark, d: lookups.list_rules(_alert_rules(spark, d), "tenant-1").select("rule_id", "name", "enabled", "version"))
+query("list_enabled_rules", f"SELECT tenant_id, rule_id, version FROM {NEWEST.format(RULE_ROWS.format(s='VARCHAR'), 'rule_id')} WHERE enabled")(lambda spark, d: lookups.enabled_rules(_alert_rules(spark, d)).select("tenant_id", "rule_id", "version"))
+query("list_feeds", f"SELECT feed_id, mode, enabled, version FROM {NEWEST.format(FEED_ROWS.format(s='VARCHAR'), 'feed_id')} WHERE tenant_id = 'tenant-2'")(lambda spark, d: lookups.list_feeds(_feeds(spark, d), "tenant-2").select("feed_id", "mode", "enabled", "version"))
+query("list_pull_feeds", f"SELECT tenant_id, feed_id, version FROM {NEWEST.format(FEED_ROWS.format(s='VARCHAR'), 'feed_id')} WHERE enabled AND mode = 'pull'")(lambda spark, d: lookups.pull_feeds(_feeds(spark, d)).select("tenant_id", "feed_id", "version"))
+
 # --- scalar functions ---------------------------------------------------------------------------
 
 PAGES = "SELECT page_id, url FROM pages"

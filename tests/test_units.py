@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +140,41 @@ def test_audit_chain_shows_a_gap(spark):
     assert kept.count() == upkeep.verify_chain(kept).where("linked AND intact").count() == 6
     broken = spark.createDataFrame(kept.where("entry_id <> 'e2'").collect(), kept.schema)
     assert [r.entry_id for r in upkeep.verify_chain(broken).where("NOT linked").collect()] == ["e3"]
+    digests, last = {}, ""
+    for n in range(6):
+        fields = (last, "t", f"e{n}", str(n), "me", "act", "x", "d")
+        digests[f"e{n}"] = last = hashlib.sha256("".join(f"{len(f)}:{f}|" for f in fields).encode()).hexdigest()
+    assert {r.entry_id: r.entry_hash for r in kept.collect()} == digests
+    # One who rewrites an entry and its digest breaks the link of the next.
+    forged = F.col("entry_id") == "e3"
+    changed = kept.withColumn("detail", F.when(forged, "y").otherwise(F.col("detail")))
+    changed = changed.withColumn("entry_hash", F.when(forged, t.hash_chain(F.col("prev_hash"), *(F.col(c) for c in upkeep.AUDIT_FIELDS))).otherwise(F.col("entry_hash")))
+    found = {r.entry_id: (r.intact, r.linked) for r in upkeep.verify_chain(changed).collect()}
+    assert found["e3"] == (True, True) and found["e4"] == (True, False) and all(v == (True, True) for k, v in found.items() if k != "e4")
+
+
+def test_preview_is_what_the_rule_measures(spark):
+    rng = random.Random(5)
+    rows = [("t", f"c{k}", rng.randrange(1_000, 3_000), f"ip{rng.randrange(6)}" if k % 9 else None, f"h{k % 3}", "US", rng.choice(("none", "allow_vs_block")), "blocked", "high", 2) for k in range(120)]
+    kept = spark.createDataFrame(rows, "tenant_id string, correlation_id string, window_start long, client_ip string, request_host string, client_country string, disagreement_kind string, combined_outcome string, confidence string, vendor_count int").cache()
+    for aggregate, groups in itertools.product(alerts.AGGREGATES, ((), ("request_host",))):
+        rule = alerts.Condition(aggregate, "gt", 0.4, 97, 3_600, {"kind": "allow_vs_block"}, groups)
+        found = {(r.tick, *(r[g] for g in groups)): (r.value, r.fires) for r in alerts.preview(kept, rule, 1_507, 2_007, 100).collect()}
+        want = {}
+        for tick in range(1_507, 2_008, 100):
+            want |= {(tick, *(r[g] for g in groups)): (r.value, r.fires) for r in alerts.measure(kept, rule, tick).collect() if r.value or not groups}
+            if not groups:
+                want.setdefault((tick,), (0.0, False))
+        assert {k: v for k, v in found.items() if v[0] or not groups} == want
+
+
+def test_deliveries_are_tried_again(spark):
+    schema = "alert_id string, state string, notify_status string, fired_at long, attempts int, next_attempt_at long, version long"
+    rows = spark.createDataFrame([("a", "new", "pending", 10, None, None, 1), ("b", "new", "pending", 5, 4, 100, 1), ("c", "new", "pending", 7, 1, 900, 1), ("d", "new", "sent", 1, 1, None, 1)], schema)
+    assert [r.alert_id for r in alerts.pending_deliveries(rows, 100).collect()] == ["b", "a"]
+    outcomes = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("d", False)], "alert_id string, delivered boolean")
+    found = {r.alert_id: (r.notify_status, r.attempts, r.next_attempt_at, r.version) for r in alerts.after_attempts(rows, outcomes, 200).collect()}
+    assert found == {"a": ("pending", 1, 202, 2), "b": ("failed", 5, None, 2), "c": ("sent", 2, None, 2)}
 
 
 def test_export_files(spark, tmp_path):
