@@ -14,20 +14,28 @@ def by_day(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("date", F.to_date(F.timestamp_seconds(column)))
 
 
-def append(rows: DataFrame, path: str, column: str, sort: list[str] | None = None) -> None:
-    """Appends rows to a table partitioned by day; sorted rows let readers skip row groups."""
+def append(rows: DataFrame, path: str, column: str, sort: list[str] | None = None, batch: int | None = None) -> None:
+    """Adds rows to a table partitioned by day; sorted rows let readers skip row groups.
+
+    With a batch's number they have a folder of their own, so a batch that is run again replaces what it
+    wrote before. A table written so belongs to one stream, whose checkpoint counts the batches.
+    """
     dated = by_day(rows, column).repartition("date", F.pmod(F.xxhash64("tenant_id"), F.lit(16)))
-    (dated.sortWithinPartitions(*sort) if sort else dated).write.mode("append").partitionBy("date").parquet(path)
+    writer = (dated.sortWithinPartitions(*sort) if sort else dated).write.partitionBy("date")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_batch(root: str, year: int | None = None):
-    """For foreachBatch: the raw payloads, what they mean, and what was refused."""
+    """For foreachBatch: the raw payloads, what they mean, and what was refused; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        append(batch.withColumn("batch_no", F.lit(number)), f"{root}/raw", "received_at")
+        append(batch.withColumn("batch_no", F.lit(number)), f"{root}/raw", "received_at", batch=number)
         accepted, rejected = normalise(batch, year)
-        append(accepted, f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"])
-        append(rejected, f"{root}/rejected", "received_at")
+        append(accepted, f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"], number)
+        append(rejected, f"{root}/rejected", "received_at", batch=number)
 
     return write
 
@@ -37,6 +45,6 @@ def dead_letters(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.withColumn("reason", F.coalesce(F.nullif(F.trim(reason), F.lit("")), F.lit("PARSE_ERROR")))
 
 
-def append_records(records: DataFrame, path: str) -> None:
+def append_records(records: DataFrame, path: str, batch: int | None = None) -> None:
     """Appends record versions; the verdicts that queries filter on stand in columns of their own."""
-    append(records, path, "window_start", ["tenant_id", "window_start"])
+    append(records, path, "window_start", ["tenant_id", "window_start"], batch)

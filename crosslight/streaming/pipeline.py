@@ -8,11 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import correlate
 from ..operators.alerts import Condition, measure, with_cooldown
+from ..operators.components import cut
 from ..operators.latest import latest
 from ..sources.sinks import append, append_records
 
-#: Seconds within which a redelivery is dropped, and by which an event may be late.
+#: Time within which a redelivery is dropped, and by which an event may be late.
 REDELIVERY, LATENESS = "10 minutes", "15 minutes"
+#: Seconds that a window stays open after its end, and by which an event may be behind the clock of the correlation.
+GRACE, LATE = 210, 900
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -47,57 +50,102 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def correlate_batch(root: str, reach: int = 1_110, window: int = correlate.WINDOW):
-    """For foreachBatch: files a batch's events and correlates them anew with those within `reach` seconds of theirs.
+def before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What batches before `number` have written to a table; a repeated batch doesn't see its own traces."""
+    found = _table(spark, path)
+    return None if found is None else found.where(F.col("batch") < number).drop("batch", "date")
 
-    A request id may tie events of any two keys together, so the exact tier can't be split over
-    keyed state; the stored events are the state, read by day partition. What changes is appended as
-    the next version: a record whose id is known is amended, an id claimed first stays.
+
+def correlate_batch(root: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE):
+    """For foreachBatch: files a batch's events and emits the records of the windows that are closed by then.
+
+    The clock is the latest receipt so far. A window closes `grace` seconds after its end; events that
+    are older than `lateness` before the clock are dropped and counted in `late`. A request id may tie
+    events of any two keys together, so the exact tier can't be split over keyed state; the stored
+    events are the state, of which a batch reads the days around its own. A record whose id is known
+    becomes the next version of it, an id claimed first stays. All that a batch writes is under its
+    number and is replaced if the batch is run again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if batch.limit(1).count() == 0:
             return
-        append(batch, f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"])
-        low, high = batch.agg(F.min("event_time"), F.max("event_time")).first()
-        days = F.to_date(F.timestamp_seconds(F.lit(low - reach))), F.to_date(F.timestamp_seconds(F.lit(high + reach)))
-        near = spark.read.parquet(f"{root}/events").where(F.col("date").between(*days)).where(F.col("event_time").between(low - reach, high + reach)).drop("date")
-        built = correlate.records(latest(near, ["tenant_id", "event_id"]), window)
-        fresh_ids = batch.select("tenant_id", "event_id").distinct()
-        touched = built.select("tenant_id", "correlation_id", F.explode("event_ids").alias("event_id")).join(fresh_ids, ["tenant_id", "event_id"], "left_semi").select("tenant_id", "correlation_id").distinct()
-        fresh = built.join(touched, ["tenant_id", "correlation_id"], "left_semi")
-        stored = _table(spark, f"{root}/records")
-        if stored is not None:
-            claims = _table(spark, f"{root}/claims")
-            if claims is not None:
-                fresh = correlate.claimed_ids(fresh, claims)
-            before = latest(stored.drop("date"), ["tenant_id", "correlation_id"], "version")
-            merged = correlate.merge_amended(before, fresh)
-            rest = [c for c in fresh.columns if c not in merged.columns]
-            fresh = merged.join(fresh.select("tenant_id", "correlation_id", *rest), ["tenant_id", "correlation_id"])
-        append_records(fresh, f"{root}/records")
-        fresh.select(F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at")).write.mode("append").parquet(f"{root}/claims")
+        clocks = before(spark, f"{root}/clock", number)
+        was = (clocks.agg(F.max("clock")).first()[0] if clocks is not None else None) or 0
+        late = F.col("event_time") < was - lateness
+        dropped = batch.where(late).groupBy("tenant_id").agg(F.count("*").alias("dropped"))
+        dropped.write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        append(batch.where(~late), f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"], number)
+        low, high, received = batch.where(~late).agg(F.min("event_time"), F.max("event_time"), F.max("received_at")).first()
+        clock = max(was, received or 0)
+        spark.createDataFrame([(clock,)], "clock long").write.mode("overwrite").parquet(f"{root}/clock/batch={number}")
+        # Windows that fall due since the last batch, and those that its events touch.
+        opened = was - grace - 2 * window if was else low
+        if low is not None:
+            _settle(spark, root, number, min(low, opened), max(high, clock - grace), clock, was, batch.where(~late).select("tenant_id", "event_id").distinct(), window, grace, lateness)
 
     return run
 
 
+def close(spark: SparkSession, root: str, number: int, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE) -> None:
+    """Emits the records of all windows that are still open, as batch `number`; for the end of a stream."""
+    was = before(spark, f"{root}/clock", number).agg(F.max("clock")).first()[0]
+    high = before(spark, f"{root}/events", number).agg(F.max("event_time")).first()[0]
+    none = spark.createDataFrame([], "tenant_id string, event_id string")
+    _settle(spark, root, number, was - grace - 2 * window, high, high + grace + 2 * window, was, none, window, grace, lateness)
+
+
+def _settle(spark: SparkSession, root: str, number: int, low: int, high: int, clock: int, was: int, fresh_ids: DataFrame, window: int, grace: int, lateness: int) -> None:
+    reach = grace + lateness
+    days = F.to_date(F.timestamp_seconds(F.lit(low - reach))), F.to_date(F.timestamp_seconds(F.lit(high + reach)))
+    stored = spark.read.parquet(f"{root}/events").where((F.col("batch") <= number) & F.col("date").between(*days))
+    near = stored.where(F.col("event_time").between(low - reach, high + reach)).drop("date", "batch")
+    built = correlate.records(latest(near, ["tenant_id", "event_id"]), window)
+    # A record is due once its last event's window is closed.
+    due = (F.floor(F.col("last_event_time") / window) + 1) * window + grace
+    built = cut(built.withColumn("_due", due).where(F.col("_due") <= clock))
+    touched = built.select("tenant_id", "correlation_id", F.explode("event_ids").alias("event_id")).join(fresh_ids, ["tenant_id", "event_id"], "left_semi").select("tenant_id", "correlation_id").distinct()
+    fresh = built.where(F.col("_due") > was).unionByName(built.where(F.col("_due") <= was).join(touched, ["tenant_id", "correlation_id"], "left_semi")).drop("_due")
+    old = before(spark, f"{root}/records", number)
+    claims = before(spark, f"{root}/claims", number)
+    if old is not None:
+        if claims is not None:
+            fresh = correlate.claimed_ids(fresh, claims)
+        merged = correlate.merge_amended(latest(old, ["tenant_id", "correlation_id"], "version"), fresh)
+        rest = [c for c in fresh.columns if c not in merged.columns]
+        fresh = merged.join(fresh.select("tenant_id", "correlation_id", *rest), ["tenant_id", "correlation_id"])
+    fresh = cut(fresh)
+    append_records(fresh, f"{root}/records", number)
+    fresh.select(F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at")).write.mode("overwrite").parquet(f"{root}/claims/batch={number}")
+
+
+def late_dropped(spark: SparkSession, root: str) -> DataFrame:
+    """Events of each tenant that came too late: tenant_id, dropped."""
+    return spark.read.parquet(f"{root}/late").groupBy("tenant_id").agg(F.sum("dropped").alias("dropped"))
+
+
 def alert_batch(root: str, rules: dict[str, Condition]):
     """For foreachBatch over records: measures every rule at the batch's end and appends what fires and isn't cooling down."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         end = batch.agg(F.max("window_start")).first()[0]
-        if end is None:
+        if end is None or not rules:
             return
         end += correlate.WINDOW
-        stored = latest(spark.read.parquet(f"{root}/records").drop("date"), ["tenant_id", "correlation_id"], "version")
+        # One bounded read serves all rules: the days of the widest window.
+        begin = end - max(rule.window for rule in rules.values())
+        recent = spark.read.parquet(f"{root}/records").where(F.col("date") >= F.to_date(F.timestamp_seconds(F.lit(begin))))
+        stored = cut(latest(recent.where(F.col("window_start") >= begin).drop("date", "batch"), ["tenant_id", "correlation_id"], "version"))
+        fired = before(spark, f"{root}/alerts", number)
+        fired = fired if fired is not None else spark.createDataFrame([], "key string, until long")
+        out = None
         for name, rule in rules.items():
-            fired = _table(spark, f"{root}/alerts")
-            fired = fired if fired is not None else spark.createDataFrame([], "key string, until long")
             new = with_cooldown(measure(stored, rule, end), fired, name, rule.group_by, end)
-            out = new.select("key", F.lit(name).alias("rule_id"), "value", "evidence", F.lit(end).cast("long").alias("fired_at"), F.lit(end + rule.cooldown).cast("long").alias("until"))
-            out.write.mode("append").parquet(f"{root}/alerts")
+            new = new.select("key", F.lit(name).alias("rule_id"), "value", "evidence", F.lit(end).cast("long").alias("fired_at"), F.lit(end + rule.cooldown).cast("long").alias("until"))
+            out = new if out is None else out.unionByName(new)
+        out.write.mode("overwrite").parquet(f"{root}/alerts/batch={number}")
 
     return run
 
@@ -108,4 +156,4 @@ def start(events: DataFrame, root: str, checkpoint: str, batch, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-__all__ = ["alert_batch", "correlate_batch", "deduplicated", "health_minutes", "start", "volume_rollup"]
+__all__ = ["alert_batch", "close", "correlate_batch", "deduplicated", "health_minutes", "late_dropped", "start", "volume_rollup"]

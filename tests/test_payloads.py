@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from crosslight.operators import correlate
 from crosslight.operators.alerts import Condition
+from crosslight.operators.latest import latest
 from crosslight.plans.base import events
 from crosslight.schemas import ENVELOPE
 from crosslight.sources import payloads, pull, sinks
@@ -110,7 +111,7 @@ def test_landed_files_become_tables(spark, tmp_path):
 def day(spark, tmp_path_factory):
     """Three files of events: two vendors' first, redeliveries among them, then a third vendor's late ones."""
     path = tmp_path_factory.mktemp("day")
-    rows = events(spark, str(DATA)).where("event_time % 5 = 0 OR vendor <> 'cloudflare'").orderBy("event_time").limit(300)
+    rows = events(spark, str(DATA)).where("event_time % 5 = 0 OR vendor <> 'cloudflare'").orderBy("event_time", "event_id").limit(150)
     rows = spark.createDataFrame(rows.collect(), rows.schema)
     rows.where("vendor <> 'datadome'").coalesce(1).write.parquet(str(path / "in"))
     rows.where("vendor = 'f5'").coalesce(1).write.mode("append").parquet(str(path / "in"))
@@ -118,26 +119,64 @@ def day(spark, tmp_path_factory):
     return path, rows
 
 
-@pytest.mark.skipif("RUN_STREAMS" not in os.environ, reason="takes minutes")
-def test_stream_correlation_ends_like_the_batch(spark, day):
+def as_sets(records):
+    return {frozenset(r.event_ids): r.disagreement_kind for r in records.collect()}
+
+
+def correlated(spark, day, name, **times):
+    """All record versions after the stream of `day` has run and its open windows were closed."""
     path, rows = day
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
-    root = str(path / "out")
-    pipeline.start(stream, root, str(path / "c"), pipeline.correlate_batch(root)).awaitTermination(600)
-    from crosslight.operators import correlate
-    from crosslight.operators.latest import latest
-
-    stored = latest(spark.read.parquet(f"{root}/records"), ["tenant_id", "correlation_id"], "version")
-    found = {frozenset(r.event_ids): r.disagreement_kind for r in stored.where("join_tier = 1").collect()}
-    want = {frozenset(r.event_ids): r.disagreement_kind for r in correlate.records(rows).where("join_tier = 1").collect()}
-    assert want and all(found.get(k) == kind for k, kind in want.items())
+    root = str(path / name)
+    pipeline.start(stream, root, str(path / f"{name}-c"), pipeline.correlate_batch(root, **times)).awaitTermination(600)
+    pipeline.close(spark, root, 99, **times)
+    return root, latest(spark.read.parquet(f"{root}/records"), ["tenant_id", "correlation_id"], "version")
+
+
+def test_stream_correlation_ends_like_the_batch(spark, day):
+    """Windows that stay open until all events are there give the batch's records, and a repeated batch replaces itself."""
+    times = {"lateness": 10**8, "grace": 10**8}
+    root, stored = correlated(spark, day, "open", **times)
+    assert as_sets(stored) == as_sets(correlate.records(day[1]))
+    counts = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("events", "records", "claims")}
+    pipeline.close(spark, root, 99, **times)
+    assert counts == {t: spark.read.parquet(f"{root}/{t}").count() for t in counts}
     rule = Condition("count", "gte", 1, 86_400, 86_400, {"min_vendors": 2})
-    pipeline.alert_batch(root, {"r": rule})(spark.read.parquet(f"{root}/records"), 0)
-    pipeline.alert_batch(root, {"r": rule})(spark.read.parquet(f"{root}/records"), 1)
+    for number in (0, 0, 1):
+        pipeline.alert_batch(root, {"r": rule})(spark.read.parquet(f"{root}/records"), number)
     assert spark.read.parquet(f"{root}/alerts").count() == 1
 
 
-@pytest.mark.skipif("RUN_STREAMS" not in os.environ, reason="takes minutes")
+def test_events_after_a_window_closed_amend_its_record(spark, day):
+    """An exact group whose record was out before its last event came ends in one record, with what that held before."""
+    _, stored = correlated(spark, day, "amended", lateness=10**8)
+    rows = stored.where("join_tier = 1").collect()
+    wanted = as_sets(correlate.records(day[1]).where("join_tier = 1"))
+    assert wanted and all(any(group <= set(r.event_ids) for r in rows) for group in wanted)
+    assert any(r.amended and r.version > 1 for r in rows)
+
+
+def test_windows_close_after_their_grace_and_late_events_are_counted(spark, day, tmp_path):
+    _, rows = day
+    first = rows.orderBy("event_time").limit(1).collect()[0].asDict()
+    at = lambda k, event_time, received_at, vendor: first | {"event_id": f"{vendor}-{k}", "event_time": event_time, "received_at": received_at, "vendor": vendor, "vendor_request_id": f"id{k}", "linked_request_id": "", "client_ip": f"198.51.100.{k}"}
+    batches = [
+        [at(1, 10_000, 10_001, "cloudflare"), at(1, 10_001, 10_002, "f5"), at(2, 10_100, 10_101, "cloudflare")],  # nothing is due yet
+        [at(3, 10_215, 10_215, "cloudflare")],  # the first window closes: 10_005 + 210
+        [at(2, 10_099, 10_216, "f5"), at(4, 9_000, 10_217, "f5")],  # one in time, one beyond the lateness
+        [at(5, 10_900, 10_900, "f5")],
+    ]
+    emitted = []
+    step = pipeline.correlate_batch(str(tmp_path))
+    for number, batch in enumerate(batches):
+        step(spark.createDataFrame([tuple(r[c] for c in rows.columns) for r in batch], rows.schema), number)
+        stored = pipeline.before(spark, f"{tmp_path}/records", number + 1)
+        emitted.append(sorted(tuple(sorted(r.event_ids)) for r in stored.collect()) if stored is not None else [])
+    one, two, three = ("cloudflare-1", "f5-1"), ("cloudflare-2", "f5-2"), ("cloudflare-3",)
+    assert emitted == [[], [one], [one], [one, two, three]]
+    assert [r.dropped for r in pipeline.late_dropped(spark, str(tmp_path)).collect()] == [1]
+
+
 def test_stream_dedup_and_rollup(spark, day):
     path, rows = day
     stream = spark.readStream.schema(rows.schema).parquet(str(path / "in"))
