@@ -259,6 +259,11 @@ query("agg_disagreement_rate", over_records("SELECT tenant_id, bucket, disagreem
     lambda spark, d: panels.disagreement_rate(stored_records(spark, d), 86_400)
 )
 query("agg_volume_sketch")(lambda spark, d: panels.merge_sketches(panels.rollup_hourly(panels.volume_sketches(events(spark, d))), ["tenant_id", "vendor"]))
+query("agg_volume_sketch_error", over_events("SELECT tenant_id, vendor, count(DISTINCT event_id) AS exact, true AS near FROM ev GROUP BY ALL"))(
+    lambda spark, d: panels.merge_sketches(panels.volume_sketches(e := events(spark, d)), ["tenant_id", "vendor"])
+    .join(e.groupBy("tenant_id", "vendor").agg(F.count_distinct("event_id").alias("exact")), ["tenant_id", "vendor"])
+    .select("tenant_id", "vendor", "exact", (F.abs(F.col("events") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+)
 query("backfill_rollup", over_events("SELECT tenant_id, vendor, count(DISTINCT event_id) AS events FROM ev GROUP BY ALL"))(
     lambda spark, d: panels.vendor_volume(raw(spark, d).unionByName(raw(spark, d)), 300).groupBy("tenant_id", "vendor").agg(F.sum("events").alias("events"))
 )
@@ -359,7 +364,7 @@ def _corr_minutes(spark, d):
 query("agg_drift", over_obs("SELECT tenant_id, feed_id, (event_time // 86400) * 86400 AS window_start, count(*) AS events, count(*) FILTER (WHERE matched_rule <> '') AS drifted, array_to_string(list_sort(list(DISTINCT matched_rule) FILTER (WHERE matched_rule <> '')), ',') AS fields FROM obs GROUP BY ALL HAVING count(*) FILTER (WHERE matched_rule <> '') > 0.01 * count(*)"))(
     lambda spark, d: health.drift(raw(spark, d).withColumn("unknown_fields", F.filter(F.array("matched_rule"), lambda x: x != "")), width=86_400).withColumn("fields", joined("fields"))
 )
-query("ops_rate_rules")(lambda spark, d: health.operational_rates(r := raw(spark, d), r.where("http_status = 429"), r.agg(F.max("received_at")).first()[0] or 0))
+query("ops_rate_rules", over_obs("SELECT feed_id, count(*) AS accepted, max(received_at) AS last, quantile_disc(received_at - event_time, 0.95) AS lag_p95, count(*) FILTER (WHERE http_status = 429) AS rejected, max(received_at) < hi - 900 AS silent, quantile_disc(received_at - event_time, 0.95) > 60 AS late, count(*) FILTER (WHERE http_status = 429) / (count(*) + count(*) FILTER (WHERE http_status = 429)) > 0.01 AS rejecting FROM obs, (SELECT max(received_at) AS hi FROM obs) WHERE received_at BETWEEN hi - 3600 AND hi GROUP BY feed_id, hi"))(lambda spark, d: health.operational_rates(r := raw(spark, d), r.where("http_status = 429"), r.agg(F.max("received_at")).first()[0] or 0))
 query("st_quota", over_obs("SELECT tenant_id, 'day' AS span, (received_at // 86400) * 86400 AS at, sum(length(user_agent)) AS used FROM obs GROUP BY ALL HAVING sum(length(user_agent)) > 2000"))(
     lambda spark, d: health.quota(raw(spark, d).withColumn("bytes", F.length("user_agent")), 1_000, 2_000)
 )
