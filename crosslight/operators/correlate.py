@@ -120,13 +120,18 @@ def records(events: DataFrame, window: int = WINDOW, threshold: float = SCORE) -
 
     Of several events of one vendor the last by (time, vendor, event) speaks for it. Network and
     country come from the vendor that is trusted most; the edge's own network number counts only
-    from the edge. Copies of an event must be gone (see `latest`).
+    from the edge. All rules that an event matched are united, over all (matched_rules) and by vendor
+    (vendor_rules). Copies of an event must be gone (see `latest`).
     """
     rows = grouped(events, window)
     order = F.struct("event_time", "vendor", "event_id")
     trust = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TRUST.items() for x in kv)), "vendor"), F.lit(9))
     trusted = F.struct(trust, F.col("event_time"), F.col("event_id"))
     asn_ok = (F.col("client_asn") > 0) & ((F.col("client_asn") != EDGE_ASN) | (F.col("vendor") == "cloudflare"))
+    listed = F.array("matched_rule")
+    if "rule_ids" in rows.columns:  # an event may have matched several rules
+        listed = F.array_union(F.coalesce("rule_ids", F.array().cast("array<string>")), listed)
+    matched = F.filter(listed, lambda r: r.isNotNull() & (r != ""))
     # One row for each vendor of a group first, which bounds what the second step collects.
     per_vendor = rows.groupBy("tenant_id", "group_key", "join_tier", "vendor").agg(
         F.count("*").alias("n"),
@@ -134,7 +139,7 @@ def records(events: DataFrame, window: int = WINDOW, threshold: float = SCORE) -
         F.max_by("rule_id", F.when(F.col("rule_id") != "", order)).alias("rule_id"),
         F.max_by("score", F.when(F.col("score").isNotNull(), order)).alias("score"),
         F.max(F.when(F.col("score_kind") == "bot", F.col("score"))).alias("bot_score"),
-        F.array_sort(F.collect_set(F.when(F.col("matched_rule") != "", F.col("matched_rule")))).alias("matched"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(matched)))).alias("matched"),
         F.array_sort(F.collect_set("verdict")).alias("verdicts_seen"),
         F.collect_list(F.struct("event_time", "vendor", "event_id")).alias("events"),
         F.min("event_time").alias("first_event_time"),
@@ -154,6 +159,7 @@ def records(events: DataFrame, window: int = WINDOW, threshold: float = SCORE) -
         entry("rule_id").alias("rule_ids"),
         entry("score").alias("scores"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched_rules"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.size("matched") > 0, F.struct("vendor", "matched"))))).alias("vendor_rules"),
         F.array_distinct(F.flatten(F.collect_list("verdicts_seen"))).alias("_seen"),
         F.max("bot_score").alias("_bot"),
         F.bool_or("shared").alias("client_ip_shared"),
@@ -213,6 +219,8 @@ def merge_amended(stored: DataFrame, fresh: DataFrame, threshold: float = SCORE)
     known = F.col("s.correlation_id").isNotNull()
     united = lambda c: F.array_sort(F.array_union(F.coalesce(F.col(f"s.{c}"), F.array().cast("array<string>")), F.col(f"f.{c}")))
     newest = lambda c: F.when(known, F.map_zip_with(f"s.{c}", f"f.{c}", lambda k, a, b: F.coalesce(b, a))).otherwise(F.col(f"f.{c}"))
+    both_lists = lambda k, a, b: F.array_sort(F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
+    united_by_vendor = F.when(F.col("s.correlation_id").isNotNull(), F.map_zip_with("s.vendor_rules", "f.vendor_rules", both_lists)).otherwise(F.col("f.vendor_rules"))
     strength = lambda t: F.when(t == 1, 2).when(t == 2, 1).otherwise(0)
     keep = known & (strength(F.col("s.join_tier")) > strength(F.col("f.join_tier")))
     earlier = lambda c: F.when(F.coalesce(F.col(f"s.{c}").cast("string"), F.lit("")) != "", F.col(f"s.{c}")).otherwise(F.col(f"f.{c}"))
@@ -223,6 +231,7 @@ def merge_amended(stored: DataFrame, fresh: DataFrame, threshold: float = SCORE)
         F.greatest("s.last_event_time", "f.last_event_time").alias("last_event_time"),
         *(united(c).alias(c) for c in ("vendors", "event_ids", "matched_rules")),
         *(newest(c).alias(c) for c in ("verdicts", "rule_ids", "scores")),
+        *([united_by_vendor.alias("vendor_rules")] if "vendor_rules" in stored.columns and "vendor_rules" in fresh.columns else []),
         *(earlier(c).alias(c) for c in ("client_ip", "request_host", "request_path", "request_method", "client_asn", "client_country")),
         (F.coalesce("s.client_ip_shared", F.lit(False)) | F.col("f.client_ip_shared")).alias("client_ip_shared"),
         F.when(keep, F.col("s.join_tier")).otherwise(F.col("f.join_tier")).alias("join_tier"),

@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..functions import verdicts as v
 from ..operators import alerts, correlate, filters, health, latest, lookups, panels, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
+from ..sources import payloads
 from .base import events, joined, map_text, over_events, over_obs, over_records, raw, stored_records
 
 QUERIES: dict = {}
@@ -453,6 +454,34 @@ query("list_enabled_rules", f"SELECT tenant_id, rule_id, version FROM {NEWEST.fo
 query("list_feeds", f"SELECT feed_id, mode, enabled, version FROM {NEWEST.format(FEED_ROWS.format(s='VARCHAR'), 'feed_id')} WHERE tenant_id = 'tenant-2'")(lambda spark, d: lookups.list_feeds(_feeds(spark, d), "tenant-2").select("feed_id", "mode", "enabled", "version"))
 query("list_pull_feeds", f"SELECT tenant_id, feed_id, version FROM {NEWEST.format(FEED_ROWS.format(s='VARCHAR'), 'feed_id')} WHERE enabled AND mode = 'pull'")(lambda spark, d: lookups.pull_feeds(_feeds(spark, d)).select("tenant_id", "feed_id", "version"))
 
+# --- formats ------------------------------------------------------------------------------------
+
+def _payloads(spark, d, payload: str):
+    return raw(spark, d).where("ingest_version = 1").select("event_id", F.expr(payload).alias("payload"))
+
+
+def _fields(spark, d, payload: str, *names: str):
+    """Fields of every record of a payload made of an observation."""
+    rows = payloads.with_fields(payloads.lines_of(_payloads(spark, d, payload)))
+    return rows.select("event_id", "format", *(F.try_element_at("fields", F.lit(n)).alias(n) for n in names))
+
+
+query("detect_format", over_obs("SELECT event_id, ['json', 'ndjson', 'cef', 'syslog', 'unknown'][(event_time % 5) + 1] AS format FROM obs WHERE ingest_version = 1"))(
+    lambda spark, d: _payloads(spark, d, "elt(CAST(event_time % 5 AS INT) + 1, ' [{}]', '{\"a\":1}', '<13>May  1 host CEF:0|F5|ASM|1|2|n|5|act=x', 'support_id=\"7\",ip_client=\"1.2.3.4\"', 'GET / HTTP/1.1')").select("event_id", payloads.detect_format(F.col("payload")).alias("format"))
+)
+query("fmt_json_array", over_obs("SELECT event_id, 'ndjson' AS format, v, event_id || v AS id FROM obs, (VALUES ('1'), ('2')) t(v) WHERE ingest_version = 1"))(
+    lambda spark, d: _fields(spark, d, "concat('[{\"id\":\"', event_id, '1\",\"v\":1}, {\"id\":\"', event_id, '2\",\"v\":\"2\"}]')", "v", "id")
+)
+query("fmt_ndjson", over_obs("SELECT event_id, 'ndjson' AS format, v, event_id || v AS id FROM obs, (VALUES ('1'), ('2')) t(v) WHERE ingest_version = 1"))(
+    lambda spark, d: _fields(spark, d, "concat('{\"id\":\"', event_id, '1\",\"v\":1}\n\n{\"v\":\"2\",\"id\":\"', event_id, '2\"}\r\n')", "v", "id")
+)
+query("fmt_cef", over_obs("SELECT event_id, 'cef' AS format, 'ASM' AS device_product, event_id AS \"externalId\", request_path || ' a=b' AS request, 'p ' || vendor AS policy, verdict AS act FROM obs WHERE ingest_version = 1"))(
+    lambda spark, d: _fields(spark, d, r"concat('CEF:0|F5|ASM|15.1|200|x|5|externalId=', event_id, ' request=', request_path, ' a\\=b cs1Label=policy cs1=p ', vendor, ' act=', verdict)", "device_product", "externalId", "request", "policy", "act")
+)
+query("fmt_syslog_kv", over_obs("SELECT event_id, 'syslog' AS format, event_id AS support_id, client_ip AS ip_client, 'a \"b\", c' AS violations, verdict AS request_status FROM obs WHERE ingest_version = 1 AND client_ip IS NOT NULL"))(
+    lambda spark, d: _fields(spark, d, "concat('support_id=\"', event_id, '\",ip_client=\"', client_ip, '\",violations=\"a \"\"b\"\", c\",request_status=', verdict)", "support_id", "ip_client", "violations", "request_status")
+)
+
 # --- scalar functions ---------------------------------------------------------------------------
 
 PAGES = "SELECT page_id, url FROM pages"

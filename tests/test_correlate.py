@@ -57,6 +57,21 @@ def scenarios():
     return rows, want
 
 
+def test_all_matched_rules_are_united_by_vendor(spark):
+    rows = [event("c", "cloudflare", 10, "id", matched_rule="m1"), event("c2", "cloudflare", 11, "id"), event("f", "f5", 11, "id", matched_rule="v1"), event("d", "datadome", 12, "id")]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("rule_ids", F.expr("CASE event_id WHEN 'c' THEN array('m2', 'm1') WHEN 'c2' THEN array('m0', '') WHEN 'f' THEN array() END"))
+    (record,) = correlate.records(frame).collect()
+    assert record.matched_rules == ["m0", "m1", "m2", "v1"] and record.vendor_rules == {"cloudflare": ["m0", "m1", "m2"], "f5": ["v1"]}
+    late = spark.createDataFrame([event("c3", "cloudflare", 12, "id", matched_rule="m9")], SCHEMA)
+    (amended,) = correlate.merge_amended(correlate.records(frame), correlate.records(late).withColumn("correlation_id", F.lit(record.correlation_id))).collect()
+    assert amended.vendor_rules == {"cloudflare": ["m0", "m1", "m2", "m9"], "f5": ["v1"]}
+
+
+def test_placeholder_ids_tie_nothing_together(spark):
+    rows = [event(f"e{k}", vendor, 10_000 * k, rid, ip=f"198.51.100.{k}") for k, (vendor, rid) in enumerate([("cloudflare", "-"), ("f5", "-"), ("cloudflare", "0"), ("f5", " 0 "), ("datadome", "NULL"), ("f5", "null")])]
+    assert len(build(spark, rows)) == 6
+
+
 def test_labelled_scenarios(spark):
     rows, want = scenarios()
     found = build(spark, rows)
