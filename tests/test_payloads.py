@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,32 @@ def fetched(start, end):
     return [{"from": start}]
 
 
+BOOK = {"": (['{"p":1}', '{"p":2}'], "c1"), "c1": (['{"p":3}'], "c2"), "c2": ([], "c2")}
+
+
+def book(cursor):
+    return BOOK[cursor]
+
+
+def test_pages_stream(spark, tmp_path):
+    spark.dataSource.register(pull.PageSource)
+    for _ in range(2):  # a second run goes on at the last cursor, where nothing more comes
+        rows = spark.readStream.format("log_pages").options(fetch="tests.test_payloads:book", tenant="t", feed="f", vendor="nginx").load()
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        query.awaitTermination(120)
+    assert sorted((r.payload, r.batch_id) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [('{"p":1}', "c1"), ('{"p":2}', "c1"), ('{"p":3}', "c2")]
+
+
+def test_gzip_is_known_by_its_beginning(spark, tmp_path, monkeypatch):
+    (tmp_path / "packed.log").write_bytes(gzip.compress(b"one\n") + gzip.compress("zwei ü".encode()))
+    (tmp_path / "plain.log").write_bytes(b"three")
+    (tmp_path / "broken.log").write_bytes(gzip.compress(b"four")[:-4])
+    found = {r.file.rsplit("/", 1)[1]: r.payload for r in pull.landed_batch(spark, str(tmp_path)).collect()}
+    assert found == {"packed.log": "one\nzwei ü", "plain.log": "three", "broken.log": None}
+    monkeypatch.setattr(pull, "LARGEST", 10)
+    assert pull.plain_text.func(pd.Series([gzip.compress(bytes(10)), gzip.compress(bytes(11)), gzip.compress(bytes(6)) * 2])).tolist() == [bytes(10).decode(), None, None]
+
+
 def test_owner_lines_and_local_time(spark, tmp_path):
     (tmp_path / "asn.tsv").write_text("1.0.0.0\t1.0.0.255\t64500\tDE\tFirst\n1.1.0.0\t1.1.0.9\t64500\tFR\tSecond\n2.0.0.0\t2.0.0.1\t0\tNone\tNot routed\n")
     assert [tuple(r) for r in payloads.asn_owners(str(tmp_path / "asn.tsv"), spark).collect()] == [(64500, "First", "DE")]
