@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators.components import cut
 from ..operators.correlate import records
 from ..operators.latest import latest
 
-_kept: dict[tuple[str, str], str] = {}
+_kept: dict[tuple, str] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,18 +25,28 @@ def events(spark: SparkSession, sf_dir: str, fixed: Column | None = None) -> Dat
     return latest(observations(spark, sf_dir), ["tenant_id", "event_id"], fixed=fixed)
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What tells whether a table's files have changed: their number, bytes and last change."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first())
+
+
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlated records, built once for a session and input and read as a stored table from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            cut(spark.range(1))
-            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-        path = f"{folder}/records-{uuid.uuid4().hex}"
-        records(events(spark, sf_dir)).write.parquet(path)
-        _kept[key] = path
-    return spark.read.parquet(_kept[key])
+    """Correlated records, built once for a session and state of the input and read as a stored table from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/events.parquet"))
+    if key in _kept:
+        try:
+            return spark.read.parquet(_kept[key])
+        except AnalysisException:  # the folder was cleared meanwhile
+            del _kept[key]
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        cut(spark.range(1))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/records-{uuid.uuid4().hex}"
+    records(events(spark, sf_dir)).write.parquet(path)
+    _kept[key] = path
+    return spark.read.parquet(path)
 
 
 def joined(column: str) -> Column:

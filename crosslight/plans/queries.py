@@ -137,7 +137,7 @@ query("jn_heur_tier2", over_records("SELECT tenant_id, event_id, shape || '|' ||
     lambda spark, d: correlate.heuristic_groups(events(spark, d), adjacent=False).where("shape IS NOT NULL").select("tenant_id", "event_id", "heuristic_key")
 )
 query("jn_heur_adjacent", over_records("SELECT tenant_id, event_id, group_key FROM grp WHERE join_tier = 2"))(lambda spark, d: correlate.grouped(events(spark, d)).where("join_tier = 2").select("tenant_id", "event_id", "group_key"))
-query("win_pairing", over_records("SELECT shape, w, g AS window_no FROM (SELECT shape, w, first_w + 2 * ((w - first_w) // 2) AS g FROM (SELECT *, min(w) OVER (PARTITION BY shape, run) AS first_w FROM (SELECT shape, w, w - row_number() OVER (PARTITION BY shape ORDER BY w) AS run FROM (SELECT DISTINCT 'x' AS shape, floor(event_time / 300)::BIGINT AS w FROM ev))))"))(
+query("win_pairing", over_records("SELECT shape, w, g AS window_no FROM (SELECT shape, w, first_w + 2 * ((w - first_w) // 2) AS g FROM (SELECT *, min(w) OVER (PARTITION BY shape, run) AS first_w FROM (SELECT shape, w, w - row_number() OVER (PARTITION BY shape ORDER BY w) AS run FROM (SELECT DISTINCT tenant_id AS shape, floor(event_time / 300)::BIGINT AS w FROM ev))))"))(
     lambda spark, d: _pairing(events(spark, d))
 )
 query("jn_solo", over_records("SELECT tenant_id, event_id, group_key FROM grp WHERE join_tier = 0"))(lambda spark, d: correlate.grouped(events(spark, d)).where("join_tier = 0").select("tenant_id", "event_id", "group_key"))
@@ -174,14 +174,14 @@ query("jn_anti_effect", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE f5
 
 
 def _pairing(rows):
-    """One key for all events, so that long runs of consecutive windows arise."""
-    few = rows.select(F.lit("x").alias("tenant_id"), F.lit("1.1.1.1").alias("client_ip"), F.lit("h").alias("request_host"), F.lit("/").alias("request_path"), F.lit("GET").alias("request_method"), "event_id", F.floor(F.col("event_time") / 60).alias("event_time"))
+    """One key for a tenant's events, so that long runs of consecutive windows arise."""
+    few = rows.select("tenant_id", F.lit("1.1.1.1").alias("client_ip"), F.lit("h").alias("request_host"), F.lit("/").alias("request_path"), F.lit("GET").alias("request_method"), "event_id", F.floor(F.col("event_time") / 60).alias("event_time"))
     return _windows(few)
 
 
 def _windows(few):
     keyed = few.select("tenant_id", "event_id", F.floor(F.col("event_time") / 5).cast("long").alias("w"))
-    return keyed.join(correlate.heuristic_groups(few), ["tenant_id", "event_id"]).select(F.lit("x").alias("shape"), "w", "window_no").distinct()
+    return keyed.join(correlate.heuristic_groups(few), ["tenant_id", "event_id"]).select(F.col("tenant_id").alias("shape"), "w", "window_no").distinct()
 
 
 def _owners(spark, d):
