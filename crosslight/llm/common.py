@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,14 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by the cluster; a local one only where none is set."""
+    """The folder that driver and executors share, named by the cluster; a local one only on a local master.
+
+    A cluster without one raises an error: what an executor wrote to its own disk others would not find.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty() and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return named or context._jsc.sc().getCheckpointDir().get()
@@ -41,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def beside(docs: DataFrame, id_col: str, text_col: str, run: Callable, fields: str) -> DataFrame:
+    """The id of every row, and the fields that `run` makes of its text (an iterator of series to one of frames).
+
+    The id stays on Spark's side, whatever its type: in pandas a null would turn whole numbers into
+    floats and change large ones.
+    """
+    made = F.pandas_udf(run, fields)
+    return docs.select(F.col(id_col), made(F.col(text_col)).alias("_made")).select(id_col, "_made.*")
+
+
 def utf8_size(column: str) -> F.Column:
     """Bytes of a text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

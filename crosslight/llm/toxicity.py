@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, words
+from .common import beside, cut, small_batches, words
 from .labelled import labelled_tables, remainder, training_rows
 from .quality import logistic
 
@@ -149,7 +149,10 @@ def evidence(found: list[tuple[int, int, float]], n: int, rate: float, log_k: fl
 def learn(rows: DataFrame) -> Model:
     """Fit on a bounded set of labelled whole texts (text, label).
 
-    Without rows of both labels every score is the share of label 1 (0.5 without any row).
+    The extreme-value law is fitted on the clean rows but the highest hundredth of them: where labels
+    are noisy that hundredth holds toxic texts labelled clean, and a few of them would raise the law's
+    scale and hide passages. Without rows of both labels every score is the share of label 1 (0.5
+    without any row).
     """
     small_batches(rows.sparkSession)
     rows = cut(rows)  # it is read three times
@@ -189,24 +192,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Toxicity of every whole text: the id, score, n_tokens, passages.
 
     `passages` lists the significant segments as (start, end, score) in tokens; a text without one,
-    an empty and a null text get the calibration's lowest score and no passage. Repeated rows are
-    scored each; other columns are not read. The model has a fixed bound and is broadcast.
+    an empty and a null text get the calibration's lowest score and no passage. Texts of any length are
+    scanned whole, in one pass. Repeated rows are scored each; an empty table gives no row; other
+    columns are not read. The model has a fixed bound and is broadcast.
     """
     small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for texts in batches:
             if len(known) > 300_000:
                 known.clear()
-            scores, sizes, passages = _assess(batch["_text"], sent.value, known)
-            yield pd.DataFrame({"_id": batch["_id"].array, "score": scores, "n_tokens": sizes, "passages": passages})
+            scores, sizes, passages = _assess(texts, sent.value, known)
+            yield pd.DataFrame({"score": scores, "n_tokens": sizes, "passages": passages})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.mapInPandas(run, f"_id {id_type}, score double, n_tokens long, passages array<struct<start:int,end:int,score:double>>")
-    return found.withColumnRenamed("_id", id_col)
+    return beside(docs, id_col, text_col, run, "score double, n_tokens long, passages array<struct<start:int,end:int,score:double>>")
 
 
 def score_column(spark, model: Model, text_col: str) -> F.Column:
