@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import beside, small_batches, table
 
 # Fixed values of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -25,6 +25,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 273, 27
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 KINDS = {1: "B", 3: "H", 4: "I"}
+#: Most bytes that a byte of a file can decode to, in any of the compressions.
+EXPANSION = 4_096
 CLEAR, END, FIRST_FREE = 256, 257, 258
 
 PAYLOAD_UNIT = 576
@@ -138,7 +140,8 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+def _decoded(data: bytes, compression: int, most: int) -> bytes:
+    """A strip or tile decoded; of deflate no more than `most` bytes, as many as the page needs of it."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
@@ -146,7 +149,7 @@ def _decoded(data: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data)
     if compression in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -182,14 +185,18 @@ def _samples(data: bytes, tags: dict) -> np.ndarray:
     kind = np.dtype(np.uint8 if bits == 8 else tags["order"] + "u2")
     compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) == 2
     planes, depth = (samples, 1) if planar else (1, samples)
-    page = np.zeros((height, width, samples), kind)
+    if height * width * samples * kind.itemsize > EXPANSION * len(data):
+        raise ValueError(f"a page of {height} x {width} x {samples} samples can't be in {len(data)} bytes")
     tiled = TILE_WIDTH in tags
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_SIZES if tiled else STRIP_SIZES]
+    if w * h * depth * kind.itemsize > EXPANSION * len(data) or planes * -(-height // h) * -(-width // w) != len(offsets):
+        raise ValueError("strips or tiles don't make up the page")
+    page = np.zeros((height, width, samples), kind)
     places = [(p, y, x) for p in range(planes) for y in range(0, height, h) for x in range(0, width, w)]
     for (plane, y, x), offset, size in zip(places, offsets, sizes, strict=True):
         rows = h if tiled else min(h, height - y)
-        raw = _decoded(data[offset : offset + size], compression)
+        raw = _decoded(data[offset : offset + size], compression, rows * w * depth * kind.itemsize)
         block = np.frombuffer(raw, kind, rows * w * depth).reshape(rows, w, depth)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
@@ -218,7 +225,7 @@ def pages_of(data: bytes) -> Iterator[dict]:
                 "error": None,
             }
             number += 1
-    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as fault:
+    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error, ZeroDivisionError, OverflowError) as fault:
         empty = dict.fromkeys(("height", "width", "samples", "compression", "predictor", "tiled", "pixels"))
         yield empty | {"page": number, "error": f"{type(fault).__name__}: {fault}"}
 
@@ -287,12 +294,16 @@ def read_pages(files: DataFrame, content_col: str = "content", keep: tuple[str,
     """One row for each page of each file, the pages of a file one after another.
 
     A null or empty file, and any file that breaks the format, gives a row whose `error` says so,
-    after the pages before the fault. Columns: `keep` as they are, then file_bytes, file_sha256,
-    page, height, width, samples, compression, predictor, tiled, pixels, error.
+    after the pages before the fault. A page takes at most EXPANSION times its file's bytes, whatever
+    its header says. Repeated files are read each; an empty table gives no row. Columns: `keep` as they
+    are (one of the names below is an error), then file_bytes, file_sha256, page, height, width,
+    samples, compression, predictor, tiled, pixels, error. Whole numbers of `keep` pass through Python
+    as text, as beside a null they would become floats.
     """
     small_batches(files.sparkSession, 4)
     kept = files.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    whole = {f.name: f.dataType for f in kept.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    fields = ", ".join(f"`{f.name}` {'string' if f.name in whole else f.dataType.simpleString()}" for f in kept.fields)
     names = ["file_bytes", "file_sha256", "page", "height", "width", "samples", "compression", "predictor", "tiled", "pixels", "error"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,33 +316,32 @@ def read_pages(files: DataFrame, content_col: str = "content", keep: tuple[str,
             frame = pd.DataFrame(rows, columns=[*keep, *names])
             for k in ("height", "width", "samples", "compression", "predictor"):
                 frame[k] = frame[k].astype("Int32")
-            for field in kept.fields:
-                if field.dataType.simpleString() in ("bigint", "int"):
-                    frame[field.name] = frame[field.name].astype("Int64")
             yield frame
 
-    return files.select(*keep, F.col(content_col).alias("_content")).mapInPandas(
-        read,
+    if set(keep) & set(names):
+        raise ValueError(f"columns to keep have names of this operator's: {sorted(set(keep) & set(names))}")
+    rows = files.select(*(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in keep), F.col(content_col).alias("_content")).mapInPandas(        read,
         fields + ", " * bool(keep) + "file_bytes long, file_sha256 string, page int, height int, width int, samples int, "
         "compression int, predictor int, tiled boolean, pixels binary, error string",
     )
+    return rows.select(*(F.col(c).cast(whole[c]).alias(c) if c in whole else F.col(c) for c in keep), *names)
 
 
 def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every whole text as a TIFF file: the id, n_bytes, content. Null counts as empty; padding is byte 255."""
+    """Every whole text as a TIFF file: the id, n_bytes, content.
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            payloads = [(text or "").encode() for text in batch["_text"]]
-            batch["n_bytes"] = [len(x) for x in payloads]
-            batch["content"] = [write_tiff(x + b"\xff" * (-len(x) % PAYLOAD_UNIT or PAYLOAD_UNIT * (not x))) for x in payloads]
-            batch["_id"] = batch["_id"].astype("Int64") if batch["_id"].dtype.kind == "f" else batch["_id"]
-            yield batch[["_id", "n_bytes", "content"]]
+    Null counts as empty; padding is byte 255. Long texts have more pages. Repeated rows give a file
+    each, equal texts equal files; an empty table gives no row; other columns are not read.
+    """
+
+    def write(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            payloads = [(text or "").encode("utf-8", "replace") for text in texts]
+            files = [write_tiff(x + b"\xff" * (-len(x) % PAYLOAD_UNIT or PAYLOAD_UNIT * (not x))) for x in payloads]
+            yield pd.DataFrame({"n_bytes": [len(x) for x in payloads], "content": files})
 
     small_batches(docs.sparkSession, 4)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    files = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(write, f"_id {id_type}, n_bytes long, content binary")
-    return files.withColumnRenamed("_id", id_col)
+    return beside(docs, id_col, text_col, write, "n_bytes long, content binary")
 
 
 def feature_of(payload: bytes) -> str:
@@ -344,7 +354,8 @@ def feature_of(payload: bytes) -> str:
 
 def op4_tiff(spark, sf_dir: str) -> DataFrame:
     """Digests of what the pages hold; pages of a file follow each other, so a file is put together as they stream by."""
-    pages = read_pages(texts_as_tiff(table(spark, sf_dir, "documents")), keep=("doc_id", "n_bytes"))
+    files = texts_as_tiff(table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    pages = read_pages(files, keep=("doc_id", "n_bytes"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, parts, rows = None, [], []
@@ -352,11 +363,10 @@ def op4_tiff(spark, sf_dir: str) -> DataFrame:
         def close() -> None:
             if head is not None:
                 payload = b"".join(parts)
-                rows.append((*head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature_of(payload), len(parts)))
+                rows.append((head[0], int(head[1]), *head[2:], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature_of(payload), len(parts)))
 
         def out() -> pd.DataFrame:
             frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "pages"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             rows.clear()
             return frame
 
@@ -373,7 +383,8 @@ def op4_tiff(spark, sf_dir: str) -> DataFrame:
         close()
         yield out()
 
-    return pages.mapInPandas(
+    found = pages.mapInPandas(
         fold,
-        "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, pages int",
+        "doc_id string, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, pages int",
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
