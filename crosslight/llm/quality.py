@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import beside, cut, small_batches
 from .labelled import labelled_tables, remainder, training_rows
 
-#: Bounds of what is learned: rows of either label, bytes of each row in a dictionary's sample, bytes of a dictionary.
-ROWS_A_LABEL, BYTES_A_ROW, DICTIONARY_BYTES = 1_500, 8_192, 65_536
+#: Bounds of what is learned: whole texts of either label, their bytes in all, bytes of a dictionary; bytes of text for each byte of a dictionary.
+ROWS_A_LABEL, BYTES_A_LABEL, DICTIONARY_BYTES, BYTES_FOR_ONE = 1_500, 1 << 24, 65_536, 10
 #: A text is compressed in stretches of this many bytes, so that the dictionary counts all along it.
 STRETCH, LEVEL = 2_048, 3
+#: Bytes of a piece of a labelled text from which a dictionary is trained.
+SAMPLE = 512
 
 
 @dataclass(frozen=True)
@@ -73,28 +75,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 
 def learn(rows: DataFrame) -> Model:
-    """Fit on labelled texts (text, label): the first ROWS_A_LABEL of either label by a hash of the text.
+    """Fit on a bounded set of labelled texts (text, label; `training_rows`).
 
-    Every other row makes the dictionaries, the rest the curve, so that the curve sees texts that the
-    dictionaries haven't. Where a label has too little text for a dictionary the text itself is
-    used; without rows of both labels every score is the share of label 1 (0.5 without any row).
+    Of either label whole texts are taken by a hash of the text, at most ROWS_A_LABEL of them and
+    BYTES_A_LABEL in all. Every other one makes the dictionaries, from stretches all along it; the rest
+    make the curve, so that the curve sees texts that the dictionaries haven't. Without rows of both
+    labels, or with too little text for zstandard to train on, every score is the share of label 1
+    (0.5 without any row).
     """
     import zstandard
 
-    part = lambda y: rows.where(F.col("label") == y).orderBy(F.xxhash64("text"), "text").limit(ROWS_A_LABEL)
-    by = {y: [r.text for r in part(y).select("text").collect()] for y in (0, 1)}
-    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    base = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
+    spark = rows.sparkSession
+    rows = cut(rows)
+    sized = rows.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"), "label").toPandas()
+    base = ((sized["label"] == 1).sum() + 1) / (len(sized) + 2)
+    nothing = Model(b"", b"", (0.0, 0.0, float(np.log(base / (1 - base)))))
+    chosen = []
+    for _, own in sized[sized["size"] <= BYTES_A_LABEL].sort_values(["hash", "row"]).groupby("label"):
+        own = own.head(ROWS_A_LABEL)
+        chosen += own["row"][own["size"].cumsum() <= BYTES_A_LABEL].tolist()
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "row long"))
+    texts_of = rows.select(F.monotonically_increasing_id().alias("row"), "text", "label").join(wanted, "row").orderBy(F.xxhash64("text"), "row").collect()
+    by = {y: [r.text for r in texts_of if r.label == y] for y in (0, 1)}
     if not by[0] or not by[1]:
-        return Model(b"", b"", (0.0, 0.0, float(np.log(base / (1 - base)))))
+        return nothing
     dictionaries = []
     for y in (1, 0):
-        samples = [t.encode("utf-8", "replace")[:BYTES_A_ROW] for t in by[y][::2] if t]
+        samples = [data[at : at + SAMPLE] for data in (t.encode("utf-8", "replace") for t in by[y][::2]) for at in range(0, len(data), SAMPLE)]
+        size = min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // BYTES_FOR_ONE))
         try:
-            data = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            data = b"\n".join(samples)[:DICTIONARY_BYTES] or b"\n"
-        dictionaries.append(data)
+            dictionaries.append(zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes())
+        except (zstandard.ZstdError, ValueError):
+            return nothing
     compressors = _compressors(*dictionaries)
     texts, y = [], []
     for label in (0, 1):
@@ -111,22 +123,20 @@ def learn(rows: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Probability that a whole text is good: the id, score, n_bytes, good_bytes, bad_bytes.
 
-    Null counts as empty; an empty text has no difference and gets the curve's constant. Repeated
-    rows are scored each; other columns are not read. The dictionaries have a fixed bound and go
-    with the tasks.
+    Null counts as empty; an empty text has no difference and gets the curve's constant. Texts of any
+    length are compressed whole, stretch by stretch. Repeated rows are scored each; an empty table
+    gives no row; other columns are not read. The dictionaries have a fixed bound and go with the tasks.
     """
     small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         compressors = _compressors(model.good, model.bad) if model.good else None
-        for batch in batches:
-            sizes = np.array([compressed_sizes(t or "", compressors) if compressors else (len((t or "").encode()), 0, 0) for t in batch["_text"]], np.int64).reshape(-1, 3)
+        for texts in batches:
+            sizes = np.array([compressed_sizes(t or "", compressors) if compressors else (len((t or "").encode("utf-8", "replace")), 0, 0) for t in texts], np.int64).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(features(sizes) @ np.array(model.weights), -30, 30)))
-            yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "score": p, "n_bytes": sizes[:, 0], "good_bytes": sizes[:, 1], "bad_bytes": sizes[:, 2]})
+            yield pd.DataFrame({"score": p, "n_bytes": sizes[:, 0], "good_bytes": sizes[:, 1], "bad_bytes": sizes[:, 2]})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {id_type}, score double, n_bytes long, good_bytes long, bad_bytes long").withColumnRenamed("_id", id_col)
+    return beside(docs, id_col, text_col, run, "score double, n_bytes long, good_bytes long, bad_bytes long")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
