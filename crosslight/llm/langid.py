@@ -2,12 +2,12 @@
 
 A suffix automaton is built of labelled text of each language. A document is parsed against each
 automaton from left to right into longest matches; the language whose automaton needs the fewest
-phrases for the same letters explains the document best.
+phrases for the same letters explains the document best. Letters are read as their UTF-8 bytes, so
+all letters of all scripts are told apart by an alphabet of 256.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,16 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import beside, small_batches, table
 from .labelled import remainder
 
-#: Bounds of what is learned: documents and characters of each language, and characters of all together.
-DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, CHARS_IN_ALL = 200, 32_768, 131_072
-#: Symbols: 0 anything that is no letter, 1..LETTERS the commonest letters, then all other letters.
-LETTERS = 62
-SYMBOLS = LETTERS + 2
-#: Documents are parsed in stretches of this many symbols side by side; a phrase ends with its stretch.
-STRETCH = 1024
+#: Bounds of what is learned of each language: whole documents, their characters in all, bytes of the reference, characters of a piece of it.
+DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, REFERENCE, PIECE = 200, 1 << 22, 32_768, 160
+#: Texts that are parsed side by side; the rest of the longest ones are parsed one by one.
+SIDE_BY_SIDE = 12
 MISS = np.uint32(1 << 31)
 
 
@@ -64,94 +61,110 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _tables(texts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol of every code point, all automata as one transition table, and each one's first state.
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(point).isalpha() for point in range(0x110000)), bool, 0x110000)
 
-    An entry is the next state times SYMBOLS; where a match can't go on it is the state after a new
-    phrase's first symbol, marked MISS.
+
+@lru_cache(maxsize=1)
+def _tables(texts: tuple[str, ...]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Symbol of every byte, number of symbols, all automata as one transition table, and each one's first state.
+
+    Symbols are the bytes that the references have, and one for all others. An entry is the next state
+    times the number of symbols; where a match can't go on it is the state after a new phrase's first
+    symbol, marked MISS.
     """
-    every = np.zeros(0x110000, np.uint8)
-    for point in range(0x110000):
-        if chr(point).isalpha():
-            every[point] = SYMBOLS - 1
-    common = Counter(c for text in texts for c in text if c != " ").most_common(LETTERS)
-    for k, (letter, _) in enumerate(sorted(common)):
-        every[ord(letter)] = k + 1
+    data = [np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) for text in texts]
+    used = np.unique(np.concatenate(data))
+    symbols = len(used) + 1
+    every = np.full(256, symbols - 1, np.uint8 if symbols <= 256 else np.uint16)
+    every[used] = np.arange(len(used))
     blocks, roots, base = [], [], 0
-    for text in texts:
-        codes = every[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist()
-        steps = suffix_automaton(codes)
-        block = np.full((len(steps), SYMBOLS), -1, np.int64)
+    for own in data:
+        steps = suffix_automaton(every[own].tolist())
+        start = len(steps)  # before any phrase, and after a symbol that the language never has, which is a phrase of its own
+        block = np.full((start + 1, symbols), -1, np.int64)
         for state, to in enumerate(steps):
             for code, target in to.items():
                 block[state, code] = target
-        first = np.where(block[0] >= 0, block[0], 0)  # a symbol that the language never has is a phrase of its own
+        first = np.where(block[0] >= 0, block[0], start)
         missing = block < 0
-        block = (np.where(missing, first, block) + base) * SYMBOLS
+        block = (np.where(missing, first, block) + base) * symbols
         blocks.append(block.astype(np.uint32) | (missing.astype(np.uint32) * MISS))
-        roots.append(base * SYMBOLS)
-        base += len(steps)
-    return every, np.concatenate(blocks).ravel(), np.array(roots, np.int64)
+        roots.append((base + start) * symbols)
+        base += start + 1
+    return every, symbols, np.concatenate(blocks).ravel(), np.array(roots, np.int64)
 
 
-def phrase_counts(texts: list[str], references: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of each text under each reference (texts x references), symbols, and whether it has a letter."""
-    every, steps, roots = _tables(references)
-    joined = "\n".join(texts).lower()
-    sizes = [len(t.lower()) for t in texts]
-    codes = every[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.repeat(np.arange(len(texts)), np.array(sizes) + 1)[: len(codes)]
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts as UTF-8 bytes with one space for each run of anything else, bytes of each text, and whether it has a letter."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in lowered], int) + 1)[: len(codes)]
+    letter = _letters()[codes]
     keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)  # one space for a run; the joining line break stays with the text before it
-    codes, owner = codes[keep], owner[keep]
-    n_symbols = np.bincount(owner, minlength=len(texts))
-    letters = np.bincount(owner[codes > 0], minlength=len(texts)) > 0
-    starts = np.r_[0, np.cumsum(n_symbols)[:-1]]
-    pieces = -(-n_symbols // STRETCH)
-    of = np.repeat(np.arange(len(texts)), pieces)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = starts[of] + nth * STRETCH
-    length = np.minimum(STRETCH, n_symbols[of] - nth * STRETCH)
-    order = np.argsort(-length, kind="stable")
-    of, begin, length = of[order], begin[order], length[order]
-    state = np.repeat(roots[:, None], len(of), axis=1).astype(np.uint32)
-    phrases = np.ones((len(roots), len(of)), np.int32)
-    live = np.searchsorted(-length, -np.arange(STRETCH), side="left")
-    for t in range(int(length[0]) if len(length) else 0):
+    keep[1:] = letter[1:] | letter[:-1]  # the joining line break stays with the text before it
+    codes, owner, letter = np.where(letter, codes, 32)[keep], owner[keep], letter[keep]
+    wide = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes = np.bincount(owner, wide, len(texts)).astype(np.int64)
+    data = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return np.frombuffer(data, np.uint8), sizes, np.bincount(owner[letter], minlength=len(texts)) > 0
+
+
+def phrase_counts(texts: list[str], references: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of each whole text under each reference (texts x references), its bytes, and whether it has a letter."""
+    every, symbols, steps, roots = _tables(references)
+    data, sizes, letters = letters_of(texts)
+    codes = every[data]
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    begin, length = starts[order], sizes[order]
+    state = np.repeat(roots[:, None], len(order), axis=1).astype(np.uint32)
+    phrases = np.zeros((len(roots), len(order)), np.int64)
+    # All texts go side by side until few are left; those go on alone, where a step costs less.
+    together = int(length[SIDE_BY_SIDE]) if len(order) > SIDE_BY_SIDE else 0
+    live = np.searchsorted(-length, -np.arange(together), side="left")
+    for t in range(together):
         n = live[t]
         to = steps[state[:, :n] + codes[begin[:n] + t].astype(np.uint32)]
-        phrases[:, :n] += (to >> 31).astype(np.int32)
+        phrases[:, :n] += to >> 31
         state[:, :n] = to & ~MISS
+    view, miss = memoryview(steps), int(MISS)
+    for i in range(min(SIDE_BY_SIDE, len(order))):
+        rest = codes[begin[i] + together : begin[i] + length[i]].tolist()
+        for k in range(len(roots)):
+            at, n = int(state[k, i]), 0
+            for code in rest:
+                at = view[at + code]
+                if at >= miss:
+                    at, n = at - miss, n + 1
+            phrases[k, i] += n
     out = np.zeros((len(texts), len(roots)), np.int64)
-    for k in range(len(roots)):
-        out[:, k] = np.bincount(of, phrases[k], len(texts))
-    return out, n_symbols, letters
+    out[order] = phrases.T
+    return out, sizes, letters
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Reference text of each language, from the documents that come first by a hash of their text.
 
-    At most DOCS_PER_LANGUAGE whole texts a language are fetched; CHARS_PER_LANGUAGE characters of
-    them (less where there are so many languages that CHARS_IN_ALL would be passed), taken evenly
-    from the documents, make the automaton. Rows without language or letters are left out.
+    At most DOCS_PER_LANGUAGE whole texts a language, of CHARS_PER_LANGUAGE characters in all, are
+    fetched; longer texts are passed over. Pieces spread evenly over all of these texts make the
+    reference of REFERENCE bytes, so memory grows with the number of languages, by some 30 MB each.
+    Rows without language or letters are left out.
     """
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col), text_col)
-    rows = (
-        labelled.select(F.col(lang_col), F.col(text_col))
-        .where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= DOCS_PER_LANGUAGE)
-        .select(lang_col, F.substring(text_col, 1, 2 * CHARS_PER_LANGUAGE).alias("_text"), "_n")
-        .collect()
-    )
+    usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy("hash", "text")
+    ranked = usable.where(F.length("text") <= CHARS_PER_LANGUAGE).select("lang", F.xxhash64("text").alias("hash"), "text")
+    ranked = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    rows = ranked.withColumn("total", F.sum(F.length("text")).over(first)).where(F.col("total") <= CHARS_PER_LANGUAGE).select("lang", "text", "n").collect()
     by: dict[str, list[str]] = {}
     for lang, text, _ in sorted(rows, key=lambda r: (r[0], r[2])):
         by.setdefault(lang, []).append(plain(text))
-    size = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // max(1, len(by)))
     out = {}
     for lang, texts in sorted(by.items()):
-        share = next((s for s in (size // len(texts), size // 16, size) if sum(min(len(t), s) for t in texts) >= size), size)
-        out[lang] = " ".join(t[: max(16, share)] for t in texts)[:size]
+        pieces = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
+        every = max(1.0, sum(len(p.encode("utf-8", "surrogatepass")) for p in pieces) / REFERENCE)
+        out[lang] = " ".join(pieces[int(k * every)] for k in range(int(len(pieces) / every)))
     return out
 
 
@@ -161,15 +174,15 @@ def predict(docs: DataFrame, references: dict[str, str], id_col: str = "doc_id",
     The score is one less the ratio of the fewest phrases to the second fewest, so 0 for a tie, which
     goes to the language that sorts first; 1 where only one language was learned. Null texts, texts
     without a letter, and every text where nothing was learned get `und` and 0. Repeated rows are
-    predicted each; other columns are not read. The references have a fixed bound and go with the tasks.
+    predicted each, and texts of any length are parsed whole; an empty table gives no row; other
+    columns are not read. The references have a fixed bound for each language and go with the tasks.
     """
     small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
     names, texts_of = list(references), tuple(references.values())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["_text"]]
+            texts = [t or "" for t in batch]
             n = len(texts)
             lang, score, least, size = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             if names and n:
@@ -182,11 +195,9 @@ def predict(docs: DataFrame, references: dict[str, str], id_col: str = "doc_id",
                 else:
                     score = letters.astype(float)
                 lang = np.where(letters, np.array(names, object)[best], "und")
-            yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "lang_pred": lang, "score": score, "phrases": least, "symbols": size})
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "phrases": least, "symbols": size})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.mapInPandas(run, f"_id {id_type}, lang_pred string, score double, phrases long, symbols long")
-    return found.withColumnRenamed("_id", id_col)
+    return beside(docs, id_col, text_col, run, "lang_pred string, score double, phrases long, symbols long")
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
