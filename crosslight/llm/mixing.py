@@ -1,7 +1,7 @@
 """Mixing by soft membership: how often each document is taken so that domains reach target weights.
 
-A naive Bayes classifier, fitted on the labelled table, gives every document a posterior over the
-domains. Documents then get rates r >= least so that the expected tokens of each domain,
+A naive Bayes classifier, fitted and calibrated on the labelled table, gives every document a
+posterior over the domains. Documents then get rates r >= least so that the expected tokens of each domain,
 sum of r x tokens x posterior, match the targets in the least-squares sense. The descent is
 distributed: a step needs only one total for each domain. It moves a document's rate by its
 posterior times the domains' residuals, so a rate follows from the posterior and the residuals so far.
@@ -9,6 +9,7 @@ posterior times the domains' residuals, so a rate follows from the posterior and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,66 +18,111 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, words
+from .common import beside, cut, small_batches, table
 from .labelled import training_rows
 from .toxicity import buckets_of
 
 #: Domains of the labelled table, in the order of posteriors.
 DOMAINS = ("high", "low", "toxic")
-#: Word buckets of the classifier (of the 2^20 of `buckets_of`): the bound of the model.
+#: Token buckets of the classifier (of the 2^20 of `buckets_of`): the bound of the model.
 BUCKETS = 1 << 18
-#: Smoothing in documents, and the most words' worth of evidence that a posterior takes from one document.
-SMOOTHING, EVIDENCE = 5.0, 30.0
+#: Smoothing in documents, and how far a token's documents must be from chance, in standard deviations, to say anything.
+SMOOTHING, LEAST_Z = 5.0, 3.0
 #: Most steps of the descent, and the relative residual at which it ends.
 STEPS, TOLERANCE = 30, 1e-3
+TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 @dataclass(frozen=True)
 class Classifier:
     log_odds: np.ndarray  # domains x buckets
-    log_prior: np.ndarray
+    weights: np.ndarray  # features x domains
+
+
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased words and runs of signs."""
+    return TOKEN.findall(text.lower())
+
+
+def _features(totals: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Of the domains' summed log-odds, in proportion to what chance makes of as many tokens, and damped; and a constant."""
+    return np.c_[totals / np.sqrt(np.maximum(distinct, 1))[:, None], np.sign(totals) * np.log1p(np.abs(totals)), np.ones(len(totals))]
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    out = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _calibrated(x: np.ndarray, label: np.ndarray, n_domains: int, ridge: float = 1e-3, rounds: int = 400) -> np.ndarray:
+    """Weights of a multinomial logistic regression, by steps of a bound of its curvature."""
+    scale = np.r_[np.maximum(x[:, :-1].std(axis=0), 1e-9), 1.0]
+    z, y = x / scale, np.eye(n_domains)[label]
+    w, bound = np.zeros((x.shape[1], n_domains)), z.T @ z / len(z) / 2 + ridge * np.eye(x.shape[1])
+    for _ in range(rounds):
+        w += np.linalg.solve(bound, z.T @ (y - _softmax(z @ w)) / len(z) - ridge * w)
+    return w / scale[:, None]
+
+
+def _summed(texts: list, log_odds: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, distinct tokens and summed log-odds (texts x domains) of whole texts."""
+    sizes, distinct, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(log_odds)))
+    for k, text in enumerate(texts):
+        at = buckets_of(tokens_of(text or ""), known) % BUCKETS
+        own = np.unique(at)
+        sizes[k], distinct[k], totals[k] = len(at), len(own), log_odds[:, own].sum(axis=1)
+    return sizes, distinct, totals
 
 
 def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
-    """Fit on labelled texts (text, label: number of the domain). Without any row all domains are alike."""
+    """Fit on a bounded set of labelled texts (text, label: number of the domain). Without any row all domains are alike.
+
+    Half of the rows, by a hash of the text, gives each token's log-odds of each domain (naive Bayes);
+    the other half turns a document's sums of these into posteriors that hold on average.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, docs, known = np.zeros((n_domains, BUCKETS), np.int64), np.zeros(n_domains, np.int64), {}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                sums[label, np.unique(buckets_of(words(text), known) % BUCKETS)] += 1
+                sums[label, np.unique(buckets_of(tokens_of(text), known) % BUCKETS)] += 1
                 docs[label] += 1
         label, bucket = np.nonzero(sums)
         yield pd.DataFrame({"label": np.r_[label, np.arange(n_domains)], "bucket": np.r_[bucket, np.full(n_domains, -1)], "n": np.r_[sums[label, bucket], docs]})
 
     small_batches(rows.sparkSession)
-    found = rows.mapInPandas(count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # n_domains x (BUCKETS + 1) rows at most
+    rows = cut(rows)  # it is read twice
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    found = rows.where(half == 0).mapInPandas(count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # n_domains x (BUCKETS + 1) rows at most
     counts, docs = np.zeros((n_domains, BUCKETS)), np.zeros(n_domains)
     totals = found[found["bucket"] < 0]
     docs[totals["label"]] = totals["n"]
     found = found[found["bucket"] >= 0]
     counts[found["label"], found["bucket"]] = found["n"]
-    seen = counts.sum(axis=0) >= 3  # rarer words say nothing that holds elsewhere
-    # Every domain is smoothed towards the rate over all, so that small ones don't win by rare words.
+    # Every domain is smoothed towards the rate over all, so that small ones don't win by rare tokens.
     rate = (counts.sum(axis=0) + 0.01) / (docs.sum() + 1)
-    odds = np.log((counts + SMOOTHING * rate) / (docs[:, None] + SMOOTHING))
-    odds[:, ~seen] = 0
-    return Classifier((odds - odds.mean(axis=0)).astype(np.float32), np.log((docs + 1) / (docs.sum() + n_domains)))
+    expected = docs[:, None] * rate
+    odds = np.log((counts + SMOOTHING * rate) / (docs[:, None] + SMOOTHING)) - np.log(rate)
+    odds[(np.abs(counts - expected) < LEAST_Z * np.sqrt(expected + 1e-9)) | (counts.sum(axis=0) < 3)] = 0
+    odds = odds.astype(np.float32)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            _, distinct, totals = _summed(batch["text"].tolist(), odds, known)
+            yield pd.DataFrame({"label": batch["label"].to_numpy(), "distinct": distinct, "totals": list(totals)})
+
+    rest = rows.where(half == 1).mapInPandas(describe, "label int, distinct long, totals array<double>").toPandas()  # a bounded set
+    weights = np.zeros((2 * n_domains + 1, n_domains))
+    if len(rest):
+        weights = _calibrated(_features(np.stack(rest["totals"]), rest["distinct"].to_numpy()), rest["label"].to_numpy(), n_domains)
+    return Classifier(odds, weights)
 
 
 def posteriors(texts: list, model: Classifier, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and posteriors (texts x domains) of whole texts; a text without words gets the domains' shares."""
-    out, sizes = np.zeros((len(texts), len(model.log_prior))), np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        at = buckets_of(words(text or ""), known) % BUCKETS
-        sizes[k] = len(at)
-        logits = model.log_prior.copy()
-        if len(at):
-            own = np.unique(at)
-            logits = logits + model.log_odds[:, own].sum(axis=1) * min(1.0, EVIDENCE / len(own))
-        p = np.exp(logits - logits.max())
-        out[k] = p / p.sum()
-    return sizes, out
+    """Tokens and posteriors (texts x domains) of whole texts; a text without tokens gets what the constants say."""
+    sizes, distinct, totals = _summed(texts, model.log_odds, known)
+    return sizes, _softmax(_features(totals, distinct) @ model.weights)
 
 
 def rates_of(p: np.ndarray, history: list[np.ndarray], least: float) -> np.ndarray:
@@ -87,12 +133,11 @@ def rates_of(p: np.ndarray, history: list[np.ndarray], least: float) -> np.ndarr
     return rate
 
 
-def fit(features: DataFrame, targets: np.ndarray, least: float = 0.0) -> list[np.ndarray]:
+def fit(features: DataFrame, targets: np.ndarray, least: float = 0.0, growth: float = 1.0) -> list[np.ndarray]:
     """Steps of the descent over `features` (n_tokens, posterior: array). `targets` are shares that sum to 1.
 
-    With least 0 the expected total stays what it is; otherwise the total is the smallest at which no
-    domain's target lies below what the least rates give it already, and a domain without a target
-    stays at that. An empty table, or one without
+    The expected total is `growth` times the tokens there are, whatever the table's size. A domain
+    whose target lies below what the least rates give it stays at that. An empty table, or one without
     tokens, needs no step.
     """
     n = len(targets)
@@ -121,8 +166,8 @@ def fit(features: DataFrame, targets: np.ndarray, least: float = 0.0) -> list[np
     (now,), gram = totals(history, [np.zeros(n)])
     if now.sum() <= 0:
         return history
-    total = now.sum() if least == 0 else max(now[k] / targets[k] for k in range(n) if targets[k] > 0)
-    goal = targets * total if least == 0 else np.maximum(targets * total, now)
+    total = growth * now.sum() / max(1.0, least)  # now holds the rates that the descent starts from
+    goal = np.maximum(targets * total, now * least / max(1.0, least))
     # The plain step never leads away from the goal, but is short; longer ones, and steps scaled by the
     # inverse Gram matrix, by which rare domains move as fast as common ones, are tried in the same pass,
     # as are steps of one domain alone.
@@ -149,64 +194,60 @@ def domain_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return training_rows(docs, labels.withColumn("domain", domain), "domain")
 
 
-def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Posterior and rate of every document: the id, n_tokens, posterior (array in the order of DOMAINS), rate.
 
-    Null and empty texts have no token and thus no say in the totals; they get the rate of the
-    domains' shares. Domains without a target get none. Repeated rows count each; other columns are not read.
+    Null and empty texts have no token and thus no say in the totals; they get a posterior and a rate
+    all the same. Domains without a target get none. Very long texts are read whole, and count by
+    their tokens. Repeated rows count each; an empty table gives no row; other columns are not read.
     """
-    features, history = _fitted(docs, model, targets, least, id_col, text_col)
+    features, history = _fitted(docs, model, targets, least, growth, id_col, text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["rate"] = rates_of(np.stack(batch["posterior"].to_numpy()), history, least) if len(batch) else np.zeros(0)
-            yield batch
+    @F.pandas_udf("double")
+    def rate(posterior: pd.Series) -> pd.Series:
+        return pd.Series(rates_of(np.stack(posterior.to_numpy()), history, least) if len(posterior) else np.zeros(0))
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return features.mapInPandas(run, f"_id {id_type}, n_tokens long, posterior array<double>, rate double").withColumnRenamed("_id", id_col)
+    return features.withColumn("rate", rate("posterior"))
 
 
-def _fitted(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float, id_col: str, text_col: str) -> tuple[DataFrame, list[np.ndarray]]:
+def _fitted(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float, growth: float, id_col: str, text_col: str) -> tuple[DataFrame, list[np.ndarray]]:
     small_batches(docs.sparkSession)
     shares = np.array([max(0.0, targets.get(d, 0.0)) for d in DOMAINS])
     if shares.sum() <= 0:
         raise ValueError("at least one domain needs a positive target")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for texts in batches:
             if len(known) > 300_000:
                 known.clear()
-            sizes, p = posteriors(batch["_text"].tolist(), sent.value, known)
-            out = pd.DataFrame({"n_tokens": sizes, "posterior": list(p)})
-            out.insert(0, "_id", batch["_id"].array)
-            yield out
+            sizes, p = posteriors(texts.tolist(), sent.value, known)
+            yield pd.DataFrame({"n_tokens": sizes, "posterior": list(p)})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    features = cut(rows.mapInPandas(describe, f"_id {id_type}, n_tokens long, posterior array<double>"))
-    return features, fit(features, shares / shares.sum(), least)
+    features = cut(beside(docs, id_col, text_col, describe, "n_tokens long, posterior array<double>"))
+    return features, fit(features.select("n_tokens", "posterior"), shares / shares.sum(), least, growth)
 
 
-def take(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(docs: DataFrame, model: Classifier, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, each as often as its rate says, columns as they are.
 
     A rate's fraction is rounded up or down by a hash of id and text, in proportion. The rate follows
     from the text alone once the descent is done, so it is computed beside the text, without a join.
     """
-    _, history = _fitted(docs, model, targets, least, id_col, text_col)
+    _, history = _fitted(docs, model, targets, least, growth, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series(rates_of(posteriors(texts.tolist(), sent.value, {})[1], history, least))
 
-    even = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     own = docs.columns
-    rated = docs.withColumn("_rate", rate(F.col(text_col)))
-    copies = (F.floor("_rate") + F.when(F.col("_rate") - F.floor("_rate") > even, 1).otherwise(0)).cast("int")
-    return rated.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*own)
+    even = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    rated = docs.select(F.struct(*own).alias("doc"), rate(F.col(text_col)).alias("rate"), even.alias("even"))
+    copies = (F.floor("rate") + F.when(F.col("rate") - F.floor("rate") > F.col("even"), 1).otherwise(0)).cast("int")
+    rated = rated.select("doc", copies.alias("copies")).where("copies > 0")
+    return rated.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 #: Shares of tokens that op1 asks for.
