@@ -15,10 +15,11 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_langid": langid.op10_langid,
+    "shards_by_bytes": lambda spark, sf_dir: sharding.op8_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot"),
 }
 
-#: Equal byte targets along doc_id, for op8 without its digests: DuckDB has no CRC-32, so tests use
-#: this SQL on the columns that it can give, and op8 itself has no counterpart to register.
+#: Equal byte targets along doc_id, for op8 without its digests: DuckDB has no CRC-32, so op8 itself has
+#: no counterpart, and its other columns stand as a query of their own.
 SHARDS_SQL = """
     WITH d AS (
         SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
@@ -29,4 +30,4 @@ SHARDS_SQL = """
     SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"shards_by_bytes": SHARDS_SQL}

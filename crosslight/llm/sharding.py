@@ -8,10 +8,6 @@ row ever needs another partition. The byte line is then cut at equal targets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +21,8 @@ def balanced_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", text
     rows have a defined order up to rows that are wholly alike. A row belongs to the shard that holds
     the middle of its bytes; a shard's bytes differ from the target by less than the two rows at its
     ends. The size of a row is its text's UTF-8 bytes plus one, so null and empty texts count too.
-    An empty table gives an empty result; with fewer rows than shards some shards stay empty. Other
-    columns are not read.
+    An empty table gives an empty result; with fewer rows than shards some shards stay empty. Texts of
+    any length count by their bytes. Other columns are not read.
 
     Columns: the id, size, text_crc32, shard, slot (from 0 in each shard, without gaps).
     """
@@ -55,24 +51,12 @@ def balanced_shards(rows: DataFrame, n_shards: int, id_col: str = "doc_id", text
         )
     )
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, seen = 0, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            ends = done + np.cumsum(batch["size"].to_numpy())
-            middles = batch["_start"].to_numpy() + ends - batch["size"].to_numpy() / 2
-            total = max(1, int(batch["_total"].iloc[0]))
-            batch["shard"] = np.minimum((middles * n_shards / total).astype("int64"), n_shards - 1).astype("int32")
-            batch["_at"] = batch["_row"].to_numpy() + seen + np.arange(len(batch))
-            done, seen = int(ends[-1]), seen + len(batch)
-            yield batch[["_id", "size", "text_crc32", "shard", "_at"]]
-
-    id_type = rows.schema[id_col].dataType.simpleString()
-    # The broadcast side has one row for each partition of the table.
-    placed = ranged.join(F.broadcast(starts), "_part").mapInPandas(
-        place, f"_id {id_type}, size long, text_crc32 long, shard int, _at long"
-    )
+    # The broadcast side has one row for each partition of the table. Ids stay on Spark's side.
+    along = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("_start") + F.sum("size").over(along) - F.col("size") / 2
+    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.greatest(F.lit(1), "_total")).cast("int"))
+    place = F.col("_row") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.join(F.broadcast(starts), "_part").select("_id", "size", "text_crc32", shard.alias("shard"), place.alias("_at"))
     placed = cut(placed)
     firsts = placed.groupBy("shard").agg(F.min("_at").alias("_first"))  # n_shards rows
     return placed.join(F.broadcast(firsts), "shard").select(
