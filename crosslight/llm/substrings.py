@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: A chunk ends before one word of so many on average; the hash sees this many bytes.
 WORDS_A_CHUNK, WINDOW = 5, 16
@@ -125,7 +125,8 @@ def chunk_rows(docs: DataFrame, text_col: str, least_words: int = LEAST_WORDS) -
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Chunks that stand earlier in the table: row, at, of (the document of the first)."""
     chunks = chunk_rows(docs, text_col, least_words)
-    firsts = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("hi", "lo", "first")
+    # Cut, so that both sides of the join are plain shuffles and Spark can split a digest that very many rows have.
+    firsts = cut(chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("hi", "lo", "first"))
     again = chunks.join(firsts, ["hi", "lo"]).where("row <> first OR at < 0").select("row", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "first")
     owners = docs.select(F.monotonically_increasing_id().alias("first"), F.col(id_col).alias("of"))
     return again.join(owners, "first").select("row", "at", "of")
@@ -168,8 +169,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of `docs` with repeated passages taken out of their texts.
 
     Of equal passages the first in the table's order stays, so of exact copies the first keeps its
-    text and the others end up empty; no row is dropped. Null and empty texts stay as they are. `docs` is read
-    twice and must come from files or a checkpoint. Three columns are added, or replaced where
+    text and the others end up empty; no row is dropped. Null and empty texts stay as they are, texts of
+    any length are cut whole, and an empty table gives no row. `docs` is read more than once and must
+    come from files or a checkpoint. Three columns are added, or replaced where
     `docs` has them: removed_bytes, removed_spans (UTF-8 byte offsets in the old text), repeats_of
     (ids of the documents that hold what was taken out first; null ids are left out).
     """
