@@ -230,14 +230,32 @@ def test_languages(spark):
 
 def test_phrases_by_brute_force():
     reference, text = "the cat sat on the mat with a hat", "that cat on a mat sat zz"
-    counts, sizes, letters = langid.phrase_counts([text, "", "!"], (reference,))
-    n, at = 0, 0
-    while at < len(text):
-        size = 1
-        while at + size < len(text) and text[at : at + size + 1] in reference:
-            size += 1
-        n, at = n + 1, at + size
-    assert counts[0, 0] in (n, n + 1) and letters.tolist() == [True, False, False]
+    rng = random.Random(2)
+    alphabets = ["ab c", "aбв é", "".join(chr(c) for c in range(0x4E00, 0x4E0C)) + " "]
+    texts = [" ".join("".join(rng.choices(a, k=n)).split()) for a in alphabets for n in (6, 40, 1_500, 5_000)] + [text]
+    references = (reference, "".join(rng.choices(alphabets[0], k=900)), "".join(rng.choices(alphabets[2] + "б", k=900)))
+    counts, sizes, letters = langid.phrase_counts([*texts, *texts, "!", ""], references)
+    for k, own in enumerate([*texts, *texts]):
+        data = f"{own} ".encode()  # the line break between two texts is a blank of the first
+        for j, known in enumerate(x.encode() for x in references):
+            n, at = 0, 0
+            while at < len(data):
+                size = 1
+                while at + size < len(data) and data[at : at + size + 1] in known:
+                    size += 1
+                n, at = n + 1, at + size
+            assert counts[k, j] == n
+        assert sizes[k] == len(data)
+    assert letters.tolist() == [*[True] * 2 * len(texts), False, False]
+
+
+def test_languages_of_scripts_with_many_letters(spark):
+    rng = random.Random(4)
+    one, two = ([chr(c) for c in range(a, a + 300)] for a in (0x4E00, 0xAC00))
+    rows = [(k, "".join(rng.choices((one, two)[k % 2], k=200)), "xy"[k % 2]) for k in range(120)]
+    docs = checkpointed(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = langid.predict(docs.where("doc_id >= 60"), langid.learn(docs.where("doc_id < 60"))).collect()
+    assert [r.lang_pred for r in found] == ["xy"[r.doc_id % 2] for r in found] and min(r.score for r in found) > 0.05
 
 
 def test_neighbours_against_brute_force(spark):
@@ -436,13 +454,13 @@ def test_mixing_meets_its_targets(spark):
     docs, labels = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = mixing.learn(mixing.domain_rows(docs, labels))
     targets = {"high": 0.6, "low": 0.3, "toxic": 0.1}
-    for least in (0.0, 1.0):
-        found = mixing.mix(docs, model, targets, least).toPandas()
+    for least, growth in ((0.0, 1.0), (1.0, 2.0)):
+        found = mixing.mix(docs, model, targets, least, growth).toPandas()
         p, size, rate = np.stack(found["posterior"]), found["n_tokens"].to_numpy(float), found["rate"].to_numpy()
         assert (rate >= least - 1e-9).all() and np.allclose(p.sum(axis=1), 1)
         totals = (rate * size) @ p
-        assert np.abs(totals / totals.sum() - np.array([0.6, 0.3, 0.1])).max() < 0.02
-    taken = mixing.take(docs, model, targets, least=1.0)
+        assert np.abs(totals / totals.sum() - np.array([0.6, 0.3, 0.1])).max() < 0.02 and abs(totals.sum() / size.sum() - growth) < 0.02
+    taken = mixing.take(docs, model, targets, least=1.0, growth=2.0)
     assert taken.columns == docs.columns and taken.select("doc_id").distinct().count() == docs.count()
     odd = mixing.mix(docs_of(spark, ODD, ODD_IDS), model, targets).collect()
     assert len(odd) == len(ODD) and all(r.rate >= 0 for r in odd)
