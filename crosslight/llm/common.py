@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: Words whose hashes a task keeps; Python workers outlive their tasks, so what each holds at most counts for the executor.
+KNOWN = 80_000
 
 
 def words(text: str) -> list[str]:
@@ -17,7 +19,7 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, mb: int = 3) -> None:
     """Bound what one Arrow batch holds, so that very long texts don't fill a Python worker.
 
     Bounded tables that the driver fetches come as Arrow too, not as a Python object for each row.
@@ -27,6 +29,21 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+def release() -> None:
+    """Give back to the system what earlier tasks of this Python worker have freed; for the start of a task.
+
+    Workers outlive their tasks, so what one has needed at most would stay with the executor.
+    """
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the cluster; a local one only on a local master.
 

@@ -10,6 +10,7 @@ posterior times the domains' residuals, so a rate follows from the posterior and
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, cut, small_batches, table
+from .common import KNOWN, beside, cut, release, small_batches, table
 from .labelled import training_rows
-from .toxicity import buckets_of
 
 #: Domains of the labelled table, in the order of posteriors.
 DOMAINS = ("high", "low", "toxic")
-#: Token buckets of the classifier (of the 2^20 of `buckets_of`): the bound of the model.
+#: Token buckets of the classifier, by a hash: the bound of the model.
 BUCKETS = 1 << 18
 #: Smoothing in documents, and how far a token's documents must be from chance, in standard deviations, to say anything.
 SMOOTHING, LEAST_Z = 5.0, 3.0
@@ -35,7 +35,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 @dataclass(frozen=True)
 class Classifier:
-    log_odds: np.ndarray  # domains x buckets
+    log_odds: np.ndarray  # buckets x domains
     weights: np.ndarray  # features x domains
 
 
@@ -64,13 +64,28 @@ def _calibrated(x: np.ndarray, label: np.ndarray, n_domains: int, ridge: float =
     return w / scale[:, None]
 
 
-def _summed(texts: list, log_odds: np.ndarray, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Buckets(dict):
+    """Bucket of each token that was asked for."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = found = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+        return found
+
+
+def distinct_buckets(tokens: list[str], known: Buckets) -> np.ndarray:
+    own = set(map(known.__getitem__, set(tokens)))
+    return np.fromiter(own, np.int64, len(own))
+
+
+def _summed(texts: list, log_odds: np.ndarray, known: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, distinct tokens and summed log-odds (texts x domains) of whole texts."""
-    sizes, distinct, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(log_odds)))
+    sizes, distinct, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros((len(texts), log_odds.shape[1]))
     for k, text in enumerate(texts):
-        at = buckets_of(tokens_of(text or ""), known) % BUCKETS
-        own = np.unique(at)
-        sizes[k], distinct[k], totals[k] = len(at), len(own), log_odds[:, own].sum(axis=1)
+        tokens = tokens_of(text or "")
+        own = distinct_buckets(tokens, known)
+        # In order, so that the sum is the same wherever a text is read.
+        own.sort()
+        sizes[k], distinct[k], totals[k] = len(tokens), len(own), log_odds[own].sum(axis=0)
     return sizes, distinct, totals
 
 
@@ -82,10 +97,10 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, docs, known = np.zeros((n_domains, BUCKETS), np.int64), np.zeros(n_domains, np.int64), {}
+        sums, docs, known = np.zeros((n_domains, BUCKETS), np.int64), np.zeros(n_domains, np.int64), Buckets()
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                sums[label, np.unique(buckets_of(tokens_of(text), known) % BUCKETS)] += 1
+                sums[label, distinct_buckets(tokens_of(text), known)] += 1
                 docs[label] += 1
         label, bucket = np.nonzero(sums)
         yield pd.DataFrame({"label": np.r_[label, np.arange(n_domains)], "bucket": np.r_[bucket, np.full(n_domains, -1)], "n": np.r_[sums[label, bucket], docs]})
@@ -104,10 +119,10 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     expected = docs[:, None] * rate
     odds = np.log((counts + SMOOTHING * rate) / (docs[:, None] + SMOOTHING)) - np.log(rate)
     odds[(np.abs(counts - expected) < LEAST_Z * np.sqrt(expected + 1e-9)) | (counts.sum(axis=0) < 3)] = 0
-    odds = odds.astype(np.float32)
+    odds = np.ascontiguousarray(odds.T, np.float32)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Buckets()
         for batch in batches:
             _, distinct, totals = _summed(batch["text"].tolist(), odds, known)
             yield pd.DataFrame({"label": batch["label"].to_numpy(), "distinct": distinct, "totals": list(totals)})
@@ -119,7 +134,7 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     return Classifier(odds, weights)
 
 
-def posteriors(texts: list, model: Classifier, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(texts: list, model: Classifier, known: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and posteriors (texts x domains) of whole texts; a text without tokens gets what the constants say."""
     sizes, distinct, totals = _summed(texts, model.log_odds, known)
     return sizes, _softmax(_features(totals, distinct) @ model.weights)
@@ -218,9 +233,10 @@ def _fitted(docs: DataFrame, model: Classifier, targets: dict[str, float], least
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        release()
+        known = Buckets()
         for texts in batches:
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
             sizes, p = posteriors(texts.tolist(), sent.value, known)
             yield pd.DataFrame({"n_tokens": sizes, "posterior": list(p)})
@@ -240,7 +256,7 @@ def take(docs: DataFrame, model: Classifier, targets: dict[str, float], least: f
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(posteriors(texts.tolist(), sent.value, {})[1], history, least))
+        return pd.Series(rates_of(posteriors(texts.tolist(), sent.value, Buckets())[1], history, least))
 
     own = docs.columns
     even = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
