@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, words
+from .common import KNOWN, cut, release, small_batches, table, words
 from .graphs import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -69,7 +69,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
             sums[BUCKETS] += len(batch)  # the last place counts documents
             for text in batch["text"]:
                 sums[np.unique(hashes_of(words(text or ""), known) % np.uint64(BUCKETS)).astype(np.int64)] += 1
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"bucket": at, "n": sums[at]})
@@ -155,9 +155,10 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
 
     @F.pandas_udf("hi long, lo long, weight double, keys array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         sampler, known, rarity = Sampler(), Hashes(), idf.value
         for texts in batches:
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
             hi, lo, weight, keys = [], [], [], []
             for text in texts:
@@ -183,7 +184,7 @@ def packed_bags(docs: DataFrame, rows: DataFrame, idf, text_col: str) -> DataFra
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, rarity = Hashes(), idf.value
         for texts in batches:
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
             bags = [shingles(words(text or ""), rarity, known) for text in texts]
             yield pd.DataFrame({"names": [n.tobytes() for n, _ in bags], "weights": [w.astype(np.float32).tobytes() for _, w in bags]})

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, release, small_batches, table
 
 #: A chunk ends before one word of so many on average; the hash sees this many bytes.
 WORDS_A_CHUNK, WINDOW = 5, 16
@@ -100,6 +100,7 @@ def chunk_rows(docs: DataFrame, text_col: str, least_words: int = LEAST_WORDS) -
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
+        release()
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             joined, owner, starts, stops, counts = chunks_of(texts)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, cut, small_batches, words
+from .common import KNOWN, beside, cut, small_batches, words
 from .labelled import labelled_tables, remainder, training_rows
 from .quality import logistic
 
@@ -54,7 +54,7 @@ def token_counts(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
                 sums[min(1, max(0, int(label))), np.unique(buckets_of(words(text), known))] += 1
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
         label, bucket = np.nonzero(sums)
         yield pd.DataFrame({"label": label, "bucket": bucket, "n": sums[label, bucket]})
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for texts in batches:
-            if len(known) > 300_000:
+            if len(known) > KNOWN:
                 known.clear()
             scores, sizes, passages = _assess(texts, sent.value, known)
             yield pd.DataFrame({"score": scores, "n_tokens": sizes, "passages": passages})
