@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, neighbours, quality, sharding, substrings, tiff, toxicity
+from . import bpe, langid, minhash, mixing, neighbours, quality, sentencepieces, sharding, substrings, tiff, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_langid": langid.op10_langid,
+    "op11_sentencepiece": sentencepieces.op11_sentencepiece,
     "shards_by_bytes": lambda spark, sf_dir: sharding.op8_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot"),
 }
 
