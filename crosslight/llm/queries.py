@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, neighbours, quality, sentencepieces, sharding, substrings, tiff, toxicity
+from . import bpe, langid, minhash, mixing, negatives, neighbours, quality, sentencepieces, sharding, substrings, tiff, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_langid": langid.op10_langid,
     "op11_sentencepiece": sentencepieces.op11_sentencepiece,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "shards_by_bytes": lambda spark, sf_dir: sharding.op8_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot"),
 }
 
@@ -31,4 +32,4 @@ SHARDS_SQL = """
     SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"shards_by_bytes": SHARDS_SQL}
+ORACLE_SQL: dict[str, str] = {"shards_by_bytes": SHARDS_SQL, "op12_hard_negatives": negatives.ORACLE_SQL}
