@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, negatives, neighbours, quality, sentencepieces, sharding, substrings, tiff, toxicity
+from . import bpe, langid, minhash, mixing, negatives, neighbours, quality, sentencepieces, sharding, substrings, tiff, toxicity, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
     "op11_sentencepiece": sentencepieces.op11_sentencepiece,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
     "shards_by_bytes": lambda spark, sf_dir: sharding.op8_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot"),
 }
 
