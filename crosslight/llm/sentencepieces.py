@@ -5,8 +5,8 @@ byte of the normalised text that step records the byte of the original which it
 merged over the normalised text, and the record projects each of them to the span of original bytes.
 
 No merge crosses two characters that stand side by side in no piece of the vocabulary, so a text falls
-into parts that are merged apart. A task merges the distinct parts of a batch side by side, as rows of
-a matrix of symbols, and each once as long as it remembers it.
+into parts that are merged apart. A task merges the distinct parts of a batch side by side, one pair of
+each in every round, and each part once as long as it remembers it.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ SPACE, UNREADABLE = "▁", "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Parts whose pieces a task remembers; workers outlive their tasks, so this bounds what each one keeps.
 KNOWN_PARTS = 120_000
-#: Widths of the matrices in which parts are merged side by side, in characters; longer parts are merged one by one.
-WIDTHS = (8, 16, 32, 64)
+#: Characters of a part up to which parts are merged side by side; longer ones are merged one by one and not remembered.
+LONG_PART = 64
 
 
 def proto(data: bytes) -> Iterator[tuple[int, object]]:
@@ -93,6 +93,8 @@ class Merges:
     """Which two symbols merge, for whole arrays at once. Symbols are ids of pieces, and numbers above them for characters that are none."""
 
     NEVER = np.iinfo(np.int32).max
+    #: Slots of the table of pairs, and an odd number that spreads keys over them.
+    SLOT_BITS, MIX = 20, 0x1E3779B97F4A7C15
 
     def __init__(self, ids: dict[str, int], scores: dict[str, float], n_ids: int):
         self.number = dict(ids)
@@ -109,40 +111,58 @@ class Merges:
                     found[left << 32 | right] = (ranks[scores[piece]], whole)
         self.keys = np.array(sorted(found) or [-1], np.int64)
         self.values = np.array([found[k] for k in self.keys.tolist()] if found else [(0, 0)], np.int32)
+        self.slots = np.full(1 << self.SLOT_BITS, -1, np.int32)  # the place of a pair that falls into a slot; where several do, the others are searched for
+        self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * self.MIX >> (64 - self.SLOT_BITS)) & ((1 << self.SLOT_BITS) - 1)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How early each pair is merged, and into which piece; NEVER for those that aren't."""
         keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
+        at = self.slots[self._slot(keys)]
+        taken = np.nonzero((at >= 0) & (self.keys[at] != keys))[0]
+        at[taken] = np.minimum(np.searchsorted(self.keys, keys[taken]), len(self.keys) - 1)
+        hit = (at >= 0) & (self.keys[at] == keys)
         return np.where(hit, self.values[at, 0], self.NEVER), self.values[at, 1]
 
-    def run(self, parts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols that each part ends with, as a row of a matrix, and how many. In every round each part merges its best pair, of equal ones the leftmost."""
-        number, other, n = self.number, self.other, len(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, n)
-        symbols = np.full((n, width + 1), -1, np.int32)
-        symbols[np.arange(width + 1) < lengths[:, None]] = [number.get(c, other) for c in "".join(parts)]
-        ranks, into = self.rank(symbols[:, :-1], symbols[:, 1:])
-        out, active, along = symbols.copy(), np.arange(n), np.arange(width)
-        while len(active):
-            best = ranks.argmin(axis=1)
-            goes_on = ranks[np.arange(len(active)), best] != self.NEVER
-            out[active[~goes_on]] = symbols[~goes_on]
-            active, symbols, ranks, into, best = active[goes_on], symbols[goes_on], ranks[goes_on], into[goes_on], best[goes_on]
-            rows = np.arange(len(active))
-            lengths[active] -= 1
-            symbols[rows, best] = into[rows, best]
-            moved = along + (along > best[:, None])  # all after the pair's right half come one place nearer
-            symbols = np.concatenate([np.take_along_axis(symbols, moved, 1), np.full((len(active), 1), -1, np.int32)], axis=1)
-            nearer = np.minimum(along + (along >= best[:, None]), width - 1)
-            ranks, into = np.take_along_axis(ranks, nearer, 1), np.take_along_axis(into, nearer, 1)
-            ranks[:, -1] = self.NEVER
-            for place in (best - 1, best):
-                there = place >= 0
-                r, k = rows[there], place[there]
-                ranks[r, k], into[r, k] = self.rank(symbols[r, k], symbols[r, k + 1])
-        return out, lengths
+    def run(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that the parts end with, one part after the other, and how many each has. In every round each part merges its best pair, of equal ones the leftmost."""
+        number, other = self.number, self.other
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        symbols = np.array([number.get(c, other) for c in "".join(parts)], np.int32)
+        ranks, into = self.rank(symbols, np.append(symbols[1:], -1))
+        ranks[np.cumsum(lengths) - 1] = self.NEVER  # no pair across two parts
+        owners, done = np.arange(len(parts)), []
+        while len(owners):
+            starts = np.cumsum(lengths) - lengths
+            best = np.minimum.reduceat(ranks.astype(np.int64) << 32 | np.arange(len(ranks)), starts)
+            at, goes_on = best & 0xFFFFFFFF, best >> 32 != self.NEVER
+            kept = np.repeat(goes_on, lengths)
+            if not goes_on.all():
+                done.append((owners[~goes_on], lengths[~goes_on], symbols[~kept]))
+            at = at[goes_on]
+            symbols[at] = into[at]
+            kept[at + 1] = False
+            ends = np.zeros(len(symbols), bool)
+            ends[starts + lengths - 1] = True
+            ends[at] |= ends[at + 1]
+            moved = np.cumsum(kept) - 1
+            at, first = moved[at], moved[starts[goes_on]]
+            symbols, ranks, into, ends = symbols[kept], ranks[kept], into[kept], ends[kept]
+            owners, lengths = owners[goes_on], lengths[goes_on] - 1
+            for place in (at[at > first] - 1, at):
+                last = ends[place]
+                ranks[place], into[place] = self.rank(symbols[place], symbols[np.minimum(place + 1, len(symbols) - 1)])
+                ranks[place[last]] = self.NEVER
+        counts = np.zeros(len(parts), np.int64)
+        for own, own_lengths, _ in done:
+            counts[own] = own_lengths
+        out, begins = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        for own, own_lengths, own_symbols in done:
+            inside = np.arange(len(own_symbols)) - np.repeat(np.cumsum(own_lengths) - own_lengths, own_lengths)
+            out[np.repeat(begins[own], own_lengths) + inside] = own_symbols
+        return out, counts
 
 
 @dataclass
@@ -161,6 +181,7 @@ class Model:
     dummy_prefix: bool
     trim: bool
     sizes: np.ndarray  # bytes that an id covers of the normalised text
+    numbers: list[str]  # ids as text
     known: dict[str, tuple[str, bytes, bytes]] = field(default_factory=dict)
 
 
@@ -197,7 +218,7 @@ def model_of(data: bytes) -> Model:
     parts = f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]" if lone else "")
     if any(p[1] == SPACE and p[0] != SPACE for p in pairs):
         parts = "(?s:.+)"  # pieces may go on from another character into a sign
-    return Model(ids, scores, bytes_of, kinds, byte_ids, pairs, re.compile(parts), merges, CharacterMap(compiled) if compiled else None, bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)), np.array([len(p.encode()) for p, _, _ in pieces], np.int32))
+    return Model(ids, scores, bytes_of, kinds, byte_ids, pairs, re.compile(parts), merges, CharacterMap(compiled) if compiled else None, bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)), np.array([len(p.encode()) for p, _, _ in pieces], np.int32), list(map(str, range(len(pieces) + 1))))
 
 
 def normalise(text: str, model: Model) -> tuple[str, np.ndarray]:
@@ -311,26 +332,18 @@ def _coded(pieces: list[str], model: Model) -> Coded:
 
 def code_segments(segments: list[str], model: Model) -> dict[str, Coded]:
     """Ids of distinct segments, each merged once."""
-    out, rest, low = {}, segments, 0
-    sizes = model.sizes
-    for width in WIDTHS:
-        some = [s for s in rest if low < len(s) <= width]
-        low = width
-        if not some:
-            continue
-        symbols, counts = model.merges.run(some, width)
-        held = np.arange(width + 1) < counts[:, None]
-        strange = (np.where(held, symbols, 0) >= len(sizes)).any(axis=1).tolist()
-        flat = symbols[held]
-        covered = sizes[np.minimum(flat, len(sizes) - 1)]
-        data, spans, texts = flat.astype("<i4").tobytes(), covered.astype("<i4").tobytes(), list(map(str, flat.tolist()))
-        at = 0
-        for segment, count, odd in zip(some, counts.tolist(), strange):
+    out, short = {}, [s for s in segments if len(s) <= LONG_PART]
+    if short:
+        flat, counts = model.merges.run(short)
+        strange = np.add.reduceat(flat >= len(model.sizes), np.cumsum(counts) - counts).tolist()
+        covered = model.sizes[np.minimum(flat, len(model.sizes) - 1)]
+        data, spans, texts, at = flat.astype("<i4").tobytes(), covered.astype("<i4").tobytes(), list(map(model.numbers.__getitem__, np.minimum(flat, len(model.sizes)).tolist())), 0
+        for segment, count, odd in zip(short, counts.tolist(), strange):
             end = at + count
             out[segment] = _coded(merged(segment, model), model) if odd else (",".join(texts[at:end]), data[4 * at : 4 * end], spans[4 * at : 4 * end])
             at = end
-    for segment in rest:
-        if len(segment) > WIDTHS[-1]:
+    for segment in segments:
+        if len(segment) > LONG_PART:
             out[segment] = _coded([p for part in _parts(segment, model) for p in merged(part, model)], model)
     return out
 
@@ -340,28 +353,22 @@ Encoded = tuple[str, np.ndarray, np.ndarray, np.ndarray]
 
 def encode_texts(texts: list[str], model: Model) -> Iterator[Encoded]:
     """For each whole text its ids as decimals joined by commas, the ids, and where each one's span of original bytes begins and ends."""
-    known, split = model.known, model.split.findall
-
-    def parts() -> set[str]:
-        found: set[str] = set()
-        for text in texts:
-            found.update(split(normalise(text, model)[0]))
-        return found
-
-    fresh = parts() - known.keys()
+    known = model.known
+    cut = [(model.split.findall(whole), source) for whole, source in (normalise(text, model) for text in texts)]
+    every = set().union(*(parts for parts, _ in cut))
+    fresh = every - known.keys()
     if len(known) + len(fresh) > KNOWN_PARTS:
-        known.clear()
-        fresh = parts()
+        for part in known.keys() - every:
+            del known[part]
     known.update(code_segments(list(fresh), model))
-    for text in texts:
-        whole, source = normalise(text, model)
-        found = list(map(known.__getitem__, split(whole)))
+    for parts, source in cut:
+        found = list(map(known.__getitem__, parts))
         ids = np.frombuffer(b"".join([f[1] for f in found]), "<i4")
         ends = np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), "<i4"))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ids)]
         yield ",".join([f[0] for f in found]), ids, source[starts], source[ends]
     for part in fresh:
-        if len(part) > WIDTHS[-1]:  # very long parts are not remembered
+        if len(part) > LONG_PART:
             del known[part]
 
 
