@@ -9,6 +9,7 @@ fresh product certifies that the residuals are small; then rows are whitened on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ GUARD = 8
 TOLERANCE, ITERATIONS = 1e-13, 500
 #: Iterations after which products that were carried along are made anew, so that rounding doesn't add up.
 REFRESH = 12
-#: Vectors of a packed block.
-BLOCK_ROWS = 4_096
+#: Vectors of a packed block, and bytes of a partition of blocks.
+BLOCK_ROWS, PART_BYTES = 4_096, 1 << 26
 #: Components whose eigenvalue is below this share of the trace are rounding, not variance.
 LEAST_VARIANCE = 1e-12
 
@@ -59,9 +60,9 @@ def packed(vectors: DataFrame) -> DataFrame:
 
 
 def summed(blocks: DataFrame, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all blocks of a small matrix that `of_block` makes of a block's vectors, added up by Spark row by row.
+    """The sum over all blocks of a small matrix that `of_block` makes of a block's vectors.
 
-    The result has a row for each dimension; only that comes to the driver.
+    A task gives one matrix, some tasks add these up, and the driver gets no more than the root of their number.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,12 +73,19 @@ def summed(blocks: DataFrame, of_block: Callable[[np.ndarray], np.ndarray]) -> n
                 part = of_block(np.frombuffer(data, "<i8").reshape(n, dims))
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"row": np.repeat(np.arange(total.shape[0], dtype=np.int32), total.shape[1]), "col": np.tile(np.arange(total.shape[1], dtype=np.int32), total.shape[0]), "value": total.ravel()})
+            yield pd.DataFrame({"rows": [total.shape[0]], "data": [total.tobytes()]})
 
-    rows = blocks.mapInPandas(run, "row int, col int, value double").groupBy("row", "col").agg(F.sum("value").alias("value")).toPandas()
-    out = np.zeros((rows["row"].max() + 1, rows["col"].max() + 1))
-    out[rows["row"], rows["col"]] = rows["value"]
-    return out
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, total = None, None
+        for batch in batches:
+            for rows, data in zip(batch["rows"], batch["data"]):
+                total = np.frombuffer(data) if total is None else total + np.frombuffer(data)
+        if total is not None:
+            yield pd.DataFrame({"rows": [rows], "data": [total.tobytes()]})
+
+    some = max(1, math.isqrt(blocks.rdd.getNumPartitions() // 16))
+    parts = blocks.mapInPandas(run, "rows int, data binary").repartition(some).mapInPandas(added, "rows int, data binary").collect()
+    return sum(np.frombuffer(p["data"]).reshape(p["rows"], -1) for p in parts)
 
 
 def exact_sums(blocks: DataFrame) -> tuple[int, list[int]]:
@@ -184,7 +192,9 @@ def fit(vectors: DataFrame, wanted: int = 4) -> Whitening:
     so there are none for equal vectors or none at all. Copies are united before anything is shuffled.
     """
     small_batches(vectors.sparkSession, 8)
-    blocks = cut(packed(vectors.select("x").distinct()))
+    rows, dims = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
+    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(8 * rows * (dims or 0) / PART_BYTES))
+    blocks = cut(packed(vectors.select("x").distinct()).coalesce(parts))
     n, sums = exact_sums(blocks)
     if not sums:
         return Whitening(n, sums, np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.0, 0.0)
