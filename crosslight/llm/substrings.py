@@ -31,6 +31,8 @@ WHOLE = 1 << 40
 GEAR = np.random.default_rng(20).integers(1, 1 << 32, 256, dtype=np.uint32)
 GEAR[0] = 0  # the bytes between two texts of a batch add nothing
 GAP = b"\0" * WINDOW
+#: Bytes that are hashed at once.
+SLICE = 1 << 18
 
 
 def blanks_of(data: np.ndarray) -> np.ndarray:
@@ -50,23 +52,31 @@ def blanks_of(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def rolled_below(data: np.ndarray, limit: int) -> np.ndarray:
+    """Where the gear hash of the last WINDOW bytes is below a limit; hashed slice by slice, as they take four times the bytes."""
+    out = np.zeros(len(data), bool)
+    for at in range(0, len(data), SLICE):
+        begin = max(0, at - WINDOW)
+        gear, width = GEAR[data[begin : at + SLICE]], 1
+        while width < WINDOW:  # sums over 1, 2, 4, ... bytes, older ones shifted up by two bits each
+            wider = gear.copy()
+            wider[width:] += gear[:-width] << np.uint32(2 * width)
+            gear, width = wider, 2 * width
+        out[at : at + SLICE] = gear[at - begin :] < np.uint32(limit)
+    return out
+
+
 def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All chunks of some texts: the texts joined, each chunk's text, start in it, end and words."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.r_[0, np.cumsum(sizes + WINDOW)[:-1]] if len(texts) else np.zeros(0, np.int64)
     joined = GAP.join(texts)
     data = np.frombuffer(joined, np.uint8)
-    gear = GEAR[data]
-    width = 1
-    while width < WINDOW:  # sums over 1, 2, 4, ... bytes, older ones shifted up by two bits each
-        wider = gear.copy()
-        wider[width:] += gear[:-width] << np.uint32(2 * width)
-        gear, width = wider, 2 * width
     space = blanks_of(data)
     word = ~space
     word[1:] &= space[:-1]
     ends = np.zeros(len(data), bool)
-    ends[1:] = word[1:] & (gear[:-1] < np.uint32((1 << 32) // WORDS_A_CHUNK))
+    ends[1:] = word[1:] & rolled_below(data, (1 << 32) // WORDS_A_CHUNK)[:-1]
     at = np.flatnonzero(space)
     # Bytes with no blank among the next FAR; the gap after a text counts as blanks.
     gaps = np.diff(np.r_[-1, at, len(data)])
@@ -75,7 +85,7 @@ def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
     for a, b in zip(np.r_[-1, at][wide] + 1, np.r_[at, len(data)][wide] - FAR):
         dense[a:b] = True
     if len(wide):
-        ends[1:] |= dense[1:] & ((data[1:] & 0xC0) != 0x80) & (gear[:-1] < np.uint32((1 << 32) // CHARS_A_CHUNK))
+        ends[1:] |= dense[1:] & ((data[1:] & 0xC0) != 0x80) & rolled_below(data, (1 << 32) // CHARS_A_CHUNK)[:-1]
     ends[begins[sizes > 0]] = True
     starts = np.flatnonzero(ends)
     owner = np.searchsorted(begins, starts, side="right") - 1
@@ -85,9 +95,9 @@ def chunks_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nda
         stops = np.where(last, begins[owner] + sizes[owner], np.r_[starts[1:], 0] if len(starts) else starts)
     else:
         stops = starts
-    counts = np.add.reduceat(word.astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
+    counts = np.add.reduceat(word, starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
     if len(wide):
-        counts = counts + np.add.reduceat(dense.astype(np.int32), starts) // BYTES_A_WORD
+        counts = counts + np.add.reduceat(dense, starts, dtype=np.int32) // BYTES_A_WORD
     return joined, owner, starts, stops, counts
 
 
