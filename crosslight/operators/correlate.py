@@ -123,7 +123,11 @@ def records(events: DataFrame, window: int = WINDOW, threshold: float = SCORE) -
     from the edge. All rules that an event matched are united, over all (matched_rules) and by vendor
     (vendor_rules). Copies of an event must be gone (see `latest`).
     """
-    rows = grouped(events, window)
+    return records_of(grouped(events, window), window, threshold)
+
+
+def records_of(rows: DataFrame, window: int = WINDOW, threshold: float = SCORE) -> DataFrame:
+    """Records of events that know their group already (group_key, join_tier); see `records`."""
     order = F.struct("event_time", "vendor", "event_id")
     trust = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TRUST.items() for x in kv)), "vendor"), F.lit(9))
     trusted = F.struct(trust, F.col("event_time"), F.col("event_id"))

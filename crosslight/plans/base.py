@@ -31,6 +31,15 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first())
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path, where driver and executors both find it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        cut(spark.range(1))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlated records, built once for a session and state of the input and read as a stored table from then on."""
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/events.parquet"))
@@ -39,11 +48,7 @@ def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             return spark.read.parquet(_kept[key])
         except AnalysisException:  # the folder was cleared meanwhile
             del _kept[key]
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        cut(spark.range(1))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/records-{uuid.uuid4().hex}"
+    path = shared_path(spark, "records")
     records(events(spark, sf_dir)).write.parquet(path)
     _kept[key] = path
     return spark.read.parquet(path)

@@ -9,7 +9,8 @@ from ..functions import verdicts as v
 from ..operators import alerts, correlate, filters, health, latest, lookups, panels, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from ..sources import payloads
-from .base import events, joined, map_text, over_events, over_obs, over_records, raw, stored_records
+from ..streaming import pipeline
+from .base import events, joined, map_text, over_events, over_obs, over_records, raw, shared_path, stored_records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -242,6 +243,13 @@ def merge_amend(spark, d):
     return out.withColumns({"vendors": joined("vendors"), "event_ids": joined("event_ids"), "verdicts": map_text("verdicts")})
 
 
+@query("st_window_close", over_records("SELECT tenant_id, correlation_id, event_ids, disagreement_kind, 1 AS version FROM rec"))
+def window_close(spark, d):
+    """All observations sent through the continuous correlation in the order of their receipt; timers close the windows."""
+    out = pipeline.replayed(raw(spark, d), shared_path(spark, "replay"), 2)
+    return out.select("tenant_id", "correlation_id", joined("event_ids").alias("event_ids"), "disagreement_kind", "version")
+
+
 # --- panels, tuning, migration ------------------------------------------------------------------
 
 query("agg_vendor_volume", over_events("SELECT tenant_id, (event_time // 300) * 300 AS bucket, vendor, count(DISTINCT event_id) AS events FROM ev GROUP BY ALL"))(lambda spark, d: panels.vendor_volume(raw(spark, d)))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators import correlate
 from ..operators.alerts import Condition, measure, with_cooldown
 from ..operators.components import cut
 from ..operators.latest import latest
-from ..sources.sinks import append, append_records
+from .filed import file_rows, filed
+from .windows import GRACE, LATE, closing
 
 #: Time within which a redelivery is dropped, and by which an event may be late.
 REDELIVERY, LATENESS = "10 minutes", "15 minutes"
-#: Seconds that a window stays open after its end, and by which an event may be behind the clock of the correlation.
-GRACE, LATE = 210, 900
+#: Seconds for which a request id is known, before and after an event that carries it.
+TTL = 86_400
+#: The state store that keyed state with timers needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -56,68 +60,95 @@ def before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     return None if found is None else found.where(F.col("batch") < number).drop("batch", "date")
 
 
-def correlate_batch(root: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE):
-    """For foreachBatch: files a batch's events and emits the records of the windows that are closed by then.
+def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW, ttl: int = TTL):
+    """For foreachBatch over `closing`: files a batch's events, and emits the records of the groups that it closes.
 
-    The clock is the latest receipt so far. A window closes `grace` seconds after its end; events that
-    are older than `lateness` before the clock are dropped and counted in `late`. A request id may tie
-    events of any two keys together, so the exact tier can't be split over keyed state; the stored
-    events are the state, of which a batch reads the days around its own. A record whose id is known
-    becomes the next version of it, an id claimed first stays. All that a batch writes is under its
-    number and is replaced if the batch is run again.
+    `schema` is that of the stream's events. They are filed by day, and once more, narrowly, under each
+    request id they carry. Records are built from the closed groups and, over ids, whatever stands for
+    the same requests within `ttl` seconds; no other stored event is read. An identifier that was claimed
+    first keeps its record: what comes later is the record's next version, and a group to which nothing
+    was added gives none. All that a batch writes is under its number and replaces what the batch wrote
+    before, if it is run again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if batch.limit(1).count() == 0:
-            return
-        clocks = before(spark, f"{root}/clock", number)
-        was = (clocks.agg(F.max("clock")).first()[0] if clocks is not None else None) or 0
-        late = F.col("event_time") < was - lateness
-        dropped = batch.where(late).groupBy("tenant_id").agg(F.count("*").alias("dropped"))
-        dropped.write.mode("overwrite").parquet(f"{root}/late/batch={number}")
-        append(batch.where(~late), f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"], number)
-        low, high, received = batch.where(~late).agg(F.min("event_time"), F.max("event_time"), F.max("received_at")).first()
-        clock = max(was, received or 0)
-        spark.createDataFrame([(clock,)], "clock long").write.mode("overwrite").parquet(f"{root}/clock/batch={number}")
-        # Windows that fall due since the last batch, and those that its events touch.
-        opened = was - grace - 2 * window if was else low
+        batch = cut(batch)
+        late = batch.where("kind = 'late'").groupBy("tenant_id").agg(F.count("*").alias("dropped"))
+        late.write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        fresh = batch.where("kind = 'event'").select(F.from_json("row", schema).alias("e")).select("e.*")
+        file_rows(fresh, f"{root}/events", "event_time", number, ["tenant_id", "event_id"])
+        ids = fresh.select("tenant_id", "event_id", "vendor", "vendor_request_id", "linked_request_id", "event_time").withColumn("node", F.explode(_nodes())).where("node IS NOT NULL")
+        file_rows(ids, f"{root}/ids", "event_time", number, ["node", "event_id"])
+        closed = cut(batch.where("kind = 'closed'").select("tenant_id", "shape", "window_no", "event_id", "event_time").distinct())
+        low, high = closed.agg(F.min("event_time"), F.max("event_time")).first()
         if low is not None:
-            _settle(spark, root, number, min(low, opened), max(high, clock - grace), clock, was, batch.where(~late).select("tenant_id", "event_id").distinct(), window, grace, lateness)
+            _emit(batch.sparkSession, root, number, closed, low, high, window, ttl)
 
     return run
 
 
-def close(spark: SparkSession, root: str, number: int, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE) -> None:
-    """Emits the records of all windows that are still open, as batch `number`; for the end of a stream."""
-    was = before(spark, f"{root}/clock", number).agg(F.max("clock")).first()[0]
-    high = before(spark, f"{root}/events", number).agg(F.max("event_time")).first()[0]
-    none = spark.createDataFrame([], "tenant_id string, event_id string")
-    _settle(spark, root, number, was - grace - 2 * window, high, high + grace + 2 * window, was, none, window, grace, lateness)
-
-
-def _settle(spark: SparkSession, root: str, number: int, low: int, high: int, clock: int, was: int, fresh_ids: DataFrame, window: int, grace: int, lateness: int) -> None:
-    reach = grace + lateness
-    days = F.to_date(F.timestamp_seconds(F.lit(low - reach))), F.to_date(F.timestamp_seconds(F.lit(high + reach)))
-    stored = spark.read.parquet(f"{root}/events").where((F.col("batch") <= number) & F.col("date").between(*days))
-    near = stored.where(F.col("event_time").between(low - reach, high + reach)).drop("date", "batch")
-    built = correlate.records(latest(near, ["tenant_id", "event_id"]), window)
-    # A record is due once its last event's window is closed.
-    due = (F.floor(F.col("last_event_time") / window) + 1) * window + grace
-    built = cut(built.withColumn("_due", due).where(F.col("_due") <= clock))
-    touched = built.select("tenant_id", "correlation_id", F.explode("event_ids").alias("event_id")).join(fresh_ids, ["tenant_id", "event_id"], "left_semi").select("tenant_id", "correlation_id").distinct()
-    fresh = built.where(F.col("_due") > was).unionByName(built.where(F.col("_due") <= was).join(touched, ["tenant_id", "correlation_id"], "left_semi")).drop("_due")
-    old = before(spark, f"{root}/records", number)
-    claims = before(spark, f"{root}/claims", number)
-    if old is not None:
-        if claims is not None:
-            fresh = correlate.claimed_ids(fresh, claims)
-        merged = correlate.merge_amended(latest(old, ["tenant_id", "correlation_id"], "version"), fresh)
+def _nodes() -> F.Column:
+    return F.array_distinct(F.array(*(correlate.request_key(c) for c in ("vendor_request_id", "linked_request_id"))))
+
+
+def walked(ids: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What is filed under some ids (node) and, over events with two of them, under all that they lead to.
+
+    Each round looks up the ids that the last one has found; rounds end with the longest chain of events.
+    """
+    frontier, seen, out = cut(seeds.select("node").distinct()), None, None
+    while frontier.limit(1).count():
+        hits = cut(ids.join(frontier, "node", "left_semi"))
+        out = hits if out is None else out.unionByName(hits)
+        seen = frontier if seen is None else cut(seen.union(frontier))
+        frontier = cut(hits.select(F.explode(_nodes()).alias("node")).where("node IS NOT NULL").distinct().join(seen, "node", "left_anti"))
+    return out if out is not None else ids.limit(0)
+
+
+EVENT = ["tenant_id", "event_id"]
+RECORD = ["tenant_id", "correlation_id"]
+
+
+def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: int, high: int, window: int, ttl: int) -> None:
+    near = filed(spark, f"{root}/events", number + 1, low, high).where(F.col("event_time").between(low, high))
+    due = cut(near.join(closed.select(*EVENT, "shape", "window_no"), EVENT))
+    own = due.select(F.explode(_nodes()).alias("node")).where("node IS NOT NULL")
+    ids = filed(spark, f"{root}/ids", number + 1, low - ttl, high + ttl)
+    tied = cut(walked(ids, own).drop("node", "date", "batch").distinct()) if ids is not None else None
+    rows = due.drop("date", "batch")
+    exact = None
+    if tied is not None and tied.limit(1).count():
+        exact = cut(correlate.exact_groups(tied))
+        first, last = tied.agg(F.min("event_time"), F.max("event_time")).first()
+        known = filed(spark, f"{root}/events", number + 1, first, last).where(F.col("event_time").between(first, last)).drop("date", "batch")
+        partners = known.join(exact, EVENT).withColumn("group_key", F.col("exact_key")).withColumn("join_tier", F.lit(1)).drop("exact_key")
+        rows = rows.join(exact.select(*EVENT), EVENT, "left_anti")
+    # What has gone to the exact tier holds no window open: a pair goes by the first window that is left.
+    left = F.min(F.floor(F.col("event_time") / window)).over(Window.partitionBy("tenant_id", "shape", "window_no"))
+    rows = rows.withColumn("window_no", left)
+    solo = F.col("shape").startswith("solo|")
+    rows = rows.withColumn("group_key", F.when(solo, F.col("shape")).otherwise(F.concat_ws("|", "shape", F.col("window_no").cast("string")))).withColumn("join_tier", F.when(solo, 0).otherwise(2)).drop("shape", "window_no")
+    if exact is not None:
+        rows = rows.unionByName(partners)
+    fresh = cut(correlate.records_of(latest(rows, EVENT), window))
+
+    # The days on which what may be amended can lie.
+    first, last = fresh.agg(F.min("first_event_time"), F.max("last_event_time")).first()
+    claims = filed(spark, f"{root}/claims", number, first - ttl, last + ttl)
+    if claims is not None:
+        fresh = cut(correlate.claimed_ids(fresh, claims))
+    stored = filed(spark, f"{root}/records", number, first - ttl, last + ttl)
+    if stored is not None:
+        touched = stored.join(fresh.select(*RECORD).distinct(), RECORD, "left_semi").drop("date", "batch")
+        old = cut(latest(touched, RECORD, "version"))
+        fresh = fresh.join(old.select(*RECORD, F.col("event_ids").alias("_had")), RECORD, "left")
+        fresh = cut(fresh.where(F.col("_had").isNull() | (F.size(F.array_except("event_ids", "_had")) > 0)).drop("_had"))
+        merged = correlate.merge_amended(old, fresh)
         rest = [c for c in fresh.columns if c not in merged.columns]
-        fresh = merged.join(fresh.select("tenant_id", "correlation_id", *rest), ["tenant_id", "correlation_id"])
-    fresh = cut(fresh)
-    append_records(fresh, f"{root}/records", number)
-    fresh.select(F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at")).write.mode("overwrite").parquet(f"{root}/claims/batch={number}")
+        fresh = cut(merged.join(fresh.select(*RECORD, *rest), RECORD))
+    file_rows(fresh, f"{root}/records", "window_start", number, ["tenant_id", "window_start"])
+    claimed = fresh.select("tenant_id", F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at"), "first_event_time")
+    file_rows(claimed, f"{root}/claims", "first_event_time", number, ["identifier", "tenant_id"])
 
 
 def late_dropped(spark: SparkSession, root: str) -> DataFrame:
@@ -152,8 +183,43 @@ def alert_batch(root: str, rules: dict[str, Condition]):
 
 def start(events: DataFrame, root: str, checkpoint: str, batch, once: bool = True) -> StreamingQuery:
     """Runs a foreachBatch function over a stream; `once` works off what is there and ends."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-__all__ = ["alert_batch", "close", "correlate_batch", "deduplicated", "health_minutes", "late_dropped", "start", "volume_rollup"]
+def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE, ttl: int = TTL, replay: bool = False, every: str = "10 seconds") -> StreamingQuery:
+    """Continuous correlation of a stream of events into `root`/records.
+
+    A window closes `grace` seconds after its end by the clock, whether or not anything comes. With
+    `replay` the clock is the stream's received_at, and the query ends with the stream.
+    """
+    spark = events.sparkSession
+    cut(spark.range(1))  # foreachBatch cuts its lineage in the checkpoint folder
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    found = closing(events, window, grace, lateness, replay)
+    writer = found.writeStream.foreachBatch(settle_batch(root, events.schema, window, ttl)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if replay else writer.trigger(processingTime=every)).start()
+
+
+def replayed(events: DataFrame, folder: str, parts: int = 3, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE) -> DataFrame:
+    """All record versions of past events, sent through `correlate_stream` in the order in which they were received.
+
+    The events are written to `folder` in `parts` slices of their receipt times. At last comes one event long
+    after all others, which moves the clock past every window; it stands in no record.
+    """
+    spark = events.sparkSession
+    edges = events.approxQuantile("received_at", [k / parts for k in range(1, parts)], 0.001)
+    low, high = [None, *edges], [*edges, None]
+    for a, b in zip(low, high):
+        part = events.where((F.lit(True) if a is None else F.col("received_at") > a) & (F.lit(True) if b is None else F.col("received_at") <= b))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end = 10 * (grace + lateness + window)
+    last = events.orderBy(F.desc("received_at")).limit(1).withColumn("received_at", F.col("received_at") + end).withColumn("event_time", F.col("received_at"))
+    last.withColumn("event_id", F.lit("")).withColumn("vendor_request_id", F.lit("")).withColumn("linked_request_id", F.lit("")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    correlate_stream(stream, f"{folder}/out", f"{folder}/state", window, grace, lateness, replay=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/records")
+
+
+__all__ = ["alert_batch", "closing", "correlate_stream", "deduplicated", "health_minutes", "late_dropped", "replayed", "settle_batch", "start", "volume_rollup"]

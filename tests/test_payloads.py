@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
+import time
 
 import pandas as pd
 import pytest
@@ -11,11 +13,14 @@ from pyspark.sql import functions as F
 
 from crosslight.operators import correlate
 from crosslight.operators.alerts import Condition
+from crosslight.operators.components import components
 from crosslight.operators.latest import latest
 from crosslight.plans.base import events
 from crosslight.schemas import ENVELOPE
 from crosslight.sources import payloads, pull, sinks
 from crosslight.streaming import pipeline
+from crosslight.streaming.filed import filed
+from crosslight.streaming.windows import paired
 
 from .compare import DATA
 
@@ -150,58 +155,106 @@ def as_sets(records):
     return {frozenset(r.event_ids): r.disagreement_kind for r in records.collect()}
 
 
-def correlated(spark, day, name, **times):
-    """All record versions after the stream of `day` has run and its open windows were closed."""
-    path, rows = day
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
-    root = str(path / name)
-    pipeline.start(stream, root, str(path / f"{name}-c"), pipeline.correlate_batch(root, **times)).awaitTermination(600)
-    pipeline.close(spark, root, 99, **times)
-    return root, latest(spark.read.parquet(f"{root}/records"), ["tenant_id", "correlation_id"], "version")
-
-
-def test_stream_correlation_ends_like_the_batch(spark, day):
-    """Windows that stay open until all events are there give the batch's records, and a repeated batch replaces itself."""
-    times = {"lateness": 10**8, "grace": 10**8}
-    root, stored = correlated(spark, day, "open", **times)
-    assert as_sets(stored) == as_sets(correlate.records(day[1]))
-    counts = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("events", "records", "claims")}
-    pipeline.close(spark, root, 99, **times)
-    assert counts == {t: spark.read.parquet(f"{root}/{t}").count() for t in counts}
+def test_replayed_stream_ends_like_the_batch(spark, day, tmp_path):
+    """A stream in order of receipt, whose windows close by timers, gives the batch's records at once, each in one version."""
+    rows = day[1]
+    out = pipeline.replayed(rows, str(tmp_path), 2)
+    assert as_sets(out) == as_sets(correlate.records(rows)) and {r.version for r in out.collect()} == {1}
+    assert {r.correlation_id for r in out.collect()} == {r.correlation_id for r in correlate.records(rows).collect()}
+    # A batch that is run again, as after a failure, replaces what it wrote.
+    counts = {t: spark.read.parquet(f"{tmp_path}/out/{t}").count() for t in ("events", "ids", "records", "claims")}
+    last = sorted(p.name for p in (tmp_path / "state/commits").iterdir() if p.name.isdigit())[-1]
+    (tmp_path / "state/commits" / last).unlink()
+    (tmp_path / "state/commits" / f".{last}.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    pipeline.correlate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", replay=True).awaitTermination()
+    assert counts == {t: spark.read.parquet(f"{tmp_path}/out/{t}").count() for t in counts}
     rule = Condition("count", "gte", 1, 86_400, 86_400, {"min_vendors": 2})
     for number in (0, 0, 1):
-        pipeline.alert_batch(root, {"r": rule})(spark.read.parquet(f"{root}/records"), number)
-    assert spark.read.parquet(f"{root}/alerts").count() == 1
+        pipeline.alert_batch(f"{tmp_path}/out", {"r": rule})(spark.read.parquet(f"{tmp_path}/out/records"), number)
+    assert spark.read.parquet(f"{tmp_path}/out/alerts").count() == 1
 
 
-def test_events_after_a_window_closed_amend_its_record(spark, day):
-    """An exact group whose record was out before its last event came ends in one record, with what that held before."""
-    _, stored = correlated(spark, day, "amended", lateness=10**8)
-    rows = stored.where("join_tier = 1").collect()
-    wanted = as_sets(correlate.records(day[1]).where("join_tier = 1"))
-    assert wanted and all(any(group <= set(r.event_ids) for r in rows) for group in wanted)
-    assert any(r.amended and r.version > 1 for r in rows)
+def test_events_after_a_window_closed_amend_its_record(spark, day, tmp_path):
+    """A group whose record was out before its last event came ends in one record, with what that held before."""
+    rows = day[1].withColumn("received_at", F.col("received_at") + F.when(F.col("vendor") == "datadome", 10**7).otherwise(0))
+    stored = latest(pipeline.replayed(rows, str(tmp_path), 4, lateness=10**8), ["tenant_id", "correlation_id"], "version")
+    # A late event may tie together what has been emitted apart; the earlier record then holds it all.
+    held = as_sets(stored)
+    assert all(any(group <= found for found in held) for group in as_sets(correlate.records(rows)))
+    assert any(r.amended and r.version > 1 for r in stored.collect())
 
 
-def test_windows_close_after_their_grace_and_late_events_are_counted(spark, day, tmp_path):
-    _, rows = day
+def requests(rows, *items):
+    """Events as rows of a frame: (number, event_time, received_at, vendor, more)."""
     first = rows.orderBy("event_time").limit(1).collect()[0].asDict()
-    at = lambda k, event_time, received_at, vendor: first | {"event_id": f"{vendor}-{k}", "event_time": event_time, "received_at": received_at, "vendor": vendor, "vendor_request_id": f"id{k}", "linked_request_id": "", "client_ip": f"198.51.100.{k}"}
-    batches = [
-        [at(1, 10_000, 10_001, "cloudflare"), at(1, 10_001, 10_002, "f5"), at(2, 10_100, 10_101, "cloudflare")],  # nothing is due yet
-        [at(3, 10_215, 10_215, "cloudflare")],  # the first window closes: 10_005 + 210
-        [at(2, 10_099, 10_216, "f5"), at(4, 9_000, 10_217, "f5")],  # one in time, one beyond the lateness
-        [at(5, 10_900, 10_900, "f5")],
-    ]
-    emitted = []
-    step = pipeline.correlate_batch(str(tmp_path))
-    for number, batch in enumerate(batches):
-        step(spark.createDataFrame([tuple(r[c] for c in rows.columns) for r in batch], rows.schema), number)
-        stored = pipeline.before(spark, f"{tmp_path}/records", number + 1)
-        emitted.append(sorted(tuple(sorted(r.event_ids)) for r in stored.collect()) if stored is not None else [])
-    one, two, three = ("cloudflare-1", "f5-1"), ("cloudflare-2", "f5-2"), ("cloudflare-3",)
-    assert emitted == [[], [one], [one], [one, two, three]]
-    assert [r.dropped for r in pipeline.late_dropped(spark, str(tmp_path)).collect()] == [1]
+    at = lambda k, event_time, received_at, vendor, more: first | {"event_id": f"{vendor}-{k}-{event_time}", "event_time": event_time, "received_at": received_at, "vendor": vendor, "vendor_request_id": f"id{k}", "linked_request_id": "", "client_ip": f"198.51.100.{k}"} | more
+    return rows.sparkSession.createDataFrame([tuple(at(*i)[c] for c in rows.columns) for i in items], rows.schema)
+
+
+def test_late_events_are_counted_and_forgotten_windows_stay_so(spark, day, tmp_path):
+    """Beyond the lateness an event is counted; within it, it amends; the batches read no event that shares neither a window nor an id."""
+    rows = requests(
+        day[1], (1, 10_000, 10_001, "cloudflare", {}), (1, 10_001, 10_002, "f5", {}), (2, 10_100, 10_101, "cloudflare", {}),
+        (3, 11_000, 11_001, "cloudflare", {}), (3, 11_001, 11_003, "f5", {}), (2, 10_150, 11_005, "f5", {}), (4, 9_000, 11_010, "f5", {}), (5, 20_000, 20_001, "f5", {}),
+    )
+    for k, r in enumerate(sorted(rows.collect(), key=lambda r: r.received_at)):
+        spark.createDataFrame([r], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    pipeline.correlate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", replay=True).awaitTermination()
+    stored = latest(spark.read.parquet(f"{tmp_path}/out/records"), ["tenant_id", "correlation_id"], "version")
+    found = sorted((sorted(r.event_ids), r.version) for r in stored.collect())
+    assert found == [(["cloudflare-1-10000", "f5-1-10001"], 1), (["cloudflare-2-10100", "f5-2-10150"], 2), (["cloudflare-3-11000", "f5-3-11001"], 1)]
+    assert [r.dropped for r in pipeline.late_dropped(spark, f"{tmp_path}/out").collect()] == [1]
+
+
+def test_a_timer_closes_a_window_without_new_input(spark, day, tmp_path):
+    """By the wall's clock: one file of events just now, nothing after it, and the record comes once the grace has passed."""
+    now = int(time.time())
+    rows = requests(day[1], (1, now, now, "cloudflare", {}), (1, now, now, "f5", {}), (2, now - 3_600, now, "f5", {}))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    query = pipeline.correlate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", grace=1, lateness=60, every="1 second")
+    try:
+        for _ in range(120):
+            time.sleep(1)
+            done = filed(spark, f"{tmp_path}/out/records")
+            if done is not None and done.count():
+                break
+    finally:
+        query.stop()
+    assert [sorted(r.event_ids) for r in done.collect()] == [[f"cloudflare-1-{now}", f"f5-1-{now}"]]
+    assert [r.dropped for r in pipeline.late_dropped(spark, f"{tmp_path}/out").collect()] == [1]
+
+
+def test_pairs_of_windows_go_on_after_forgotten_ones():
+    """State that has forgotten a run's beginning pairs its windows up as the whole run would."""
+    dice = random.Random(1)
+    for _ in range(300):
+        ws = sorted(dice.sample(range(14), dice.randrange(1, 12)))
+        whole, k = paired(ws, None), dice.randrange(len(ws))
+        before = (ws[k - 1], whole[ws[k - 1]]) if k else None
+        assert paired(ws[k:], before) == {w: whole[w] for w in ws[k:]}
+        for w in ws:
+            start = next(s for s in range(w, -2, -1) if s - 1 not in ws)
+            assert whole[w] == start + 2 * ((w - start) // 2)
+
+
+def test_a_walk_reads_what_its_ids_lead_to_and_no_more(spark):
+    """Chains of any order and length end in the components' groups, and unrelated ids are not touched."""
+    dice, rows = random.Random(2), []
+    for chain in range(6):
+        links = list(range(dice.randrange(1, 7)))
+        dice.shuffle(links)
+        rows += [("t", f"e{chain}-{k}", ("f5", "cloudflare")[k % 2], f"c{chain}-{k}", f"c{chain}-{k + 1}" if k % 3 else "", 100) for k in links]
+    frame = spark.createDataFrame(rows, "tenant_id string, event_id string, vendor string, vendor_request_id string, linked_request_id string, event_time long")
+    ids = frame.withColumn("node", F.explode(pipeline._nodes())).where("node IS NOT NULL").cache()
+    roots = dict(components(frame.select(F.least(*(nodes := [correlate.request_key(c) for c in ("vendor_request_id", "linked_request_id")])).alias("a"), F.greatest(*nodes).alias("b"))).collect())
+    for chain in range(6):
+        seeds = ids.where(F.col("event_id") == f"e{chain}-0").select("node")
+        found = {r.node for r in pipeline.walked(ids, seeds).collect()}
+        start = roots[f"t1|t|c{chain}-0"]
+        assert found == {n for n, root in roots.items() if root == start}
 
 
 def test_stream_dedup_and_rollup(spark, day):
