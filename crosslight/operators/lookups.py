@@ -37,12 +37,6 @@ def with_catalogue(rows: DataFrame, titles: str, catalogue: DataFrame) -> DataFr
     return dimension_join(each, entries, ["_title"]).select(*rows.columns, "title", "entry.severity", "entry.description")
 
 
-def lookup_event(events: DataFrame, tenant: str, event_id: str) -> DataFrame:
-    """Newest version of one event."""
-    own = events.where((F.col("tenant_id") == tenant) & (F.col("event_id") == event_id))
-    return own.orderBy(F.desc("ingest_version")).limit(1)
-
-
 def lookup_payload(raw: DataFrame, tenant: str, event_id: str, received_at: int | None = None, vendor: str | None = None) -> DataFrame:
     """Raw payload of one event, within an hour of its receipt and from its vendor where they are known."""
     own = raw.where((F.col("tenant_id") == tenant) & (F.col("event_id") == event_id))
@@ -50,7 +44,7 @@ def lookup_payload(raw: DataFrame, tenant: str, event_id: str, received_at: int
         own = own.where(F.col("received_at").between(received_at - HOUR, received_at + HOUR))
     if vendor:
         own = own.where(F.col("vendor") == vendor)
-    return own.orderBy(F.desc("received_at")).limit(1)
+    return own.orderBy(F.desc("received_at"), *(F.desc(c) for c in ("ingest_version",) if c in raw.columns)).limit(1)
 
 
 def get_record(records: DataFrame, tenant: str, correlation_id: str) -> DataFrame:
@@ -61,12 +55,19 @@ def get_record(records: DataFrame, tenant: str, correlation_id: str) -> DataFram
 def events_of_records(records: DataFrame, events: DataFrame, slack: int = HOUR) -> DataFrame:
     """Each event of each record, by the event's id and within `slack` seconds of the record's span."""
     each = records.select("tenant_id", "correlation_id", "first_event_time", "last_event_time", F.explode("event_ids").alias("event_id"))
+    low, high = records.agg(F.min("first_event_time"), F.max("last_event_time")).first()
+    if low is not None:  # the events' side is bounded before it is joined, by day too where it lies in days
+        events = events.where(F.col("event_time").between(low - slack, high + slack))
+        if "date" in events.columns:
+            events = events.where(F.col("date").between(*(F.to_date(F.timestamp_seconds(F.lit(s))) for s in (low - slack, high + slack))))
     met = each.join(events, ["tenant_id", "event_id"])
     return met.where(F.col("event_time").between(F.col("first_event_time") - slack, F.col("last_event_time") + slack)).drop("first_event_time", "last_event_time")
 
 
-def newest_vendor_event(records: DataFrame, events: DataFrame, vendor: str) -> DataFrame:
-    """For each record its vendor's newest event (time, then id): a page of records is narrowed before the join."""
+def newest_vendor_event(records: DataFrame, events: DataFrame, vendor: str, page: int | None = None) -> DataFrame:
+    """For each record its vendor's newest event (time, then id); with `page` for so many records, the newest, which are taken before the join."""
+    if page is not None:
+        records = records.orderBy(F.desc("window_start"), F.desc("correlation_id")).limit(page)
     own = events_of_records(records, events.where(F.col("vendor") == vendor))
     return pick_first(own, ["tenant_id", "correlation_id"], [F.desc("event_time"), F.desc("event_id")])
 
@@ -78,21 +79,6 @@ def best_edge_event(records: DataFrame, events: DataFrame) -> DataFrame:
     return pick_first(own, ["tenant_id", "correlation_id"], order)
 
 
-def records_of_identifier(records: DataFrame, events: DataFrame, identifier: str, columns: tuple[str, ...] = ("vendor_request_id", "linked_request_id", "ja4"), limit: int = 100) -> DataFrame:
-    """Records that hold an event with this identifier in any of the columns; at most `limit` events are followed."""
-    hit = F.greatest(*(F.coalesce(F.col(c) == identifier, F.lit(False)) for c in columns))
-    found = events.where(hit).select("tenant_id", "event_id").distinct().orderBy("event_id").limit(limit)
-    each = records.select("tenant_id", "correlation_id", F.explode("event_ids").alias("event_id"))
-    ids = each.join(F.broadcast(found), ["tenant_id", "event_id"], "left_semi").select("tenant_id", "correlation_id").distinct()
-    return records.join(ids, ["tenant_id", "correlation_id"], "left_semi")
-
-
-def record_of_event(records: DataFrame, event_id: str, at: int, slack: int = 600) -> DataFrame:
-    """Records near a time that hold an event."""
-    near = records.where((F.col("first_event_time") <= at + slack) & (F.col("last_event_time") >= at - slack))
-    return near.where(F.array_contains("event_ids", event_id))
-
-
 def verdict_pairs(records: DataFrame) -> DataFrame:
     """How often each pair of verdicts of the two firewalls met on one request."""
     return records.where("f5_verdict <> '' AND cf_verdict <> ''").groupBy("f5_verdict", "cf_verdict").agg(F.count("*").alias("n"))

@@ -40,13 +40,12 @@ def top_sources(events: DataFrame, size: int = 10) -> DataFrame:
 
 def top_asns(events: DataFrame, size: int = 10) -> DataFrame:
     """Networks with most events: of their addresses' counts the sum, exact clients, the country with most events."""
-    by_ip = events.where("client_ip IS NOT NULL AND client_asn > 0").groupBy("client_asn", "client_ip", "client_country").agg(F.count_distinct("event_id").alias("events"))
-    by_country = by_ip.groupBy("client_asn", "client_country").agg(F.sum("events").alias("own"), F.collect_set("client_ip").alias("ips"))
-    counts = by_country.groupBy("client_asn").agg(
-        F.sum("own").alias("events"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ips")))).cast("long").alias("clients"),
-        F.max(F.struct("own", "client_country"))["client_country"].alias("country"),
-    )
+    own = events.where("client_ip IS NOT NULL AND client_asn > 0")
+    by_country = own.groupBy("client_asn", "client_ip", "client_country").agg(F.count_distinct("event_id").alias("events")).groupBy("client_asn", "client_country").agg(F.sum("events").alias("own"))
+    # Addresses are told apart as rows first and counted after; no row holds a network's addresses.
+    clients = own.select("client_asn", "client_ip").distinct().groupBy("client_asn").agg(F.count("*").alias("clients"))
+    totals = by_country.groupBy("client_asn").agg(F.sum("own").alias("events"), F.max(F.struct("own", "client_country"))["client_country"].alias("country"))
+    counts = totals.join(clients, "client_asn").select("client_asn", "events", "clients", "country")
     return counts.orderBy(F.desc("events"), "client_asn").limit(panel_size(size))
 
 

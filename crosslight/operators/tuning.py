@@ -26,8 +26,8 @@ def _scores() -> list[Column]:
 
 
 def rule_profile(events: DataFrame) -> DataFrame:
-    """For each rule, host, action and source how its requests scored, and what that says of the rule."""
-    rows = events.where("vendor = 'cloudflare' AND rule_id <> ''").groupBy("rule_id", "request_host", "waf_action", "waf_source").agg(*_scores())
+    """For each tenant's rule, host, action and source how its requests scored, and what that says of the rule."""
+    rows = events.where("vendor = 'cloudflare' AND rule_id <> ''").groupBy("tenant_id", "rule_id", "request_host", "waf_action", "waf_source").agg(*_scores())
     scored = F.col("attack") + F.col("suspicious") + F.col("clean")
     share = F.try_divide(F.col("attack") + F.col("suspicious"), scored)
     reading = (
@@ -48,7 +48,7 @@ def gaps(events: DataFrame) -> DataFrame:
 
 
 def corroboration(records: DataFrame) -> DataFrame:
-    """For each edge rule the records that other vendors saw too, and whether any of these stopped them.
+    """For each tenant's edge rule the records that other vendors saw too, and whether any of these stopped them.
 
     `records` holds versions; the newest counts, and only then do filters apply.
     """
@@ -58,7 +58,7 @@ def corroboration(records: DataFrame) -> DataFrame:
     stopped = F.exists(others, lambda v: v.isin("blocked", "rate_limited", "challenged"))
     allowed = F.forall(others, lambda v: v == "allowed")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return rows.groupBy("rule").agg(F.count("*").alias("correlated"), one(stopped).alias("confirmed"), one(allowed).alias("allowed"))
+    return rows.groupBy("tenant_id", "rule").agg(F.count("*").alias("correlated"), one(stopped).alias("confirmed"), one(allowed).alias("allowed"))
 
 
 def uncovered(records: DataFrame, events: DataFrame) -> DataFrame:
@@ -99,8 +99,8 @@ def observed_monitored(events: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def monitored_rules(rules: DataFrame) -> DataFrame:
-    """Configured rules that only watch; of several actions the smallest."""
-    return rules.groupBy("rule_id").agg(F.min("action").alias("action")).where("action IN ('log', 'simulate')")
+    """Rules that a tenant has configured and that only watch; of several actions the smallest."""
+    return rules.groupBy("tenant_id", "rule_id").agg(F.min("action").alias("action")).where("action IN ('log', 'simulate')")
 
 
 def migration_samples(records: DataFrame, events: DataFrame, violation: str, limit: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,20 +41,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlated records, built once for a session and state of the input and read as a stored table from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/events.parquet"))
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> DataFrame:
+    """A table that `build` writes to a path, built once for a session and state of the input and read from then on."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, _state(spark, f"{sf_dir}/events.parquet"))
     if key in _kept:
         try:
             return spark.read.parquet(_kept[key])
         except AnalysisException:  # the folder was cleared meanwhile
             del _kept[key]
-    path = shared_path(spark, "records")
-    records(events(spark, sf_dir)).write.parquet(path)
+    path = shared_path(spark, name)
+    build(path)
     _kept[key] = path
     return spark.read.parquet(path)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlated records as a stored table."""
+    return stored(spark, sf_dir, "records", lambda path: records(events(spark, sf_dir)).write.parquet(path))
+
+
 def joined(column: str) -> Column:
     """A list as text, for comparison."""
     return F.array_join(column, ",")

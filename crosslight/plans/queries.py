@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import verdicts as v
-from ..operators import alerts, correlate, filters, health, latest, lookups, panels, tuning, upkeep
+from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from ..sources import payloads
 from ..streaming import pipeline
-from .base import events, joined, map_text, over_events, over_obs, over_records, raw, shared_path, stored_records
+from .base import events, joined, map_text, over_events, over_obs, over_records, raw, shared_path, stored, stored_records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,10 +119,10 @@ query("win_limit_by", over_events(f"SELECT {EVENT_COLUMNS} FROM (SELECT *, row_n
     lambda spark, d: _some(latest.pick_first(events(spark, d), ["request_host"], [F.desc("event_time"), F.desc("event_id")]))
 )
 query("lookup_event", over_events(f"SELECT {EVENT_COLUMNS} FROM ev WHERE tenant_id = 'tenant-0' AND event_id = (SELECT min(event_id) FROM obs WHERE tenant_id = 'tenant-0')"))(
-    lambda spark, d: _some(lookups.lookup_event(r := raw(spark, d), "tenant-0", r.where("tenant_id = 'tenant-0'").agg(F.min("event_id")).first()[0]))
+    lambda spark, d: _some(pointers.event_by_id(stored_pointers(spark, d), r := raw(spark, d), "tenant-0", r.where("tenant_id = 'tenant-0'").agg(F.min("event_id")).first()[0] or "", *_span(r), FEW))
 )
-query("lookup_raw_payload", over_obs("SELECT event_id, received_at, ingest_version FROM obs WHERE tenant_id = 'tenant-1' AND event_id = (SELECT min(event_id) FROM obs WHERE tenant_id = 'tenant-1') ORDER BY received_at DESC LIMIT 1"))(
-    lambda spark, d: lookups.lookup_payload(r := raw(spark, d), "tenant-1", r.where("tenant_id = 'tenant-1'").agg(F.min("event_id")).first()[0], vendor="cloudflare").select("event_id", "received_at", F.lit(1).cast("long").alias("ingest_version"))
+query("lookup_raw_payload", over_obs("SELECT event_id, received_at, ingest_version FROM obs WHERE tenant_id = 'tenant-1' AND event_id = (SELECT min(event_id) FROM obs WHERE tenant_id = 'tenant-1') ORDER BY received_at DESC, ingest_version DESC LIMIT 1"))(
+    lambda spark, d: lookups.lookup_payload(r := raw(spark, d), "tenant-1", r.where("tenant_id = 'tenant-1'").agg(F.min("event_id")).first()[0], vendor="cloudflare").select("event_id", "received_at", "ingest_version")
 )
 query("list_rejected", over_obs("SELECT event_id, received_at FROM obs WHERE feed_id = 'feed-f5' AND http_status = 429 ORDER BY received_at DESC, event_id DESC LIMIT 100"))(
     lambda spark, d: lookups.rejected(raw(spark, d).where("http_status = 429").withColumn("reason", F.lit("PARSE_ERROR")), 0, 1 << 40, "feed-f5", "PARSE_ERROR").select("event_id", "received_at")
@@ -155,11 +155,12 @@ query("jn_attach_cf", over_records(ONE_VENDOR.format(vendor="cloudflare", order=
 query("win_pick_best", over_records(ONE_VENDOR.format(vendor="datadome", order="e.score DESC, e.event_id DESC")))(
     lambda spark, d: latest.pick_first(lookups.events_of_records(stored_records(spark, d), events(spark, d).where("vendor = 'datadome'")), ["tenant_id", "correlation_id"], [F.desc("score"), F.desc("event_id")]).select("correlation_id", "event_id")
 )
-query("jn_ident_resolve", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE list_has_any(id_list, (SELECT list(event_id) FROM (SELECT DISTINCT tenant_id, event_id FROM ev WHERE ja4 = 't13d7' ORDER BY event_id LIMIT 100)))"))(
-    lambda spark, d: _some(lookups.records_of_identifier(stored_records(spark, d), events(spark, d), "t13d7"), RECORD_COLUMNS)
+# Tenants share event ids here: every event and record stands a second time under another tenant, which look-ups must not find.
+query("jn_ident_resolve", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE tenant_id = 'tenant-1' AND list_has_any(id_list, (SELECT list(event_id) FROM (SELECT DISTINCT event_id FROM ev WHERE tenant_id = 'tenant-1' AND ja4 = 't13d7' ORDER BY event_id LIMIT 100)))"))(
+    lambda spark, d: _some(pointers.records_of_identifier(stored_pointers(spark, d), _twice(stored_records(spark, d)), "tenant-1", "ja4", "t13d7", *_span(raw(spark, d)), buckets=FEW), RECORD_COLUMNS)
 )
-query("jn_event_to_corr", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE list_contains(id_list, 'cloudflare-20')"))(
-    lambda spark, d: _some(lookups.record_of_event(stored_records(spark, d), "cloudflare-20", events(spark, d).where("event_id = 'cloudflare-20'").first()["event_time"]), RECORD_COLUMNS)
+query("jn_event_to_corr", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE tenant_id = 'tenant-2' AND list_contains(id_list, (SELECT min(event_id) FROM ev WHERE tenant_id = 'tenant-2' AND vendor = 'cloudflare'))"))(
+    lambda spark, d: _some(_event_to_record(spark, d), RECORD_COLUMNS)
 )
 ASN = "SELECT 64500 + n_nationkey AS asn, n_name AS owner_name, r_name AS owner_country FROM nation JOIN region ON n_regionkey = r_regionkey"
 query("jn_asn_owner", over_events(f"SELECT e.event_id, e.client_asn, o.owner_name, o.owner_country FROM ev e LEFT JOIN ({ASN}) o ON e.client_asn = o.asn"))(lambda spark, d: lookups.with_asn_owner(events(spark, d), _owners(spark, d)).select("event_id", "client_asn", "owner_name", "owner_country"))
@@ -174,6 +175,30 @@ query("jn_verdict_pairs", over_records("SELECT f5_verdict, cf_verdict, count(*)
 query("jn_anti_effect", over_records(f"SELECT {RECORD_COLUMNS} FROM rec WHERE f5_verdict IN ('blocked', 'rate_limited') AND cf_verdict = 'allowed'"))(lambda spark, d: _some(lookups.only_f5_blocked(stored_records(spark, d)), RECORD_COLUMNS))
 
 
+def _twice(rows):
+    """The same rows, and all of them again under a tenant of the same name with an x; records of that one have other ids."""
+    again = rows.withColumn("tenant_id", F.concat("tenant_id", F.lit("x")))
+    return rows.unionByName(again.withColumn("correlation_id", F.concat(F.lit("x"), "correlation_id")) if "correlation_id" in rows.columns else again)
+
+
+#: Buckets of a day of the test tables, whose days are small.
+FEW = 2
+
+
+def stored_pointers(spark, d):
+    """Pointers to all events and records, built once for a session and state of the input."""
+
+    def build(path):
+        pointers.write_pointers(pointers.event_pointers(_twice(raw(spark, d))).unionByName(pointers.record_pointers(_twice(stored_records(spark, d)))), path, buckets=FEW)
+
+    return stored(spark, d, "pointers", build)
+
+
+def _event_to_record(spark, d):
+    event = raw(spark, d).where("tenant_id = 'tenant-2' AND vendor = 'cloudflare'").agg(F.min_by(F.struct("event_id", "event_time"), "event_id")).first()[0]
+    return pointers.record_of_event(stored_pointers(spark, d), _twice(stored_records(spark, d)), "tenant-2", event["event_id"] if event else "", event["event_time"] if event else 0, buckets=FEW)
+
+
 def _pairing(rows):
     """One key for a tenant's events, so that long runs of consecutive windows arise."""
     few = rows.select("tenant_id", F.lit("1.1.1.1").alias("client_ip"), F.lit("h").alias("request_host"), F.lit("/").alias("request_path"), F.lit("GET").alias("request_method"), "event_id", F.floor(F.col("event_time") / 60).alias("event_time"))
@@ -228,7 +253,7 @@ query("scan_correlated_latest", over_records(f"SELECT {RECORD_COLUMNS}, 2 AS ver
 )
 
 
-@query("agg_merge_amend", over_records("SELECT correlation_id, vendors, event_ids, verdicts, disagreement_kind, combined_outcome, 2 AS version FROM (SELECT *, array_to_string(list_sort(id_list), ',') AS event_ids, FROM (SELECT * EXCLUDE event_ids FROM rec)) WHERE join_tier = 1"))
+@query("agg_merge_amend", over_records("SELECT correlation_id, vendors, event_ids, verdicts, disagreement_kind, combined_outcome, CASE WHEN vendors = 'datadome' THEN 1 ELSE 2 END AS version FROM (SELECT *, array_to_string(list_sort(id_list), ',') AS event_ids, FROM (SELECT * EXCLUDE event_ids FROM rec)) WHERE join_tier = 1 AND vendors LIKE '%datadome%'"))
 def merge_amend(spark, d):
     """Records stored without one vendor's events, amended by these events once they come."""
     full = stored_records(spark, d).where("join_tier = 1")
@@ -236,10 +261,7 @@ def merge_amend(spark, d):
         "*", F.filter("event_ids", lambda e: keep(e)).alias("_ids"), F.map_filter("verdicts", lambda k, _: keep(k)).alias("_v")
     ).withColumn("event_ids", F.col("_ids")).withColumn("verdicts", F.col("_v")).withColumn("vendors", F.map_keys("_v")).where(F.size("_v") > 0).drop("_ids", "_v")
     stored, fresh = part(lambda e: ~e.startswith("datadome")), part(lambda e: e.startswith("datadome"))
-    only = full.join(fresh.select("tenant_id", "correlation_id"), ["tenant_id", "correlation_id"], "left_anti")
-    merged = correlate.merge_amended(stored, fresh)
-    rest = only.select("correlation_id", "vendors", F.array_sort("event_ids").alias("event_ids"), "verdicts", "disagreement_kind", "combined_outcome", F.lit(2).cast("long").alias("version"))
-    out = merged.select(*rest.columns[:-1], F.lit(2).cast("long").alias("version")).unionByName(rest)
+    out = correlate.merge_amended(stored, fresh).select("correlation_id", "vendors", "event_ids", "verdicts", "disagreement_kind", "combined_outcome", "version")
     return out.withColumns({"vendors": joined("vendors"), "event_ids": joined("event_ids"), "verdicts": map_text("verdicts")})
 
 
@@ -277,12 +299,12 @@ query("backfill_rollup", over_events("SELECT tenant_id, vendor, count(DISTINCT e
     lambda spark, d: panels.vendor_volume(raw(spark, d).unionByName(raw(spark, d)), 300).groupBy("tenant_id", "vendor").agg(F.sum("events").alias("events"))
 )
 SCORED = "count(*) AS events, count(*) FILTER (WHERE waf_attack_score BETWEEN 1 AND 20) AS attack, count(*) FILTER (WHERE waf_attack_score BETWEEN 21 AND 50) AS suspicious, count(*) FILTER (WHERE waf_attack_score > 50) AS clean, round(coalesce(avg(waf_attack_score) FILTER (WHERE waf_attack_score > 0), 0.0), 6) AS mean_score"
-query("agg_waf_rule_profile", over_events(f"SELECT *, CASE WHEN waf_action = 'skip' THEN 'exempting' WHEN attack + suspicious + clean = 0 THEN 'unscored' WHEN (attack + suspicious) / (attack + suspicious + clean) >= 0.8 THEN 'attacks' WHEN (attack + suspicious) / (attack + suspicious + clean) <= 0.2 THEN 'clean' ELSE 'mixed' END AS reading FROM (SELECT rule_id, request_host, waf_action, waf_source, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id <> '' GROUP BY ALL)"))(
+query("agg_waf_rule_profile", over_events(f"SELECT *, CASE WHEN waf_action = 'skip' THEN 'exempting' WHEN attack + suspicious + clean = 0 THEN 'unscored' WHEN (attack + suspicious) / (attack + suspicious + clean) >= 0.8 THEN 'attacks' WHEN (attack + suspicious) / (attack + suspicious + clean) <= 0.2 THEN 'clean' ELSE 'mixed' END AS reading FROM (SELECT tenant_id, rule_id, request_host, waf_action, waf_source, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id <> '' GROUP BY ALL)"))(
     lambda spark, d: tuning.rule_profile(events(spark, d, F.col("vendor") == "cloudflare"))
 )
 query("agg_waf_paths", over_events(f"SELECT request_host, request_path, events, mean_score FROM (SELECT request_host, request_path, {SCORED} FROM ev WHERE rule_id = 'r3' GROUP BY ALL)"))(lambda spark, d: tuning.rule_paths(events(spark, d), "r3"))
 query("agg_waf_gaps", over_events(f"SELECT request_host, events, attack, suspicious, mean_score FROM (SELECT request_host, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id = '' AND waf_attack_score BETWEEN 1 AND 50 GROUP BY ALL)"))(lambda spark, d: tuning.gaps(events(spark, d)))
-query("agg_corroboration", over_records("SELECT cf_rule AS rule, count(*) AS correlated, count(*) FILTER (WHERE regexp_matches(o, 'blocked|rate_limited|challenged')) AS confirmed, count(*) FILTER (WHERE NOT regexp_matches(o, 'blocked|rate_limited|challenged|monitored|unknown')) AS allowed FROM (SELECT cf_rule, regexp_replace(verdicts, 'cloudflare=[a-z_]+', '') AS o FROM rec WHERE vendor_count > 1 AND cf_rule <> '') GROUP BY ALL"))(
+query("agg_corroboration", over_records("SELECT tenant_id, cf_rule AS rule, count(*) AS correlated, count(*) FILTER (WHERE regexp_matches(o, 'blocked|rate_limited|challenged')) AS confirmed, count(*) FILTER (WHERE NOT regexp_matches(o, 'blocked|rate_limited|challenged|monitored|unknown')) AS allowed FROM (SELECT tenant_id, cf_rule, regexp_replace(verdicts, 'cloudflare=[a-z_]+', '') AS o FROM rec WHERE vendor_count > 1 AND cf_rule <> '') GROUP BY ALL"))(
     lambda spark, d: tuning.corroboration(stored_records(spark, d))
 )
 F5_OF = "(SELECT tenant_id, correlation_id, f5_verdict, cf_verdict, unnest(id_list) AS event_id FROM rec WHERE f5_verdict IN ('blocked', 'rate_limited') AND cf_verdict = 'allowed') r JOIN ev e USING (tenant_id, event_id)"
@@ -293,7 +315,7 @@ query("agg_rule_agreement", over_records("SELECT *, CASE WHEN n < 10 THEN 'insuf
     lambda spark, d: tuning.rule_agreement(stored_records(spark, d))
 )
 query("agg_observed_monitored", over_events("SELECT DISTINCT rule_id FROM ev WHERE vendor = 'cloudflare' AND rule_id <> '' AND waf_action IN ('log', 'simulate')"))(lambda spark, d: tuning.observed_monitored(events(spark, d)))
-query("agg_monitored_rules", f"SELECT rule_id, min(action) AS action FROM ({RULES}) GROUP BY rule_id HAVING min(action) IN ('log', 'simulate')")(lambda spark, d: tuning.monitored_rules(_rules(spark, d)))
+query("agg_monitored_rules", f"SELECT tenant_id, rule_id, min(action) AS action FROM ({RULES}) GROUP BY tenant_id, rule_id HAVING min(action) IN ('log', 'simulate')")(lambda spark, d: tuning.monitored_rules(_rules(spark, d)))
 query("set_union_candidates", over_events(f"SELECT DISTINCT rule_id FROM (SELECT rule_id FROM ({RULES}) UNION SELECT rule_id FROM ev) WHERE rule_id <> ''"))(lambda spark, d: lookups.union_candidates(_rules(spark, d), events(spark, d)))
 query("set_union_strings", over_events("SELECT event_id, concat_ws(',', nullif(rule_id, ''), nullif(matched_rule, '')) AS both FROM ev WHERE rule_id <> matched_rule"))(
     lambda spark, d: events(spark, d).where("rule_id <> matched_rule").select("event_id", F.array_join(lookups.union_strings(F.array("rule_id"), F.array("matched_rule")), ",").alias("both"))
