@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
 from .latest import latest, pick_first
 
 HOUR = 3_600
@@ -162,8 +163,22 @@ def pull_feeds(feeds: DataFrame) -> DataFrame:
     return latest(feeds, ["tenant_id", "feed_id"], "version").where("enabled AND mode = 'pull'")
 
 
-def chain_links(entries: DataFrame) -> DataFrame:
-    """Audit entries with `linked`: whether an entry names the digest of the one before it. A tenant's first has none to name."""
-    along = Window.partitionBy("tenant_id").orderBy("occurred_at", "entry_id")
-    before = F.lag("entry_hash").over(along)
-    return entries.withColumn("linked", before.isNull() | (F.col("prev_hash") == before))
+def chain_links(entries: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Audit entries with `linked`: whether an entry names the digest of the one before it. A tenant's first has none to name.
+
+    Entries are dealt out by ranges of (tenant, time, entry), so a tenant's chain is looked at in many
+    places at once; each range takes the digest it goes on from out of a table of the ranges' last ones.
+    `before` (tenant_id, entry_hash) gives the digests that come before the entries of a part of a chain.
+    """
+    order = ["occurred_at", "entry_id"]
+    # Cut, as ranges are sampled and must not change between the readings.
+    ranged = cut(entries.repartitionByRange("tenant_id", *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("tenant_id", "_range").orderBy(*order)
+    ends = ranged.groupBy("tenant_id", "_range").agg(F.max_by("entry_hash", F.struct(*order)).alias("_end"))  # a row for each range and tenant in it
+    if before is not None:
+        ends = ends.unionByName(before.select("tenant_id", F.lit(-1).alias("_range"), F.col("entry_hash").alias("_end")))
+    carried = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy("tenant_id").orderBy("_range"))).drop("_end")
+    rows = ranged.withColumn("_first", F.row_number().over(inside) == 1).withColumn("_before", F.lag("entry_hash").over(inside))
+    came = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
+    joined = rows.join(carried, ["tenant_id", "_range"])
+    return joined.withColumn("linked", came.isNull() | (F.col("prev_hash") == came)).select(*entries.columns, "linked")

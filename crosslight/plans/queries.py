@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import verdicts as v
-from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, tuning, upkeep
+from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, rollups, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from ..sources import payloads
 from ..streaming import pipeline
@@ -295,9 +295,43 @@ query("agg_volume_sketch_error", over_events("SELECT tenant_id, vendor, count(DI
     .join(e.groupBy("tenant_id", "vendor").agg(F.count_distinct("event_id").alias("exact")), ["tenant_id", "vendor"])
     .select("tenant_id", "vendor", "exact", (F.abs(F.col("events") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
 )
-query("backfill_rollup", over_events("SELECT tenant_id, vendor, count(DISTINCT event_id) AS events FROM ev GROUP BY ALL"))(
-    lambda spark, d: panels.vendor_volume(raw(spark, d).unionByName(raw(spark, d)), 300).groupBy("tenant_id", "vendor").agg(F.sum("events").alias("events"))
-)
+
+
+def _near(spark, d, name, keys):
+    """A rollup's daily counts from its states beside exact ones, which they are near (exact for small counts)."""
+    rollup = rollups.ROLLUPS[name]
+    rows = stored_records(spark, d) if rollup.counted == "correlation_id" else events(spark, d)
+    found = rollups.estimated(rollups.states(rows, name), name, 86_400, keys)
+    rows = rows.withColumn("stopped", F.col("verdict").isin(*rollups.STOPPED)) if "stopped" in keys else rows
+    exact = rows.where(rollup.where).groupBy("tenant_id", t.bucket_start(F.col(rollup.time), 86_400).alias("bucket"), *keys).agg(F.count_distinct(rollup.counted).alias("exact"))
+    both = found.unionByName(exact, allowMissingColumns=True).groupBy("tenant_id", "bucket", *keys).agg(F.max("events").alias("events"), F.max("exact").alias("exact"))
+    return both.select("tenant_id", "bucket", *keys, "exact", (F.abs(F.col("events") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))).alias("near"))
+
+
+for _name, (_sql, _keys) in {
+    "volume": ("event_time // 86400 * 86400 AS bucket, vendor, count(*) AS exact FROM ev", ("vendor",)),
+    "verdicts": ("event_time // 86400 * 86400 AS bucket, vendor, verdict, count(*) AS exact FROM ev", ("vendor", "verdict")),
+    "rules": ("event_time // 86400 * 86400 AS bucket, vendor, rule_id, count(*) AS exact FROM ev WHERE rule_id <> ''", ("vendor", "rule_id")),
+    "sources": ("event_time // 86400 * 86400 AS bucket, client_ip, client_country, client_asn, verdict IN ('blocked', 'rate_limited') AS stopped, count(*) AS exact FROM ev WHERE client_ip IS NOT NULL", ("client_ip", "client_country", "client_asn", "stopped")),
+    "disagreement": ("window_start // 86400 * 86400 AS bucket, disagreement_kind, count(*) AS exact FROM rec", ("disagreement_kind",)),
+}.items():
+    _over = over_records if _name == "disagreement" else over_events
+    query(f"rollup_{_name}", _over(f"SELECT *, true AS near FROM (SELECT tenant_id, {_sql} GROUP BY ALL)"))(lambda spark, d, n=_name, k=_keys: _near(spark, d, n, k))
+
+
+@query("backfill_rollup", over_events("SELECT tenant_id, vendor, count(DISTINCT event_id) AS exact, true AS near, true AS same FROM ev GROUP BY ALL"))
+def backfill_rollup(spark, d):
+    """States of which one part of the time was lost and is rebuilt: near the exact counts, and the same as those that were never lost."""
+    rows = raw(spark, d)
+    low, high = _span(rows)
+    live, middle = rollups.states(rows, "volume"), (low + high) // 2
+    back = rollups.rebuilt(live.where(F.col("bucket") < middle), rows, "volume", middle - 3_600, high)
+    total = lambda s, n: rollups.estimated(s, "volume").withColumnRenamed("events", n)
+    exact = rows.groupBy("tenant_id", "vendor").agg(F.count_distinct("event_id").alias("exact"))
+    out = exact.join(total(live, "live"), ["tenant_id", "vendor"]).join(total(back, "back"), ["tenant_id", "vendor"])
+    return out.select("tenant_id", "vendor", "exact", (F.abs(F.col("back") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"), (F.col("back") == F.col("live")).alias("same"))
+
+
 SCORED = "count(*) AS events, count(*) FILTER (WHERE waf_attack_score BETWEEN 1 AND 20) AS attack, count(*) FILTER (WHERE waf_attack_score BETWEEN 21 AND 50) AS suspicious, count(*) FILTER (WHERE waf_attack_score > 50) AS clean, round(coalesce(avg(waf_attack_score) FILTER (WHERE waf_attack_score > 0), 0.0), 6) AS mean_score"
 query("agg_waf_rule_profile", over_events(f"SELECT *, CASE WHEN waf_action = 'skip' THEN 'exempting' WHEN attack + suspicious + clean = 0 THEN 'unscored' WHEN (attack + suspicious) / (attack + suspicious + clean) >= 0.8 THEN 'attacks' WHEN (attack + suspicious) / (attack + suspicious + clean) <= 0.2 THEN 'clean' ELSE 'mixed' END AS reading FROM (SELECT tenant_id, rule_id, request_host, waf_action, waf_source, {SCORED} FROM ev WHERE vendor = 'cloudflare' AND rule_id <> '' GROUP BY ALL)"))(
     lambda spark, d: tuning.rule_profile(events(spark, d, F.col("vendor") == "cloudflare"))

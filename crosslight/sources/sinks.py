@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import pointers
 from .payloads import normalise
 
 DAY = 86_400
@@ -28,13 +29,14 @@ def append(rows: DataFrame, path: str, column: str, sort: list[str] | None = Non
         writer.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def write_batch(root: str, year: int | None = None):
-    """For foreachBatch: the raw payloads, what they mean, and what was refused; a repeated batch replaces itself."""
+def write_batch(root: str, year: int | None = None, buckets: int = pointers.BUCKETS):
+    """For foreachBatch: the raw payloads, what they mean, pointers to these, and what was refused; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         append(batch.withColumn("batch_no", F.lit(number)), f"{root}/raw", "received_at", batch=number)
         accepted, rejected = normalise(batch, year)
         append(accepted, f"{root}/events", "event_time", ["tenant_id", "vendor", "event_time"], number)
+        pointers.write_pointers(pointers.event_pointers(accepted), f"{root}/pointers", number, buckets)
         append(rejected, f"{root}/rejected", "received_at", batch=number)
 
     return write

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import correlate
+from ..operators import correlate, pointers, rollups
 from ..operators.alerts import Condition, measure, with_cooldown
 from ..operators.components import cut
 from ..operators.latest import latest
@@ -60,15 +60,15 @@ def before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     return None if found is None else found.where(F.col("batch") < number).drop("batch", "date")
 
 
-def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW, ttl: int = TTL):
+def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW, ttl: int = TTL, buckets: int | None = pointers.BUCKETS):
     """For foreachBatch over `closing`: files a batch's events, and emits the records of the groups that it closes.
 
     `schema` is that of the stream's events. They are filed by day, and once more, narrowly, under each
     request id they carry. Records are built from the closed groups and, over ids, whatever stands for
     the same requests within `ttl` seconds; no other stored event is read. An identifier that was claimed
     first keeps its record: what comes later is the record's next version, and a group to which nothing
-    was added gives none. All that a batch writes is under its number and replaces what the batch wrote
-    before, if it is run again.
+    was added gives none. With `buckets` the look-ups' pointers to events and records are written along.
+    All that a batch writes is under its number and replaces what the batch wrote before, if it is run again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -81,8 +81,12 @@ def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW,
         file_rows(ids, f"{root}/ids", "event_time", number, ["node", "event_id"])
         closed = cut(batch.where("kind = 'closed'").select("tenant_id", "shape", "window_no", "event_id", "event_time").distinct())
         low, high = closed.agg(F.min("event_time"), F.max("event_time")).first()
+        fresh_pointers = pointers.event_pointers(fresh)
         if low is not None:
-            _emit(batch.sparkSession, root, number, closed, low, high, window, ttl)
+            emitted = _emit(batch.sparkSession, root, number, closed, low, high, window, ttl)
+            fresh_pointers = fresh_pointers.unionByName(pointers.record_pointers(emitted))
+        if buckets:
+            pointers.write_pointers(fresh_pointers, f"{root}/pointers", number, buckets)
 
     return run
 
@@ -109,7 +113,7 @@ EVENT = ["tenant_id", "event_id"]
 RECORD = ["tenant_id", "correlation_id"]
 
 
-def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: int, high: int, window: int, ttl: int) -> None:
+def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: int, high: int, window: int, ttl: int) -> DataFrame:
     near = filed(spark, f"{root}/events", number + 1, low, high).where(F.col("event_time").between(low, high))
     due = cut(near.join(closed.select(*EVENT, "shape", "window_no"), EVENT))
     own = due.select(F.explode(_nodes()).alias("node")).where("node IS NOT NULL")
@@ -149,6 +153,24 @@ def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: i
     file_rows(fresh, f"{root}/records", "window_start", number, ["tenant_id", "window_start"])
     claimed = fresh.select("tenant_id", F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at"), "first_event_time")
     file_rows(claimed, f"{root}/claims", "first_event_time", number, ["identifier", "tenant_id"])
+    return fresh
+
+
+def rollup_batch(root: str, names: tuple[str, ...] = ("volume", "verdicts", "rules", "sources")):
+    """For foreachBatch: files the states of a batch's rows under each rollup, by day. Only the batch is read."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = cut(batch)
+        for name in names:
+            file_rows(rollups.states(batch, name), f"{root}/rollups/{name}", "bucket", number, ["tenant_id", "bucket"])
+
+    return run
+
+
+def rolled_up(spark: SparkSession, root: str, name: str, low: int | None = None, high: int | None = None) -> DataFrame | None:
+    """The states of a rollup over the days from `low` to `high`, one for each key; None where there are none."""
+    found = filed(spark, f"{root}/rollups/{name}", None, low, high)
+    return None if found is None else rollups.united(found, ["tenant_id", "bucket", *rollups.ROLLUPS[name].dimensions])
 
 
 def late_dropped(spark: SparkSession, root: str) -> DataFrame:
@@ -188,7 +210,7 @@ def start(events: DataFrame, root: str, checkpoint: str, batch, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE, ttl: int = TTL, replay: bool = False, every: str = "10 seconds") -> StreamingQuery:
+def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE, ttl: int = TTL, replay: bool = False, every: str = "10 seconds", buckets: int | None = pointers.BUCKETS) -> StreamingQuery:
     """Continuous correlation of a stream of events into `root`/records.
 
     A window closes `grace` seconds after its end by the clock, whether or not anything comes. With
@@ -198,7 +220,7 @@ def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int
     cut(spark.range(1))  # foreachBatch cuts its lineage in the checkpoint folder
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     found = closing(events, window, grace, lateness, replay)
-    writer = found.writeStream.foreachBatch(settle_batch(root, events.schema, window, ttl)).option("checkpointLocation", checkpoint)
+    writer = found.writeStream.foreachBatch(settle_batch(root, events.schema, window, ttl, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if replay else writer.trigger(processingTime=every)).start()
 
 
@@ -218,8 +240,8 @@ def replayed(events: DataFrame, folder: str, parts: int = 3, window: int = corre
     last = events.orderBy(F.desc("received_at")).limit(1).withColumn("received_at", F.col("received_at") + end).withColumn("event_time", F.col("received_at"))
     last.withColumn("event_id", F.lit("")).withColumn("vendor_request_id", F.lit("")).withColumn("linked_request_id", F.lit("")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    correlate_stream(stream, f"{folder}/out", f"{folder}/state", window, grace, lateness, replay=True).awaitTermination()
+    correlate_stream(stream, f"{folder}/out", f"{folder}/state", window, grace, lateness, replay=True, buckets=None).awaitTermination()
     return spark.read.parquet(f"{folder}/out/records")
 
 
-__all__ = ["alert_batch", "closing", "correlate_stream", "deduplicated", "health_minutes", "late_dropped", "replayed", "settle_batch", "start", "volume_rollup"]
+__all__ = ["alert_batch", "closing", "correlate_stream", "deduplicated", "health_minutes", "late_dropped", "replayed", "rolled_up", "rollup_batch", "settle_batch", "start", "volume_rollup"]

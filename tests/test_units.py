@@ -198,3 +198,28 @@ def test_catalogue_and_unique(spark):
     people = spark.createDataFrame([("t1", "A@x"), ("t2", "a@x"), ("t1", "b@x")], "tenant_id string, email string")
     assert [r.unique for r in lookups.resolve_unique(people, "a@X").collect()] == [False]
     assert lookups.resolve_unique(people, "none").count() == 0
+
+
+def test_a_chain_is_verified_in_many_ranges(spark):
+    """One tenant's chain over many partitions, sealed whole; a changed field, a changed digest and a missing entry show where they are."""
+    rows = [("t", f"n{k:04}", 1_000 + k // 3, "me", "edit", "x", str(k)) for k in range(400)] + [("u", "only", 5, "me", "edit", "x", "")]
+    entries = spark.createDataFrame(rows, "tenant_id string, entry_id string, occurred_at long, actor string, action string, target string, detail string")
+    sealed = spark.createDataFrame((c := upkeep.chained(entries)).collect(), c.schema)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranges = sealed.repartitionByRange("tenant_id", "occurred_at", "entry_id").where("tenant_id = 't'").select(F.spark_partition_id()).distinct().count()
+        assert ranges > 8
+        assert upkeep.verify_chain(sealed).where("NOT intact OR NOT linked").count() == 0
+        bent = sealed.where("entry_id <> 'n0100'").withColumn("detail", F.when(F.col("entry_id") == "n0200", "forged").otherwise(F.col("detail")))
+        bent = bent.withColumn("entry_hash", F.when(F.col("entry_id") == "n0300", "0").otherwise(F.col("entry_hash")))
+        found = {r.entry_id: (r.intact, r.linked) for r in upkeep.verify_chain(bent).where("NOT intact OR NOT linked").collect()}
+        assert found == {"n0101": (True, False), "n0200": (False, True), "n0300": (False, True), "n0301": (True, False)}
+        page = upkeep.list_audit(sealed, 1_050, 1_060).collect()
+        assert [r.entry_id for r in page] == [f"n{k:04}" for k in range(150, 183)] and all(r.intact and r.linked for r in page)
+        page = upkeep.list_audit(bent.withColumn("entry_hash", F.when(F.col("entry_id") == "n0149", "1").otherwise(F.col("entry_hash"))), 1_050, 1_060).collect()
+        assert [r.entry_id for r in page if not r.linked] == ["n0150"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
