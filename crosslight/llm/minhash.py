@@ -34,6 +34,8 @@ BANDS, ROWS = 12, 3
 BUCKETS = 1 << 20
 #: Members, and their weight, of a block of what is left of a bucket; more meet as pairs of blocks.
 MEMBERS, WEIGHT = 1_024, 1 << 22
+#: Members of a block whose pairs are looked at at once.
+STRIP = 64
 #: Shingles of a document that are sampled at once.
 SLICE = 4_096
 
@@ -259,17 +261,23 @@ def possible(rows: pd.DataFrame, similarity: float) -> np.ndarray:
     """
     row, weight, own, root, side = (rows[c].to_numpy() for c in ("row", "weight", "own", "root", "side"))
     keys, band = np.stack(rows["keys"].to_numpy()), int(rows["band"].iloc[0])
-    out = (root[:, None] != root) & (row[:, None] < row)
-    shared = np.minimum((weight - own)[:, None], weight - own)
-    out &= shared >= similarity * (weight[:, None] + weight - shared) * (1 - 1e-6)
     side = side.astype(bool)
-    if side.any() and not side.all():
-        out &= side[:, None] != side
-    elif rows["low"].iloc[0] != rows["high"].iloc[0]:
-        out[:] = False
-    for k in range(band):
-        out &= keys[:, k][:, None] != keys[:, k]
-    return out | out.T
+    mixed, alone = side.any() and not side.all(), rows["low"].iloc[0] == rows["high"].iloc[0]
+    out = np.zeros((len(row), len(row)), bool)
+    if not (mixed or alone):
+        return out
+    for at in range(0, len(row), STRIP):  # strip by strip, as the bounds of all pairs at once would be many times the result
+        own_at = slice(at, at + STRIP)
+        strip = (root[own_at, None] != root) & (row[own_at, None] < row)
+        shared = np.minimum((weight - own)[own_at, None], weight - own)
+        strip &= shared >= similarity * (weight[own_at, None] + weight - shared) * (1 - 1e-6)
+        if mixed:
+            strip &= side[own_at, None] != side
+        for k in range(band):
+            strip &= keys[own_at, k][:, None] != keys[:, k]
+        out[own_at] = strip
+    out |= out.T.copy()
+    return out
 
 
 def linked(possibly: np.ndarray, root: np.ndarray, bags: list, similarity: float) -> Iterator[tuple[int, int]]:
