@@ -265,11 +265,11 @@ def merge_amend(spark, d):
     return out.withColumns({"vendors": joined("vendors"), "event_ids": joined("event_ids"), "verdicts": map_text("verdicts")})
 
 
-@query("st_window_close", over_records("SELECT tenant_id, correlation_id, event_ids, disagreement_kind, 1 AS version FROM rec"))
+@query("st_window_close", over_records("SELECT tenant_id, correlation_id, array_to_string(list_sort(id_list), ',') AS event_ids, disagreement_kind, 1 AS version FROM rec"))
 def window_close(spark, d):
     """All observations sent through the continuous correlation in the order of their receipt; timers close the windows."""
     out = pipeline.replayed(raw(spark, d), shared_path(spark, "replay"), 2)
-    return out.select("tenant_id", "correlation_id", joined("event_ids").alias("event_ids"), "disagreement_kind", "version")
+    return out.withColumn("event_ids", F.array_sort("event_ids")).select("tenant_id", "correlation_id", joined("event_ids").alias("event_ids"), "disagreement_kind", "version")
 
 
 # --- panels, tuning, migration ------------------------------------------------------------------
