@@ -18,15 +18,17 @@ def by_day(rows: DataFrame, column: str) -> DataFrame:
 def append(rows: DataFrame, path: str, column: str, sort: list[str] | None = None, batch: int | None = None) -> None:
     """Adds rows to a table partitioned by day; sorted rows let readers skip row groups.
 
-    With a batch's number they have a folder of their own, so a batch that is run again replaces what it
-    wrote before. A table written so belongs to one stream, whose checkpoint counts the batches.
+    With a batch's number they have a folder of their own under each day, so a batch that is run again
+    replaces what it wrote before. A table written so belongs to one stream, whose checkpoint counts the
+    batches; `removal` deletes from it.
     """
     dated = by_day(rows, column).repartition("date", F.pmod(F.xxhash64("tenant_id"), F.lit(16)))
-    writer = (dated.sortWithinPartitions(*sort) if sort else dated).write.partitionBy("date")
+    ordered = dated.sortWithinPartitions(*sort) if sort else dated
     if batch is None:
-        writer.mode("append").parquet(path)
+        ordered.write.partitionBy("date").mode("append").parquet(path)
     else:
-        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
+        numbered = ordered.withColumn("batch", F.lit(batch).cast("long"))
+        numbered.write.partitionBy("date", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def write_batch(root: str, year: int | None = None, buckets: int = pointers.BUCKETS):

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.removal import OWN, manifest, visible
+
 
 def file_rows(rows: DataFrame, path: str, column: str, number: int, sort: list[str]) -> None:
     """Files a batch's rows under the day of a time column and the batch's number; a batch that is run again replaces what it filed."""
@@ -28,10 +30,12 @@ def filed(spark: SparkSession, path: str, number: int | None = None, low: int |
     """What batches before `number` have filed under the days from `low` to `high` (seconds); None where there is nothing.
 
     Only the folders of these days are listed and read. A batch that is run again doesn't see its own traces.
+    What deletions have hidden is not there (see `sources.removal`).
     """
     day = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc).date().isoformat()
     wanted = [d for d in _days(spark, path) if (low is None or d >= day(low)) and (high is None or d <= day(high))]
     if not wanted:
         return None
     found = spark.read.option("basePath", path).parquet(*(f"{path}/date={d}" for d in wanted))
-    return found if number is None else found.where(F.col("batch") < number)
+    found = visible(found, manifest(spark, path)[1])
+    return found if number is None else found.where((F.col("batch") < number) | (F.col("batch") >= OWN))
