@@ -92,8 +92,8 @@ RECORD_FILTERS = {
 }
 
 
-def filtered(rows: DataFrame, spec: dict, known: dict[str, tuple[str, str]]) -> DataFrame:
-    """Rows that pass all filters of a specification; an unknown name fails all of it."""
+def passes(spec: dict, known: dict[str, tuple[str, str]]) -> Column:
+    """Whether a row passes all filters of a specification; an unknown name is an error."""
     spec = dict(spec)
     tests = []
     if spec.pop("only_disagreements", False):
@@ -105,7 +105,12 @@ def filtered(rows: DataFrame, spec: dict, known: dict[str, tuple[str, str]]) ->
         tests.append(OPERATIONS[operation](F.col(column), value))
     if "waf_score_max" in spec:
         tests.append(F.col("waf_attack_score") >= 1)  # 0 is unscored, not low
-    return rows.where(reduce(lambda a, b: a & b, tests)) if tests else rows
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def filtered(rows: DataFrame, spec: dict, known: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows that pass all filters of a specification; an unknown name fails all of it."""
+    return rows.where(passes(spec, known))
 
 
 def search_events(rows: DataFrame, spec: dict) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions import verdicts as v
 from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, rollups, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from ..sources import payloads
-from ..streaming import pipeline
-from .base import events, joined, map_text, over_events, over_obs, over_records, raw, shared_path, stored, stored_records
+from ..streaming import alerting, pipeline
+from .base import RECORDS_SQL, events, joined, map_text, over_events, over_obs, over_records, raw, shared_path, stored, stored_records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -399,6 +399,38 @@ def _compare(value, comparator, threshold):
     return compare(value, comparator, threshold)
 
 
+# Rules that are replayed over all records, through the states of the continuous alerts: each of one tenant.
+LIVE = {
+    "blocks": ("tenant-1", Condition("count", "gte", 2, 7_200, 86_400, {"kind": "allow_vs_block"}, ("request_host",))),
+    "share": ("tenant-2", Condition("rate", "gt", 0.3, 3_600, 86_400, {"kind": "allow_vs_block"}, ("country",))),
+    "addresses": ("tenant-0", Condition("distinct_ips", "gte", 2, 7_200, 172_800, {"kind": "allow_vs_block"}, ("request_host",))),
+}
+HIT = "disagreement_kind = 'allow_vs_block'"
+
+
+def _ticks(rule_id: str, column: str, value: str, fires: str) -> str:
+    """Values of a rule that fires, at every tick of each group, in SQL."""
+    tenant, rule = LIVE[rule_id]
+    of = f"SELECT unnest(generate_series((window_start // 30 + 1) * 30, (window_start + {rule.window}) // 30 * 30, 30)) AS tick, {column} AS g, client_ip, {HIT} AS hit FROM rec WHERE tenant_id = '{tenant}'"
+    return f"SELECT '{rule_id}' AS rule_id, '{tenant}' AS tenant_id, g, tick, {value} AS value, {rule.cooldown} AS cooldown FROM ({of}) GROUP BY g, tick HAVING count(*) FILTER (WHERE hit) > 0 AND {fires}"
+
+
+FIRST_HITS = "count(*) FILTER (WHERE hit)::DOUBLE"
+FIRING = " UNION ALL ".join(
+    (_ticks("blocks", "request_host", FIRST_HITS, f"{FIRST_HITS} >= 2"), _ticks("share", "client_country", f"{FIRST_HITS} / count(*)", f"{FIRST_HITS} / count(*) > 0.3"), _ticks("addresses", "request_host", (n := "count(DISTINCT client_ip) FILTER (WHERE hit)::DOUBLE"), f"{n} >= 2"))
+)
+ALERTED = f"""WITH RECURSIVE {RECORDS_SQL}, f AS MATERIALIZED (SELECT * EXCLUDE g, CASE WHEN g IS NULL THEN '[null]' ELSE '["' || g || '"]' END AS "group" FROM ({FIRING})),
+alerted AS (SELECT rule_id, "group", min(tick) AS tick FROM f GROUP BY ALL
+    UNION ALL SELECT f.rule_id, f."group", min(f.tick) FROM alerted a JOIN f ON f.rule_id = a.rule_id AND f."group" = a."group" AND f.tick >= a.tick + f.cooldown GROUP BY ALL)
+SELECT rule_id, tenant_id, "group", tick AS fired_at, value, tick + cooldown AS until FROM f JOIN alerted USING (rule_id, "group", tick)"""
+
+
+@query("st_alert_eval", ALERTED)
+def alert_eval(spark, d):
+    """All records sent through the rules' states in the order of their time; what fires every 30 seconds, and rests."""
+    return alerting.replayed_alerts(stored_records(spark, d), LIVE, shared_path(spark, "alerts"), 2)
+
+
 MINUTES = "SELECT tenant_id, feed_id, (received_at // 60) * 60 AS minute, count(*) AS accepted, count(*) FILTER (WHERE http_status = 429) AS rejected, count(*) FILTER (WHERE waf_attack_score > 90) AS drifted, max(received_at - event_time) AS lag, 1 AS credential_ok FROM obs GROUP BY ALL"
 
 
@@ -410,19 +442,19 @@ def _samples(spark, d):
 
 
 query("agg_feed_health_minute", over_obs(MINUTES))(lambda spark, d: health.feed_minutes(_samples(spark, d)))
-query("agg_feed_health", over_obs(f"SELECT tenant_id, feed_id, sum(accepted) AS accepted, sum(rejected) AS rejected, max(lag) AS lag, max(minute) AS last_active, round(sum(accepted) / 3600, 6) AS events_per_s, sum(drifted) / sum(accepted) > 0.01 AS drifting, max(minute) < hi - 900 AS silent FROM ({MINUTES}), (SELECT max(received_at) AS hi FROM obs) WHERE minute > hi - 3600 AND minute <= hi GROUP BY tenant_id, feed_id, hi"))(
-    lambda spark, d: health.feed_health(health.feed_minutes(s := _samples(spark, d)), s.agg(F.max("at")).first()[0] or 0).drop("credential_ok")
+query("agg_feed_health", over_obs(f"SELECT tenant_id, feed_id, sum(accepted) AS accepted, sum(rejected) AS rejected, max(lag) AS lag, max(minute) AS last_active, round(sum(accepted) / 3600, 6) AS events_per_s, sum(drifted) / sum(accepted) > 0.01 AS drifting, max(minute) < hi - 900 AS silent, min(credential_ok) FILTER (WHERE minute > hi - 300) AS credential_ok FROM ({MINUTES}), (SELECT max(received_at) AS hi FROM obs) WHERE minute > hi - 3600 AND minute <= hi GROUP BY tenant_id, feed_id, hi"))(
+    lambda spark, d: health.feed_health(health.feed_minutes(s := _samples(spark, d)), s.agg(F.max("at")).first()[0] or 0)
 )
-query("agg_corr_health", over_obs("SELECT tenant_id, filed, emitted, failures, dropped, CASE WHEN failures > 0 AND emitted = 0 THEN 'failing' WHEN filed = 0 THEN 'idle' WHEN emitted = 0 THEN 'stalled' WHEN dropped / filed > 0.05 THEN 'losing' ELSE 'healthy' END AS status FROM (SELECT tenant_id, count(*) AS filed, count(*) FILTER (WHERE vendor = 'cloudflare') AS emitted, count(*) FILTER (WHERE http_status = 429) AS failures, count(*) FILTER (WHERE vendor = 'f5' AND http_status = 403) AS dropped FROM obs, (SELECT (max(received_at) // 60) * 60 AS hi FROM obs) WHERE (received_at // 60) * 60 > hi - 900 GROUP BY ALL)"))(
-    lambda spark, d: health.correlation_health(m := _corr_minutes(spark, d), m.agg(F.max("minute")).first()[0] or 0).drop("due", "lag")
+query("agg_corr_health", over_obs("SELECT tenant_id, filed, emitted, failures, dropped, CASE WHEN failures > 0 AND emitted = 0 THEN 'failing' WHEN filed = 0 THEN 'idle' WHEN emitted = 0 THEN 'stalled' WHEN dropped / filed > 0.05 THEN 'losing' WHEN due >= 8192 AND lag > 100 THEN 'behind' ELSE 'healthy' END AS status, due, lag FROM (SELECT tenant_id, count(*) AS filed, count(*) FILTER (WHERE vendor = 'cloudflare') AS emitted, count(*) FILTER (WHERE http_status = 429) AS failures, count(*) FILTER (WHERE vendor = 'f5' AND rule_id = 'policy-3') AS dropped, max(CASE WHEN vendor = 'cloudflare' THEN 8192 ELSE 0 END) AS due, max(received_at - event_time) AS lag FROM obs, (SELECT (max(received_at) // 60) * 60 AS hi FROM obs) WHERE (received_at // 60) * 60 > hi - 900 GROUP BY ALL)"))(
+    lambda spark, d: health.correlation_health(m := _corr_minutes(spark, d), m.agg(F.max("minute")).first()[0] or 0, 200)
 )
 
 
 def _corr_minutes(spark, d):
     one = lambda test: F.sum(F.when(F.expr(test), 1).otherwise(0))
     return raw(spark, d).groupBy("tenant_id", t.bucket_start(F.col("received_at"), 60).alias("minute")).agg(
-        F.count("*").alias("filed"), one("vendor = 'cloudflare'").alias("emitted"), one("http_status = 429").alias("failures"), one("vendor = 'f5' AND http_status = 403").alias("dropped"),
-        F.max(F.lit(0)).alias("due"), F.max(F.col("received_at") - F.col("event_time")).alias("lag"),
+        F.count("*").alias("filed"), one("vendor = 'cloudflare'").alias("emitted"), one("http_status = 429").alias("failures"), one("vendor = 'f5' AND rule_id = 'policy-3'").alias("dropped"),
+        F.max(F.when(F.col("vendor") == "cloudflare", 8_192).otherwise(0)).alias("due"), F.max(F.col("received_at") - F.col("event_time")).alias("lag"),
     )
 
 
@@ -433,6 +465,60 @@ query("ops_rate_rules", over_obs("SELECT feed_id, count(*) AS accepted, max(rece
 query("st_quota", over_obs("SELECT tenant_id, 'day' AS span, (received_at // 86400) * 86400 AS at, sum(length(user_agent)) AS used FROM obs GROUP BY ALL HAVING sum(length(user_agent)) > 2000"))(
     lambda spark, d: health.quota(raw(spark, d).withColumn("bytes", F.length("user_agent")), 1_000, 2_000)
 )
+QUOTAS = {"second": 1, "day": 2_000}
+
+
+@query("st_quota_live", over_obs("SELECT * FROM (SELECT tenant_id, 'day' AS span, (received_at // 86400) * 86400 AS at, sum(length(user_agent)) AS used FROM obs GROUP BY ALL HAVING sum(length(user_agent)) > 2000 UNION ALL SELECT tenant_id, 'second', received_at, count(*) FROM obs GROUP BY ALL HAVING count(*) > 1)"))
+def quota_live(spark, d):
+    """All observations sent through the streaming counters of both quotas, in the order of their receipt."""
+    folder = shared_path(spark, "quota")
+    used = raw(spark, d).select("tenant_id", "received_at", F.length("user_agent").alias("bytes"))
+    used.repartitionByRange(4, "received_at").sortWithinPartitions("received_at").write.parquet(f"{folder}/in")
+    for span, limit in QUOTAS.items():
+        stream = spark.readStream.schema(used.schema).parquet(f"{folder}/in")
+        pipeline.start(pipeline.over_quota(stream, span, limit), folder, f"{folder}/state-{span}", pipeline.quota_batch(f"{folder}/over/of={span}"), mode="update").awaitTermination()
+    return pipeline.overruns(spark, f"{folder}/over")
+
+
+@query("st_drift_once", over_obs("SELECT tenant_id, feed_id, (event_time // 600) * 600 AS window_start FROM obs GROUP BY ALL HAVING count(*) FILTER (WHERE matched_rule <> '') > 0.01 * count(*)"))
+def drift_once(spark, d):
+    """All observations sent through the warnings of drift in four batches: each window warns in the first batch that shows it."""
+    folder = shared_path(spark, "drift")
+    rows = raw(spark, d).select("tenant_id", "feed_id", "event_time", "received_at", F.filter(F.array("matched_rule"), lambda x: x != "").alias("unknown_fields"))
+    for k, part in enumerate((r := rows.approxQuantile("received_at", [0.25, 0.5, 0.75], 0.001)) + [None] if rows.limit(1).count() else []):
+        own = rows.where((F.lit(True) if k == 0 else F.col("received_at") > r[k - 1]) & (F.lit(True) if part is None else F.col("received_at") <= part))
+        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    pipeline.start(pipeline.drifting(stream), folder, f"{folder}/state", pipeline.warn_batch(f"{folder}/warnings"), mode="update").awaitTermination()
+    return spark.read.parquet(f"{folder}/warnings").select("tenant_id", "feed_id", "window_start")
+
+
+def _delays(spark, d):
+    """Observations with delays from 0 to 96 seconds, and the fields that their feed doesn't know."""
+    rows = raw(spark, d).withColumn("event_time", F.col("received_at") - F.col("received_at") % 97)
+    return rows.withColumn("unknown_fields", F.filter(F.array("matched_rule"), lambda x: x != ""))
+
+
+@query("ops_rate_states", over_obs("SELECT tenant_id, feed_id, count(*) AS accepted, count(*) FILTER (WHERE http_status = 429) AS rejected, count(*) FILTER (WHERE matched_rule <> '') AS drifted, max(received_at) AS last, max(received_at) < hi - 900 AS silent, count(*) FILTER (WHERE http_status = 429) / (count(*) + count(*) FILTER (WHERE http_status = 429)) > 0.01 AS rejecting, count(*) FILTER (WHERE matched_rule <> '') > 0.01 * count(*) AS drifting, true AS late, true AS near FROM obs, (SELECT max(received_at) AS hi FROM obs) GROUP BY tenant_id, feed_id, hi"))
+def rate_states(spark, d):
+    """Rates from states of all minutes. `near`: the delay's 95 % quantile lies between the exact ones at 93 and 97 %."""
+    rows = _delays(spark, d)
+    now = rows.agg(F.max("received_at")).first()[0] or 0
+    out = health.ingest_rates(health.ingest_minutes(rows, rows.where("http_status = 429")), now, now + 1)
+    exact = rows.groupBy("tenant_id", "feed_id").agg(F.expr("percentile_disc(0.93) WITHIN GROUP (ORDER BY received_at - event_time)").alias("lo"), F.expr("percentile_disc(0.97) WITHIN GROUP (ORDER BY received_at - event_time)").alias("hi"))
+    return out.join(exact, ["tenant_id", "feed_id"]).withColumn("near", F.col("lag_p95").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "lag_p95")
+
+
+@query("ops_request_states", over_obs("SELECT tenant_id, count(*) AS requests, count(*) FILTER (WHERE http_status + 100 >= 500) AS errors, count(*) FILTER (WHERE http_status + 100 >= 500) / count(*) > 0.02 AS failing, true AS slow, true AS near FROM obs GROUP BY tenant_id"))
+def request_states(spark, d):
+    """The same of requests: observations stand for requests that took up to 3.88 seconds, those of status 403 and above failed."""
+    rows = raw(spark, d).select("tenant_id", F.col("received_at").alias("at"), (F.col("http_status") + 100).alias("status"), (F.col("received_at") % 98 / 25.0).alias("seconds"))
+    now = rows.agg(F.max("at")).first()[0] or 0
+    out = health.request_rates(health.request_minutes(rows), now, now + 1)
+    exact = rows.groupBy("tenant_id").agg(F.expr("percentile_disc(0.93) WITHIN GROUP (ORDER BY seconds)").alias("lo"), F.expr("percentile_disc(0.97) WITHIN GROUP (ORDER BY seconds)").alias("hi"))
+    return out.join(exact, "tenant_id").withColumn("near", F.col("took_p95").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "took_p95")
+
+
 PEOPLE = "SELECT 'tenant-' || (c_custkey % 3) AS tenant_id, lower(c_mktsegment) || (c_nationkey) || '@example.com' AS email, c_acctbal FROM customer"
 
 

@@ -10,7 +10,9 @@ from pyspark.sql.types import StructType
 from ..operators import correlate, pointers, rollups
 from ..operators.alerts import Condition, measure, with_cooldown
 from ..operators.components import cut
+from ..operators.health import DRIFT
 from ..operators.latest import latest
+from .alerting import Rules, file_moves
 from .filed import file_rows, filed
 from .windows import GRACE, LATE, closing
 
@@ -45,6 +47,59 @@ def health_minutes(events: DataFrame) -> DataFrame:
     return out.select("tenant_id", "feed_id", F.unix_seconds("w.start").alias("minute"), "accepted", "lag")
 
 
+def over_quota(events: DataFrame, span: str, limit: int, size: str = "bytes") -> DataFrame:
+    """A stream's seconds or days (`span`) in which a tenant is over its quota of events or bytes, as `health.quota` has them; for update mode.
+
+    Counters are added up before they are shuffled and live until the watermark passes them. Nothing waits for
+    them: what comes while they are lost is taken.
+    """
+    rows = events.withColumn("ts", F.timestamp_seconds("received_at")).withWatermark("ts", LATENESS)
+    used = F.count("*") if span == "second" else F.sum(size)
+    counted = rows.groupBy("tenant_id", F.window("ts", f"1 {span}").alias("w")).agg(used.alias("used")).where(F.col("used") > limit)
+    return counted.select("tenant_id", F.lit(span).alias("span"), F.unix_seconds("w.start").alias("at"), "used")
+
+
+def quota_batch(root: str):
+    """For foreachBatch over `over_quota`: files what is over in a batch; see `overruns`."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return run
+
+
+def overruns(spark: SparkSession, root: str) -> DataFrame:
+    """The last count of each second or day that went over a quota: counts only grow."""
+    return spark.read.parquet(root).groupBy("tenant_id", "span", "at").agg(F.max("used").alias("used"))
+
+
+def drifting(events: DataFrame, unknown: str = "unknown_fields", width: str = "10 minutes", most: int = 50) -> DataFrame:
+    """A stream's windows of a feed in which over one event of a hundred has fields that the schema doesn't know; for update mode.
+
+    Of the fields the `most` frequent are named; what is held of them is a sketch of bounded size.
+    """
+    rows = timed(events).withWatermark("ts", LATENESS).select("tenant_id", "feed_id", "ts", F.posexplode_outer(unknown).alias("k", "field"))
+    found = rows.groupBy("tenant_id", "feed_id", F.window("ts", width).alias("w")).agg(
+        F.count(F.when(F.coalesce("k", F.lit(0)) == 0, 1)).alias("events"), F.count(F.when(F.col("k") == 0, 1)).alias("drifted"), F.expr(f"approx_top_k(field, {most}, {20 * most})").alias("top")
+    )
+    fields = F.array_sort(F.filter(F.transform("top", lambda x: x["item"]), lambda x: x.isNotNull()))
+    return found.where(F.col("drifted") > DRIFT * F.col("events")).select("tenant_id", "feed_id", F.unix_seconds("w.start").alias("window_start"), "events", "drifted", fields.alias("fields"))
+
+
+def warn_batch(path: str):
+    """For foreachBatch over `drifting`: files a window's warning once, in the batch that first shows it. Of earlier ones only the days in question are read."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = cut(batch)
+        low, high = batch.agg(F.min("window_start"), F.max("window_start")).first()
+        warned = None if low is None else filed(batch.sparkSession, path, number, low, high)
+        key = ["tenant_id", "feed_id", "window_start"]
+        new = batch if warned is None else batch.join(warned.select(*key), key, "left_anti")
+        file_rows(new, path, "window_start", number, key)
+
+    return run
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -60,14 +115,15 @@ def before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     return None if found is None else found.where(F.col("batch") < number).drop("batch", "date")
 
 
-def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW, ttl: int = TTL, buckets: int | None = pointers.BUCKETS):
+def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW, ttl: int = TTL, buckets: int | None = pointers.BUCKETS, rules: Rules | None = None):
     """For foreachBatch over `closing`: files a batch's events, and emits the records of the groups that it closes.
 
     `schema` is that of the stream's events. They are filed by day, and once more, narrowly, under each
     request id they carry. Records are built from the closed groups and, over ids, whatever stands for
     the same requests within `ttl` seconds; no other stored event is read. An identifier that was claimed
     first keeps its record: what comes later is the record's next version, and a group to which nothing
-    was added gives none. With `buckets` the look-ups' pointers to events and records are written along.
+    was added gives none. With `buckets` the look-ups' pointers to events and records are written along,
+    with `rules` what the records of the batch and those they replace mean to alerts (see `alerting`).
     All that a batch writes is under its number and replaces what the batch wrote before, if it is run again.
     """
 
@@ -83,7 +139,7 @@ def settle_batch(root: str, schema: StructType, window: int = correlate.WINDOW,
         low, high = closed.agg(F.min("event_time"), F.max("event_time")).first()
         fresh_pointers = pointers.event_pointers(fresh)
         if low is not None:
-            emitted = _emit(batch.sparkSession, root, number, closed, low, high, window, ttl)
+            emitted = _emit(batch.sparkSession, root, number, closed, low, high, window, ttl, rules)
             fresh_pointers = fresh_pointers.unionByName(pointers.record_pointers(emitted))
         if buckets:
             pointers.write_pointers(fresh_pointers, f"{root}/pointers", number, buckets)
@@ -113,7 +169,7 @@ EVENT = ["tenant_id", "event_id"]
 RECORD = ["tenant_id", "correlation_id"]
 
 
-def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: int, high: int, window: int, ttl: int) -> DataFrame:
+def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: int, high: int, window: int, ttl: int, rules: Rules | None) -> DataFrame:
     near = filed(spark, f"{root}/events", number + 1, low, high).where(F.col("event_time").between(low, high))
     due = cut(near.join(closed.select(*EVENT, "shape", "window_no"), EVENT))
     own = due.select(F.explode(_nodes()).alias("node")).where("node IS NOT NULL")
@@ -150,6 +206,12 @@ def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: i
         merged = correlate.merge_amended(old, fresh)
         rest = [c for c in fresh.columns if c not in merged.columns]
         fresh = cut(merged.join(fresh.select(*RECORD, *rest), RECORD))
+    if rules:
+        changes = fresh.withColumn("sign", F.lit(1))
+        if stored is not None:
+            replaced = old.join(fresh.select(*RECORD), RECORD, "left_semi").withColumn("sign", F.lit(-1))
+            changes = changes.unionByName(replaced, allowMissingColumns=True)
+        file_moves(changes, rules, root, number)
     file_rows(fresh, f"{root}/records", "window_start", number, ["tenant_id", "window_start"])
     claimed = fresh.select("tenant_id", F.explode("event_ids").alias("identifier"), "correlation_id", F.lit(number).cast("long").alias("claimed_at"), "first_event_time")
     file_rows(claimed, f"{root}/claims", "first_event_time", number, ["identifier", "tenant_id"])
@@ -203,14 +265,14 @@ def alert_batch(root: str, rules: dict[str, Condition]):
     return run
 
 
-def start(events: DataFrame, root: str, checkpoint: str, batch, once: bool = True) -> StreamingQuery:
+def start(events: DataFrame, root: str, checkpoint: str, batch, once: bool = True, mode: str = "append") -> StreamingQuery:
     """Runs a foreachBatch function over a stream; `once` works off what is there and ends."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE, ttl: int = TTL, replay: bool = False, every: str = "10 seconds", buckets: int | None = pointers.BUCKETS) -> StreamingQuery:
+def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int = correlate.WINDOW, grace: int = GRACE, lateness: int = LATE, ttl: int = TTL, replay: bool = False, every: str = "10 seconds", buckets: int | None = pointers.BUCKETS, rules: Rules | None = None) -> StreamingQuery:
     """Continuous correlation of a stream of events into `root`/records.
 
     A window closes `grace` seconds after its end by the clock, whether or not anything comes. With
@@ -220,7 +282,7 @@ def correlate_stream(events: DataFrame, root: str, checkpoint: str, window: int
     cut(spark.range(1))  # foreachBatch cuts its lineage in the checkpoint folder
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     found = closing(events, window, grace, lateness, replay)
-    writer = found.writeStream.foreachBatch(settle_batch(root, events.schema, window, ttl, buckets)).option("checkpointLocation", checkpoint)
+    writer = found.writeStream.foreachBatch(settle_batch(root, events.schema, window, ttl, buckets, rules)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if replay else writer.trigger(processingTime=every)).start()
 
 
@@ -244,4 +306,4 @@ def replayed(events: DataFrame, folder: str, parts: int = 3, window: int = corre
     return spark.read.parquet(f"{folder}/out/records")
 
 
-__all__ = ["alert_batch", "closing", "correlate_stream", "deduplicated", "health_minutes", "late_dropped", "replayed", "rolled_up", "rollup_batch", "settle_batch", "start", "volume_rollup"]
+__all__ = ["alert_batch", "closing", "correlate_stream", "deduplicated", "drifting", "health_minutes", "late_dropped", "over_quota", "overruns", "quota_batch", "replayed", "rolled_up", "rollup_batch", "settle_batch", "start", "volume_rollup", "warn_batch"]

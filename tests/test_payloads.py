@@ -18,7 +18,7 @@ from crosslight.operators.latest import latest
 from crosslight.plans.base import events
 from crosslight.schemas import ENVELOPE
 from crosslight.sources import payloads, pull, sinks
-from crosslight.streaming import pipeline
+from crosslight.streaming import alerting, pipeline
 from crosslight.streaming.filed import filed
 from crosslight.streaming.windows import paired
 
@@ -201,11 +201,18 @@ def test_late_events_are_counted_and_forgotten_windows_stay_so(spark, day, tmp_p
     for k, r in enumerate(sorted(rows.collect(), key=lambda r: r.received_at)):
         spark.createDataFrame([r], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    pipeline.correlate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", replay=True).awaitTermination()
+    rules = {"all": (rows.first().tenant_id, Condition("count", "gte", 1, 86_400, 86_400)), "two": (rows.first().tenant_id, Condition("count", "gte", 1, 86_400, 86_400, {"min_vendors": 2}))}
+    pipeline.correlate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", replay=True, rules=rules).awaitTermination()
     stored = latest(spark.read.parquet(f"{tmp_path}/out/records"), ["tenant_id", "correlation_id"], "version")
     found = sorted((sorted(r.event_ids), r.version) for r in stored.collect())
     assert found == [(["cloudflare-1-10000", "f5-1-10001"], 1), (["cloudflare-2-10100", "f5-2-10150"], 2), (["cloudflare-3-11000", "f5-3-11001"], 1)]
     assert [r.dropped for r in pipeline.late_dropped(spark, f"{tmp_path}/out").collect()] == [1]
+    # Alerts count the record that was amended once, in its last version, and rest on what is stored.
+    moved = spark.read.schema(alerting.MOVE).parquet(f"{tmp_path}/out/moves")
+    assert dict(moved.groupBy("rule_id").agg(F.sum("hits")).collect()) == {"all": 3, "two": 3} and stored.sparkSession.read.parquet(f"{tmp_path}/out/records").count() == 4
+    fired = spark.createDataFrame([("two", rows.first().tenant_id, "[]", 10_120, 2.0, 96_520)], alerting.ALERT)
+    (alert,) = alerting.with_evidence(fired, f"{tmp_path}/out", rules).collect()
+    assert alert.evidence == sorted(r.correlation_id for r in stored.collect() if r.window_start < 10_120)
 
 
 def test_a_timer_closes_a_window_without_new_input(spark, day, tmp_path):
