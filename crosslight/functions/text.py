@@ -254,3 +254,28 @@ def transcript(raw: Column) -> Column:
     names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     first_of = F.transform(names, lambda n: F.struct(n.alias("key"), F.filter(pairs, lambda p: p["key"] == n)[0]["value"].alias("value")))
     return F.struct(F.regexp_extract(first, r"^(\S+)", 1).alias("method"), path.alias("path"), query.alias("query"), F.map_from_entries(first_of).alias("headers"), body.alias("body"))
+
+
+def captured_fields(raw: Column, host: Column, method: Column, path: Column, query: Column, user_agent: Column, client_ip: Column) -> Column:
+    """What a filter expression can ask of a captured request: a map of its nine fields, its body, and whether that may be cut.
+
+    The event's own columns come first; headers come from the transcript, and so does the user agent where the
+    event has none. A transcript is the beginning of a request and doesn't say how much is missing, so every
+    body counts as cut. Without an address `ip.src` is not there; all else is the empty text if unknown.
+    """
+    parsed = transcript(F.replace(F.coalesce(raw, F.lit("")), F.lit("%22"), F.lit('"')))
+    known = lambda c: F.coalesce(c, F.lit(""))
+    header = lambda n: known(F.try_element_at(parsed["headers"], F.lit(n)))
+    fields = {
+        "http.host": known(host),
+        "http.request.method": known(method),
+        "http.request.uri.path": known(path),
+        "http.request.uri.query": known(query),
+        "http.request.uri": F.when(known(query) == "", known(path)).otherwise(F.concat(known(path), F.lit("?"), known(query))),
+        "http.user_agent": F.when(known(user_agent) == "", header("user-agent")).otherwise(user_agent),
+        "http.referer": header("referer"),
+        "http.cookie": header("cookie"),
+        "ip.src": F.when(client_ip != "", client_ip),
+    }
+    found = F.map_filter(F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    return F.struct(found.alias("fields"), parsed["body"].alias("body"), F.lit(True).alias("truncated"))

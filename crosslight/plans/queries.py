@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import verdicts as v
-from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, rollups, tuning, upkeep
+from ..operators import alerts, correlate, filters, health, latest, lookups, panels, pointers, redaction, rollups, tuning, upkeep
 from ..operators.alerts import Condition, measure, preview
 from ..sources import payloads
 from ..streaming import alerting, pipeline
@@ -706,6 +706,30 @@ query("fn_header_extract", over_obs("SELECT event_id, ingest_version, vendor_req
 query("fn_redact", over_obs("SELECT event_id, ingest_version, regexp_replace(user_agent, 'probe[0-9]', '***') AS ua, '***' AS extra FROM obs"))(
     lambda spark, d: raw(spark, d).select("event_id", "ingest_version", t.redact(F.col("user_agent"), "probe[0-9]").alias("ua"), t.redact_extras(F.create_map(F.lit("k"), F.concat(F.lit("x"), "user_agent")), [F.col("user_agent")])["k"].alias("extra"))
 )
+@query("fn_redact_policy", over_obs("""SELECT event_id, ingest_version, CASE tenant_id WHEN 'tenant-0' THEN '[REDACTED]' ELSE user_agent END AS ua, CASE tenant_id WHEN 'tenant-1' THEN '[REDACTED]' ELSE request_path END AS path, CASE tenant_id WHEN 'tenant-1' THEN NULL ELSE client_ip END AS ip,
+    CASE tenant_id WHEN 'tenant-0' THEN '[REDACTED]' ELSE user_agent END AS e_ua, CASE tenant_id WHEN 'tenant-1' THEN '[REDACTED]' ELSE request_method || ' ' || request_path END AS e_line, CASE tenant_id WHEN 'tenant-1' THEN '[REDACTED]' ELSE ja4 END AS e_secret FROM obs"""))
+def redact_policy(spark, d):
+    """Each tenant's policy over all its observations, the vendor's own fields included."""
+    line = F.concat_ws(" ", "request_method", "request_path")
+    rows = raw(spark, d).withColumn("raw_extra", F.create_map(F.lit("ClientRequestUserAgent"), F.col("user_agent"), F.lit("line"), line, F.lit("Secret"), F.col("ja4")))
+    policy = F.when(F.col("tenant_id") == "tenant-0", F.array(F.lit("user_agent"))).when(F.col("tenant_id") == "tenant-1", F.array(F.lit(" Request_Path "), F.lit("client_ip"), F.lit("secret")))
+    e = F.col("raw_extra")
+    return redaction.redacted(rows, policy).select("event_id", "ingest_version", F.col("user_agent").alias("ua"), F.col("request_path").alias("path"), F.col("client_ip").alias("ip"), e["ClientRequestUserAgent"].alias("e_ua"), e["line"].alias("e_line"), e["Secret"].alias("e_secret"))
+
+
+CAPTURED = {"http.host": "coalesce(request_host, '')", "http.request.method": "request_method", "http.request.uri.path": "request_path", "http.request.uri.query": "CASE WHEN http_status = 200 THEN '' ELSE 'a=1' END", "http.request.uri": "request_path || CASE WHEN http_status = 200 THEN '' ELSE '?a=1' END", "http.user_agent": "CASE WHEN vendor = 'f5' THEN 'seen ' || event_id ELSE user_agent END", "http.referer": "'https://' || event_id", "http.cookie": "'s=\"1\"'", "ip.src": "client_ip"}
+
+
+@query("fn_captured_fields", over_obs("SELECT event_id, ingest_version, " + ", ".join(f"{v} AS {k.replace('.', '_')}" for k, v in CAPTURED.items()) + ", 'x=' || verdict AS body, true AS truncated FROM obs"))
+def captured(spark, d):
+    """Requests as an appliance captures them: line breaks as two characters, quotes escaped; f5's events have no user agent of their own."""
+    text = F.concat(F.lit("GET /other HTTP/1.1\\r\\nUser-Agent: seen "), "event_id", F.lit("\\r\\nREFERER: https://"), "event_id", F.lit("\\r\\ncookie: s=%221%22\\r\\nCookie: again\\r\\n\\r\\nx="), "verdict")
+    own = F.when(F.col("vendor") != "f5", F.col("user_agent"))
+    found = t.captured_fields(text, F.col("request_host"), F.col("request_method"), F.col("request_path"), F.expr(CAPTURED["http.request.uri.query"]), own, F.col("client_ip"))
+    rows = raw(spark, d).withColumn("c", found)
+    return rows.select("event_id", "ingest_version", *(F.try_element_at("c.fields", F.lit(k)).alias(k.replace(".", "_")) for k in CAPTURED), "c.body", "c.truncated")
+
+
 query("fn_extra_unknown", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'extra,other' ELSE 'other' END AS names FROM events")(
     lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array_join(t.extra_fields(F.when(F.col("event_id") % 2 == 0, '{"k":1,"extra":"a","other":2}').otherwise('{"k":1,"other":2}'), ["k"])[1], ",").alias("names"))
 )

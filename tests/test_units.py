@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crosslight.functions import text as t
 from crosslight.functions import verdicts as v
-from crosslight.operators import alerts, filters, health, latest, lookups, panels, upkeep
+from crosslight.operators import alerts, filters, health, latest, lookups, panels, redaction, upkeep
 
 
 def values(spark, rows, *columns):
@@ -223,3 +223,36 @@ def test_a_chain_is_verified_in_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_redaction_of_odd_rows(spark):
+    """No policy, no extras, empty texts, and a masked value inside a vendor's own field."""
+    rows = [("a", "UA", "/p", "1.2.3.4", {"x": "GET /p", "y": None, "z": ""}, ["request_path"]), ("b", "", None, None, None, ["user_agent", "client_ip"]), ("c", "UA", "/p", "1.2.3.4", {"x": "/p"}, None), ("d", "UA", "/p", "1.2.3.4", {"x": "1", "Y": "2"}, ["RAW_EXTRA"])]
+    frame = spark.createDataFrame(rows, "id string, user_agent string, request_path string, client_ip string, raw_extra map<string,string>, policy array<string>")
+    found = {r.id: r for r in redaction.redacted(frame, F.col("policy")).collect()}
+    assert found["a"].request_path == redaction.MASK and found["a"].raw_extra == {"x": redaction.MASK, "y": None, "z": ""} and found["a"].user_agent == "UA"
+    assert (found["b"].user_agent, found["b"].client_ip, found["b"].raw_extra) == ("", None, None)
+    assert found["c"].raw_extra == {"x": "/p"} and found["c"].client_ip == "1.2.3.4"
+    assert found["d"].raw_extra == {"x": redaction.MASK, "Y": redaction.MASK} and found["d"].request_path == "/p"
+    assert redaction.redacted(frame.select("id", "policy"), F.col("policy")).columns == ["id", "policy"]
+
+
+def test_captured_requests_without_head_or_body(spark):
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, "GET / HTTP/1.1\\r\\nCookie: a"), (4, "\\n\\nx")], "k int, raw string")
+    none = F.lit(None).cast("string")
+    found = {r.k: r.c for r in frame.select("k", t.captured_fields(F.col("raw"), none, none, none, none, none, none).alias("c")).collect()}
+    assert all(len(c.fields) == 8 and c.truncated for c in found.values())
+    assert found[3].fields["http.cookie"] == "a" and [found[k].body for k in (1, 2, 3, 4)] == ["", "", "", "x"]
+
+
+def test_rates_of_silent_and_rejecting_feeds(spark):
+    """A feed of rejections alone has no delay; a feed of an hour ago is silent; requests count by tenant."""
+    ok = spark.createDataFrame([("t", "a", 3_600 + k, 3_500, ["x"] if k == 0 else []) for k in range(50)] + [("t", "old", 1_000, 990, [])], "tenant_id string, feed_id string, received_at long, event_time long, unknown_fields array<string>")
+    lost = spark.createDataFrame([("t", "b", 3_600)], "tenant_id string, feed_id string, received_at long")
+    found = {r.feed_id: r for r in health.ingest_rates(health.ingest_minutes(ok, lost), 3_700).collect()}
+    assert (found["b"].lag_p95, found["b"].rejecting, found["b"].late, found["b"].silent) == (None, True, None, None)
+    assert found["a"].drifting and found["a"].late and not found["a"].silent and 145 <= found["a"].lag_p95 <= 149
+    assert found["old"].silent and not found["old"].late
+    asked = spark.createDataFrame([("t", 100, 503 if k < 3 else 200, 5.0 if k < 10 else 0.1) for k in range(100)] + [("u", 100, 200, 0.1)], "tenant_id string, at long, status int, seconds double")
+    rates = {r.tenant_id: (r.failing, r.slow) for r in health.request_rates(health.request_minutes(asked), 120).collect()}
+    assert rates == {"t": (True, True), "u": (False, False)}
