@@ -144,3 +144,16 @@ def test_redelivery_changes_nothing(spark):
     rows = events(spark, str(DATA))
     once = correlate.records(rows).select("correlation_id", "event_ids")
     assert once.count() == once.select("correlation_id").distinct().count()
+
+
+def test_every_exact_record_is_amended(spark):
+    """The query amends all records of the exact tier, with or without datadome's events, by the operator's own version."""
+    from crosslight.plans.base import stored_records
+    from crosslight.plans.queries import QUERIES
+
+    from .compare import DATA
+
+    full = {r.correlation_id: (",".join(r.vendors), ",".join(sorted(r.event_ids))) for r in stored_records(spark, str(DATA)).where("join_tier = 1").collect()}
+    found = QUERIES["agg_merge_amend"](spark, str(DATA)).collect()
+    assert {r.correlation_id: (r.vendors, r.event_ids) for r in found} == full and len(found) == len(full)
+    assert {r.version for r in found} == {2} and any("datadome" not in r.vendors for r in found)
