@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .latest import latest
@@ -106,3 +106,23 @@ def records_of_identifier(pointers: DataFrame, records: DataFrame, tenant: str,
     ids = pointed(pointers, tenant, "record", [r["event_id"] for r in events], first, last, buckets).select("correlation_id").distinct().collect() if events else []
     return _newest(records, tenant, [r[0] for r in ids], first, last)
 
+
+def records_of_identifier_by_tenant(pointers: DataFrame, records: DataFrame, tenants: DataFrame, column: str, value: str, low: int, high: int, slack: int = SLACK, buckets: int = BUCKETS) -> DataFrame:
+    """`records_of_identifier` for every tenant of a table (tenant_id) at once, with at most FOLLOWED events and a span for each."""
+    if column not in IDENTIFIERS:
+        raise ValueError(f"events can't be found by {column}")
+    own = tenants.select("tenant_id").distinct()
+    wanted = (F.col("kind") == column) & _days(low, high - 1) & (F.col("bucket") == bucket_of(F.lit(value), buckets)) & (F.col("value") == value) & F.col("at").between(low, high - 1)
+    events = pointers.where(wanted).join(own, "tenant_id", "left_semi").groupBy("tenant_id", "event_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("tenant_id").orderBy("event_id")
+    events = events.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FOLLOWED)
+    spans = events.groupBy("tenant_id").agg((F.min("first") - slack).alias("first"), (F.max("last") + slack).alias("last"))
+    followed = events.select("tenant_id", F.col("event_id").alias("value"), bucket_of(F.col("event_id"), buckets).alias("bucket")).join(spans, "tenant_id")
+    near = _days(low - slack, high - 1 + slack)
+    there = pointers.where((F.col("kind") == "record") & near).select("tenant_id", "value", "bucket", "correlation_id", "at")
+    ids = there.join(followed, ["tenant_id", "value", "bucket"]).where(F.col("at").between(F.col("first"), F.col("last"))).select("tenant_id", "correlation_id", "first", "last").distinct()
+    if "date" in records.columns:
+        records = records.where(near)
+    names = records.columns
+    found = records.join(ids, ["tenant_id", "correlation_id"]).where(F.col("window_start").between(F.col("first"), F.col("last"))).select(*names)
+    return latest(found, ["tenant_id", "correlation_id"], "version")

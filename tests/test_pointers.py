@@ -55,6 +55,19 @@ def test_records_by_an_identifier(spark, table):
         pointers.records_of_identifier(index, records, "a", "verdict", "blocked", BASE, BASE + 1, buckets=8)
 
 
+def test_records_by_an_identifier_for_many_tenants(spark, table):
+    """Every tenant asked for has what its own look-up finds, no other one has any; limits hold for each tenant."""
+    index, _, records, _ = table
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "tenant_id string")
+    ids = lambda rows: sorted((r.tenant_id, r.correlation_id, r.version) for r in rows.collect())
+    for column, value, low, high in (("vendor_request_id", "r3", BASE, BASE + 259_200), ("ja4", "j1", BASE + 50_000, BASE + 120_000), ("ja4", "none", BASE, BASE + 259_200)):
+        one = [ids(pointers.records_of_identifier(index, records, t, column, value, low, high, buckets=8)) for t in ("a", "b")]
+        assert ids(pointers.records_of_identifier_by_tenant(index, records, asked, column, value, low, high, buckets=8)) == sorted(one[0] + one[1])
+        assert ids(pointers.records_of_identifier_by_tenant(index, records, asked.where("tenant_id = 'b'"), column, value, low, high, buckets=8)) == one[1]
+    with pytest.raises(ValueError):
+        pointers.records_of_identifier_by_tenant(index, records, asked, "vendor", "x", 0, 1)
+
+
 def test_a_look_up_opens_one_bucket_of_its_days(spark, table):
     index, _, _, path = table
     all_files = len(index.inputFiles())
@@ -78,3 +91,16 @@ def test_a_batch_that_is_written_again_replaces_itself(spark, table):
     assert spark.read.parquet(path).count() == n
     pointers.write_pointers(pointers.event_pointers(events.limit(3)), path, 1, 8)
     assert spark.read.parquet(path).where("batch = 1").count() > 0
+
+
+def test_the_query_resolves_an_identifier_for_all_tenants(spark):
+    from crosslight.plans.base import events, stored_records
+    from crosslight.plans.queries import QUERIES
+
+    from .compare import DATA
+
+    with_it = events(spark, str(DATA)).where("ja4 = 't13d7'").select("tenant_id", "event_id")
+    want = stored_records(spark, str(DATA)).select("tenant_id", "correlation_id", F.explode("event_ids").alias("event_id")).join(with_it, ["tenant_id", "event_id"])
+    want = {(r.tenant_id, r.correlation_id) for r in want.collect()}
+    assert len({t for t, _ in want}) == 3
+    assert sorted(r.correlation_id for r in QUERIES["jn_ident_resolve"](spark, str(DATA)).collect()) == sorted(c for _, c in want)
