@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import small_batches, table, tidied
 
 # The white space, and the steps of a tokenizer's file that this module carries out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,8 +112,8 @@ def block_of(docs: DataFrame, text_col: str) -> F.Column:
 def word_blocks(docs: DataFrame, text_col: str, special: tuple[str, ...]) -> DataFrame:
     """Distinct words of each block: word, block."""
 
+    @tidied
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
         seen: dict[int, set[str]] = {}
         for batch in batches:
             for block, texts in batch.groupby("block")["text"]:
@@ -139,7 +139,6 @@ def encode_words(pairs: DataFrame, tokenizer_path: str, special: dict[str, int])
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would each keep memory
         from tokenizers import Tokenizer, pre_tokenizers
 
-        release()
         whole = Tokenizer.from_file(tokenizer_path)
         plain = Tokenizer(whole.model)  # words are normalised and split already
         plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -155,11 +154,13 @@ def encode_words(pairs: DataFrame, tokenizer_path: str, special: dict[str, int])
                     known[word] = np.array([special[word]], "<u4").tobytes()
             yield batch, known
 
+    @tidied
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, known in coded(batches):
             rows = [_pack(block, known, group.tolist()) for block, group in batch.groupby("block")["word"]]
             yield pd.DataFrame(rows, columns=["block", "words", "ids", "n"])
 
+    @tidied
     def used(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
         for batch, known in coded(batches):
@@ -210,6 +211,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     apart = tuple(special)
     coded, used = encode_words(word_blocks(docs, text_col, apart), tokenizer_path, special)
 
+    @tidied
     def pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
@@ -232,10 +234,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def frame_of(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
 
+    @tidied
     def join_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        release()
         block, ids_of, piece_of = None, {}, {}
         for batch in batches:
             for at, kind, keys, a, b, n, tokens, texts_of in zip(*(batch[c] for c in ("block", "kind", "keys", "a", "b", "n", "tokens", "pieces"))):

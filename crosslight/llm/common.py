@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable
@@ -44,6 +45,23 @@ def release() -> None:
         trim(0)
 
 
+def tidied(run: Callable) -> Callable:
+    """A task's function from an iterator to another one, with `release` before its first batch and after its last.
+
+    A worker that waits for its next task, of whatever stage, then keeps nothing of the last one.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the cluster; a local one only on a local master.
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KNOWN, cut, release, small_batches, table, words
+from .common import KNOWN, cut, small_batches, table, tidied, words
 from .graphs import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -65,6 +65,7 @@ def hashes_of(tokens: list[str], known: Hashes) -> np.ndarray:
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Documents with a word of each bucket, over all documents, and the number of documents."""
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, known = np.zeros(BUCKETS + 1, np.int64), Hashes()
         for batch in batches:
@@ -156,8 +157,8 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
     """A row for each document: row, doc, hi, lo (digest of its words), weight, keys (of the bands; none without words)."""
 
     @F.pandas_udf("hi long, lo long, weight double, keys array<long>")
+    @tidied
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
         sampler, known, rarity = Sampler(), Hashes(), idf.value
         for texts in batches:
             if len(known) > KNOWN:
@@ -183,6 +184,7 @@ def packed_bags(docs: DataFrame, rows: DataFrame, idf, text_col: str) -> DataFra
     """Shingles of the documents that `rows` numbers, packed once for all comparisons: row, names (uint64, sorted), weights (float32)."""
 
     @F.pandas_udf("names binary, weights binary")
+    @tidied
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, rarity = Hashes(), idf.value
         for texts in batches:
@@ -206,6 +208,7 @@ def own_weights(bags: DataFrame) -> DataFrame:
     makes the bound that rests on this wider, never wrong.
     """
 
+    @tidied
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags_ = [unpacked(n, w) for n, w in zip(batch["names"], batch["weights"])]
@@ -233,6 +236,7 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     second = bags.select(F.col("row").alias("b"), F.col("names").alias("names_b"), F.col("weights").alias("weights_b"))
     first = bags.select(F.col("row").alias("a"), F.col("names").alias("names_a"), F.col("weights").alias("weights_a"))
 
+    @tidied
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, bag = None, None
         for batch in batches:
@@ -348,12 +352,14 @@ def bucket_links(members: DataFrame, hubs: DataFrame, roots: DataFrame, bags: Da
         if held:
             yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
+    @tidied
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches):
             keep = possible(rows, similarity).any(axis=0)
             if keep.any():
                 yield rows[keep]
 
+    @tidied
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches):
             rows = rows.iloc[np.lexsort((rows["row"], rows["own"] / rows["weight"]))]  # the cleanest find most links

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KNOWN, beside, cut, release, small_batches, table
+from .common import KNOWN, beside, cut, small_batches, table, tidied
 from .labelled import training_rows
 
 #: Domains of the labelled table, in the order of posteriors.
@@ -96,6 +96,7 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     the other half turns a document's sums of these into posteriors that hold on average.
     """
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, docs, known = np.zeros((n_domains, BUCKETS), np.int64), np.zeros(n_domains, np.int64), Buckets()
         for batch in batches:
@@ -121,6 +122,7 @@ def learn(rows: DataFrame, n_domains: int = len(DOMAINS)) -> Classifier:
     odds[(np.abs(counts - expected) < LEAST_Z * np.sqrt(expected + 1e-9)) | (counts.sum(axis=0) < 3)] = 0
     odds = np.ascontiguousarray(odds.T, np.float32)
 
+    @tidied
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Buckets()
         for batch in batches:
@@ -160,6 +162,7 @@ def fit(features: DataFrame, targets: np.ndarray, least: float = 0.0, growth: fl
     def totals(history: list[np.ndarray], tries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each domain after the history and each of the steps to try (tries x n), and the Gram matrix; in one pass."""
 
+        @tidied
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, gram = np.zeros((len(tries), n)), np.zeros((n, n))
             for batch in batches:
@@ -232,8 +235,8 @@ def _fitted(docs: DataFrame, model: Classifier, targets: dict[str, float], least
         raise ValueError("at least one domain needs a positive target")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
         known = Buckets()
         for texts in batches:
             if len(known) > KNOWN:
@@ -255,8 +258,13 @@ def take(docs: DataFrame, model: Classifier, targets: dict[str, float], least: f
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(posteriors(texts.tolist(), sent.value, Buckets())[1], history, least))
+    @tidied
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Buckets()
+        for texts in batches:
+            if len(known) > KNOWN:
+                known.clear()
+            yield pd.Series(rates_of(posteriors(texts.tolist(), sent.value, known)[1], history, least))
 
     own = docs.columns
     even = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import small_batches, table, tidied
 
 #: A chunk ends before one word of so many on average; the hash sees this many bytes.
 WORDS_A_CHUNK, WINDOW = 5, 16
@@ -107,10 +107,10 @@ def chunk_rows(docs: DataFrame, text_col: str, least_words: int = LEAST_WORDS) -
     A text of fewer than `least_words` words has a row as a whole too, under a digest of its own kind and with at = WHOLE.
     """
 
+    @tidied
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
-        release()
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             joined, owner, starts, stops, counts = chunks_of(texts)
@@ -193,10 +193,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = numbered.join(per_row, "row", "left")
 
     @F.pandas_udf(f"text string, removed_bytes long, removed_spans array<struct<start:int,end:int>>, repeats_of array<{id_type}>")
-    def rewrite(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [(text, 0, [], []) if text is None or x is None else kept_text(text, {y["at"]: y["of"] for y in x}, least_words) for text, x in zip(texts, found)]
-        rows = [(a, b, [{"start": s, "end": e} for s, e in c], d) for a, b, c, d in rows]
-        return pd.DataFrame(rows, columns=["text", "removed_bytes", "removed_spans", "repeats_of"])
+    @tidied
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, found in batches:
+            rows = [(text, 0, [], []) if text is None or x is None else kept_text(text, {y["at"]: y["of"] for y in x}, least_words) for text, x in zip(texts, found)]
+            rows = [(a, b, [{"start": s, "end": e} for s, e in c], d) for a, b, c, d in rows]
+            yield pd.DataFrame(rows, columns=["text", "removed_bytes", "removed_spans", "repeats_of"])
 
     done = joined.select("doc", rewrite(F.col(f"doc.{text_col}"), "found").alias("new"))
     return done.select(

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KNOWN, beside, cut, small_batches, words
+from .common import KNOWN, beside, cut, small_batches, tidied, words
 from .labelled import labelled_tables, remainder, training_rows
 from .quality import logistic
 
@@ -49,6 +49,7 @@ def buckets_of(tokens: list[str], known: dict[str, int]) -> np.ndarray:
 def token_counts(rows: DataFrame) -> np.ndarray:
     """2 x BUCKETS counts of the documents with a token, over all labelled rows (text, label); added up in the tasks first."""
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, known = np.zeros((2, BUCKETS), np.int64), {}
         for batch in batches:
@@ -117,6 +118,7 @@ def highest(scores: np.ndarray) -> float:
 def _scanned(rows: DataFrame, scores: np.ndarray) -> pd.DataFrame:
     """Best segment and length of each labelled row, a bounded sample."""
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for batch in batches:
@@ -199,6 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for texts in batches:
@@ -215,8 +218,13 @@ def score_column(spark, model: Model, text_col: str) -> F.Column:
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_assess(texts, sent.value, {})[0])
+    @tidied
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            if len(known) > KNOWN:
+                known.clear()
+            yield pd.Series(_assess(texts, sent.value, known)[0])
 
     return scored(F.col(text_col))
 
