@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -183,9 +183,9 @@ def _emit(spark: SparkSession, root: str, number: int, closed: DataFrame, low: i
         known = filed(spark, f"{root}/events", number + 1, first, last).where(F.col("event_time").between(first, last)).drop("date", "batch")
         partners = known.join(exact, EVENT).withColumn("group_key", F.col("exact_key")).withColumn("join_tier", F.lit(1)).drop("exact_key")
         rows = rows.join(exact.select(*EVENT), EVENT, "left_anti")
-    # What has gone to the exact tier holds no window open: a pair goes by the first window that is left.
-    left = F.min(F.floor(F.col("event_time") / window)).over(Window.partitionBy("tenant_id", "shape", "window_no"))
-    rows = rows.withColumn("window_no", left)
+    # What has gone to the exact tier holds no window open: the windows that are left pair up anew, as they do in the batch.
+    rows = rows.drop("window_no").withColumn("w", F.floor(F.col("event_time") / window).cast("long"))
+    rows = rows.join(correlate.paired_windows(rows.select("shape", "w").distinct()), ["shape", "w"]).drop("w")
     solo = F.col("shape").startswith("solo|")
     rows = rows.withColumn("group_key", F.when(solo, F.col("shape")).otherwise(F.concat_ws("|", "shape", F.col("window_no").cast("string")))).withColumn("join_tier", F.when(solo, 0).otherwise(2)).drop("shape", "window_no")
     if exact is not None:
@@ -297,7 +297,8 @@ def replayed(events: DataFrame, folder: str, parts: int = 3, window: int = corre
     low, high = [None, *edges], [*edges, None]
     for a, b in zip(low, high):
         part = events.where((F.lit(True) if a is None else F.col("received_at") > a) & (F.lit(True) if b is None else F.col("received_at") <= b))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # A slice is one file, made of many tasks' rows and, by small row groups, read by many.
+        part.repartition(1).write.mode("append").option("parquet.block.size", 4 << 20).parquet(f"{folder}/in")
     end = 10 * (grace + lateness + window)
     last = events.orderBy(F.desc("received_at")).limit(1).withColumn("received_at", F.col("received_at") + end).withColumn("event_time", F.col("received_at"))
     last.withColumn("event_id", F.lit("")).withColumn("vendor_request_id", F.lit("")).withColumn("linked_request_id", F.lit("")).coalesce(1).write.mode("append").parquet(f"{folder}/in")

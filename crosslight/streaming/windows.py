@@ -38,16 +38,21 @@ def paired(windows: list[int], before: tuple[int, int] | None) -> dict[int, int]
 
 
 class Windows(StatefulProcessor):
-    """State of one tenant and shape. Times are in seconds; the clock is the wall's, or the watermark's in a replay."""
+    """State of one tenant and shape. Times are in seconds; the clock is the wall's, or the watermark's in a replay.
+
+    All windows lie in one value, each with how many ids it has, how many were sent, as which window, and the ids of
+    its last part; full parts lie apart. One timer is set, for what is due next. So a batch or a timer
+    costs a key a few calls from Python, however many windows it has.
+    """
 
     def __init__(self, window: int, grace: int, lateness: int, replay: bool):
         self.window, self.grace, self.lateness, self.replay = window, grace, lateness, replay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "w long", "n int, sent int, sent_as long")
+        # JSON: the windows; the last forgotten one and what it went by; when the timer is set for.
+        self.state = handle.getValueState("state", "windows string, before string, timer long")
         self.members = handle.getMapState("members", "w long, part int", "ids string")
-        self.before = handle.getValueState("before", "w long, went_by long")
 
     def _now(self, timers) -> int:
         return (timers.getCurrentWatermarkInMs() if self.replay else timers.getCurrentProcessingTimeInMs()) // 1000
@@ -59,22 +64,35 @@ class Windows(StatefulProcessor):
         """From then on no event is taken for this window or the next one, which may have to join it."""
         return (w + 2) * self.window + max(self.grace, self.lateness) + 1
 
-    def _file(self, w: int, new: list[tuple[str, int]]) -> None:
-        n, sent, sent_as = self.windows.getValue((w,)) or (0, 0, -1)
-        part = (n - 1) // PART if n else 0
-        own = json.loads(self.members.getValue((w, part))[0]) if n else []
+    def _get(self) -> tuple[dict[int, list], list | None, int]:
+        windows, before, timer = self.state.get() or ("{}", "null", 0)
+        return {int(w): x for w, x in json.loads(windows).items()}, json.loads(before), timer
+
+    def _put(self, found: dict[int, list], before: list | None, timer: int, now: int) -> None:
+        """Keeps the state, and sets the timer for what is due first: a window closes, changed after it had closed, or is forgotten."""
+        if not found:
+            self.state.clear()
+            return
+        due = lambda w, n, sent: self._closes(w) if self._closes(w) > now or n != sent else self._forgotten(w)
+        at = max(min(due(w, n, sent) for w, (n, sent, *_) in found.items()), now + 1)
+        if timer <= now or at < timer:
+            self.handle.registerTimer(1000 * at)
+            timer = at
+        self.state.update((json.dumps(found), json.dumps(before), timer))
+
+    def _file(self, found: dict[int, list], w: int, new: list[tuple[str, int]]) -> None:
+        n, sent, sent_as, own = found.get(w, (0, 0, -1, []))
         known = {i for i, _ in own}
         for item in new:
             if item[0] in known:  # a redelivery; one of an earlier part is dropped when the window is sent
                 continue
             if len(own) == PART:
-                self.members.updateValue((w, part), (json.dumps(own),))
-                part, own = part + 1, []
+                self.members.updateValue((w, n // PART - 1), (json.dumps(own),))
+                own = []
             own.append(item)
             known.add(item[0])
             n += 1
-        self.members.updateValue((w, part), (json.dumps(own),))
-        self.windows.updateValue((w,), (n, sent, sent_as))
+        found[w] = [n, sent, sent_as, own]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = self._now(timerValues)
@@ -84,15 +102,17 @@ class Windows(StatefulProcessor):
             yield Row(kind="late" if late else "event", tenant_id=key[0], shape=key[1], window_no=None, event_id=row.event_id, event_time=row.event_time, row=row.row)
             if not late:
                 new.setdefault(row.event_time // self.window, []).append((row.event_id, row.event_time))
+        if not new:
+            return
+        found, before, timer = self._get()
         for w, own in new.items():
-            self._file(w, own)
-            for at in (self._closes(w), self._forgotten(w)):
-                self.handle.registerTimer(1000 * max(at, now + 1))
+            self._file(found, w, own)
+        self._put(found, before, timer, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs() // 1000)
-        found = {k[0]: tuple(v) for k, v in self.windows.iterator()}
-        went_by = paired(sorted(found), self.before.get() if self.before.exists() else None)
+        found, before, timer = self._get()
+        went_by = paired(sorted(found), before)
         groups: dict[int, list[int]] = {}
         for w, as_ in went_by.items():
             groups.setdefault(as_, []).append(w)
@@ -102,22 +122,20 @@ class Windows(StatefulProcessor):
                 continue
             members = {}
             for w in own:
-                n = found[w][0]
-                for part in range((n + PART - 1) // PART):
+                n, _, _, last = found[w]
+                for part in range((n - 1) // PART):
                     members.update(json.loads(self.members.getValue((w, part))[0]))
-                if self._forgotten(w) > now:
-                    self.windows.updateValue((w,), (n, n, as_))
+                members.update(last)
+                found[w] = [n, n, as_, last]
             for event_id, event_time in members.items():
                 yield Row(kind="closed", tenant_id=key[0], shape=key[1], window_no=as_, event_id=event_id, event_time=event_time, row=None)
         gone = [w for w in sorted(found) if self._forgotten(w) <= now]
         for w in gone:
-            for part in range((found[w][0] + PART - 1) // PART):
+            for part in range((found.pop(w)[0] - 1) // PART):
                 self.members.removeKey((w, part))
-            self.windows.removeKey((w,))
-        if gone and len(gone) == len(found):
-            self.before.clear()
-        elif gone:
-            self.before.update((gone[-1], went_by[gone[-1]]))
+        if gone:
+            before = [gone[-1], went_by[gone[-1]]]
+        self._put(found, before, timer, now)
 
     def close(self) -> None:
         pass
