@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
 from .latest import latest
 
 #: Buckets of a day; more of them mean smaller files and fewer rows to a look-up. A table is read with as many as it was written with.
@@ -21,6 +22,8 @@ BUCKETS = 64
 IDENTIFIERS = ("vendor_request_id", "vendor_event_id", "linked_request_id", "ja4")
 #: Seconds around an event in which its record begins, and the most events that are followed for an identifier.
 SLACK, FOLLOWED = 600, 100
+#: Rows that are sent to all tasks rather than joined by a shuffle.
+SENT = 100_000
 
 
 def bucket_of(value: Column, buckets: int) -> Column:
@@ -31,25 +34,30 @@ def _day(column: str) -> Column:
     return F.to_date(F.timestamp_seconds(column))
 
 
-def event_pointers(events: DataFrame) -> DataFrame:
-    """Pointers to events by their id (kind "event") and by every identifier they carry; empty identifiers point nowhere."""
-    kinds = ["event", *(c for c in IDENTIFIERS if c in events.columns)]
-    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("event_id" if k == "event" else k).cast("string").alias("value")) for k in kinds))
+def event_pointers(events: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Pointers to events by their id (kind "event") and by every identifier they carry, or of some kinds; empty identifiers point nowhere.
+
+    Versions of an event repeat its pointers, which are dropped when they are written.
+    """
+    known = ["event", *(c for c in IDENTIFIERS if c in events.columns)]
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("event_id" if k == "event" else k).cast("string").alias("value")) for k in known if kinds is None or k in kinds))
     each = events.select("tenant_id", "event_id", F.col("event_time").alias("at"), F.explode(pairs).alias("p"))
-    return each.select("tenant_id", "p.kind", "p.value", "event_id", F.lit(None).cast("string").alias("correlation_id"), "at").where("value <> ''").distinct()
+    return each.select("tenant_id", "p.kind", "p.value", "event_id", F.lit(None).cast("string").alias("correlation_id"), "at").where("value <> ''")
 
 
 def record_pointers(records: DataFrame) -> DataFrame:
-    """Pointers from the events of records to these (kind "record"); all versions of a record share one."""
+    """Pointers from the events of records to these (kind "record"); all versions of a record share one, once they are written."""
     each = records.select("tenant_id", F.explode("event_ids").alias("event_id"), "correlation_id", F.col("window_start").alias("at"))
-    return each.select("tenant_id", F.lit("record").alias("kind"), F.col("event_id").alias("value"), "event_id", "correlation_id", "at").distinct()
+    return each.select("tenant_id", F.lit("record").alias("kind"), F.col("event_id").alias("value"), "event_id", "correlation_id", "at")
 
 
 def write_pointers(pointers: DataFrame, path: str, number: int = 0, buckets: int = BUCKETS) -> None:
-    """Adds pointers as those of batch `number`; a batch that is written again replaces itself."""
+    """Adds pointers as those of batch `number`, each once; a batch that is written again replaces itself."""
     rows = pointers.withColumn("date", _day("at")).withColumn("bucket", bucket_of(F.col("value"), buckets)).withColumn("batch", F.lit(number).cast("long"))
     keys = ["kind", "date", "bucket", "batch"]
-    dealt = rows.repartition("kind", "date", "bucket").sortWithinPartitions(*keys, "tenant_id", "value")
+    # Dealt out before the repeated ones are dropped: equal pointers go to one task anyhow, so they are shuffled once. Kinds are
+    # left out, as Spark takes a column of one value out of what it groups by, and would then shuffle again.
+    dealt = rows.repartition("date", "bucket").distinct().sortWithinPartitions(*keys, "tenant_id", "value")
     filtered = dealt.write.option("parquet.bloom.filter.enabled#value", "true").option("parquet.bloom.filter.expected.ndv#value", "100000")
     filtered.partitionBy(*keys).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
@@ -107,6 +115,12 @@ def records_of_identifier(pointers: DataFrame, records: DataFrame, tenant: str,
     return _newest(records, tenant, [r[0] for r in ids], first, last)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """What is followed, worked out once and sent to all tasks if it is few rows, so that the table it is looked up in isn't shuffled."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows
+
+
 def records_of_identifier_by_tenant(pointers: DataFrame, records: DataFrame, tenants: DataFrame, column: str, value: str, low: int, high: int, slack: int = SLACK, buckets: int = BUCKETS) -> DataFrame:
     """`records_of_identifier` for every tenant of a table (tenant_id) at once, with at most FOLLOWED events and a span for each."""
     if column not in IDENTIFIERS:
@@ -117,12 +131,12 @@ def records_of_identifier_by_tenant(pointers: DataFrame, records: DataFrame, ten
     order = Window.partitionBy("tenant_id").orderBy("event_id")
     events = events.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FOLLOWED)
     spans = events.groupBy("tenant_id").agg((F.min("first") - slack).alias("first"), (F.max("last") + slack).alias("last"))
-    followed = events.select("tenant_id", F.col("event_id").alias("value"), bucket_of(F.col("event_id"), buckets).alias("bucket")).join(spans, "tenant_id")
+    followed = _small(events.select("tenant_id", F.col("event_id").alias("value"), bucket_of(F.col("event_id"), buckets).alias("bucket")).join(spans, "tenant_id"))
     near = _days(low - slack, high - 1 + slack)
     there = pointers.where((F.col("kind") == "record") & near).select("tenant_id", "value", "bucket", "correlation_id", "at")
     ids = there.join(followed, ["tenant_id", "value", "bucket"]).where(F.col("at").between(F.col("first"), F.col("last"))).select("tenant_id", "correlation_id", "first", "last").distinct()
     if "date" in records.columns:
         records = records.where(near)
     names = records.columns
-    found = records.join(ids, ["tenant_id", "correlation_id"]).where(F.col("window_start").between(F.col("first"), F.col("last"))).select(*names)
+    found = records.join(_small(ids), ["tenant_id", "correlation_id"]).where(F.col("window_start").between(F.col("first"), F.col("last"))).select(*names)
     return latest(found, ["tenant_id", "correlation_id"], "version")

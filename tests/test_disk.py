@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crosslight.operators import correlate
+from crosslight.operators import correlate, pointers
 from crosslight.operators.components import cut
-from crosslight.plans import base
+from crosslight.plans import base, queries
 
 from .compare import DATA
 
@@ -30,3 +30,23 @@ def test_events_are_dealt_out_by_group_once(spark):
     rows = cut(correlate.grouped(base.events(spark, str(DATA))))
     plan = correlate.records_of(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1, plan
+
+
+def test_pointers_are_shuffled_once_as_they_are_written(spark, tmp_path):
+    rows = cut(base.raw(spark, str(DATA)))
+    records = spark.createDataFrame([("a", "r1", 5, ["e1", "e2", "e1"]), ("a", "r1", 5, ["e1", "e3"])], "tenant_id string, correlation_id string, window_start long, event_ids array<string>")
+    for name, found, wanted in (("events", pointers.event_pointers(rows), None), ("ids", pointers.event_pointers(rows, ("event",)), rows.select("tenant_id", "event_id").distinct().count()), ("records", pointers.record_pointers(records), 3)):
+        first = spark._jsc.sc().newShuffleId()
+        pointers.write_pointers(found, f"{tmp_path}/{name}", buckets=2)
+        assert spark._jsc.sc().newShuffleId() - first == 2, name
+        stored = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stored.count() == stored.distinct().count() and (wanted is None or stored.count() == wanted)
+
+
+def test_an_event_is_looked_up_without_building_records(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("records were built")
+
+    monkeypatch.setattr(base, "_kept", {})
+    monkeypatch.setattr(queries, "stored_records", none)
+    assert queries.QUERIES["lookup_event"](spark, str(DATA)).count() == 1
